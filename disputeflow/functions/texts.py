@@ -13,7 +13,12 @@ def trim_space(text: Column) -> Column:
 
 
 def money_text(amount: Column) -> Column:
-    return F.format_number(amount.cast("double"), "#,##0.##")
+    return F.call_function("format_number", amount.cast("double"), F.lit("#,##0.##"))
+
+
+def decimal_text(value: Column, digits: int) -> Column:
+    """A rounded number without trailing zeros, one digit kept: 0.5, 12.0, 0.0005."""
+    return F.regexp_replace(F.format_string(f"%.{digits}f", value), r"(\.\d+?)0+$", "$1")
 
 
 def first_text(*values: Column) -> Column:

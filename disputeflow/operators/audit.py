@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from disputeflow import constants as C
 from disputeflow.functions.numbers import first_number, normalise_probability, risk_level
-from disputeflow.functions.texts import first_text, percent_text
+from disputeflow.functions.texts import decimal_text, first_text, percent_text
 
 AUDIT_COLUMNS = [
     "audit_key",
@@ -100,7 +100,7 @@ def policy_text(hits: Column) -> Column:
     """Paragraphs ``policy (Relevance: score)``, or the policy alone without a score."""
     one = lambda h: F.when(
         h["score"].isNotNull(),
-        F.format_string(C.RELEVANCE, h["policy"], h["score"].cast("string")),
+        F.format_string(C.RELEVANCE, h["policy"], decimal_text(h["score"], 4)),
     ).otherwise(h["policy"])
     return F.array_join(F.transform(hits, one), "\n\n")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from disputeflow import constants as C
 from disputeflow.functions.numbers import normalise_probability, percentage, risk_level
+from disputeflow.functions.texts import decimal_text
 from disputeflow.operators.review import financial_impact, review_action, signals_conflict
 from disputeflow.operators.signals import signal_texts, with_signals
 from disputeflow.operators.skew import join_dimension
@@ -81,7 +82,7 @@ def investigate(requests: DataFrame, model: str = C.RANDOM_FOREST) -> DataFrame:
         }
     )
     ml_signal = F.format_string(
-        C.ML_SIGNAL, F.lit(model), F.col("risk_level"), F.col("risk_percentage").cast("string")
+        C.ML_SIGNAL, F.lit(model), F.col("risk_level"), decimal_text(F.col("risk_percentage"), 2)
     )
     rows = rows.withColumn("ml_signal", ml_signal)
     reasoning = F.array(
