@@ -119,20 +119,23 @@ def best_model(results: DataFrame) -> DataFrame:
     return rank_models(results).limit(1)
 
 
-def roc_auc(scored: DataFrame, by: list[str] | None = None, pieces: int = 200) -> DataFrame:
-    """Exact area under the ROC curve, tied scores counting one half.
-
-    Rows collapse to one per distinct score.  Those are cut into ``pieces`` value
-    ranges by a quantile sketch (a bounded list of bounds on the driver), ranked
-    within a piece, and shifted by the totals of the earlier pieces, so no task
-    sees more than about 1 / pieces of the distinct scores.  Labels of one class
-    only give NULL.
-    """
-    by = by or []
-    counts = scored.groupBy(*by, "score").agg(
+def score_counts(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Positives and negatives per distinct score; combines map-side."""
+    return scored.groupBy(*(by or []), "score").agg(
         F.count_if(F.col(C.TARGET) == 1).alias("pos"),
         F.count_if(F.col(C.TARGET) == 0).alias("neg"),
     )
+
+
+def roc_auc(counts: DataFrame, by: list[str] | None = None, pieces: int = 200) -> DataFrame:
+    """Exact area under the ROC curve of ``score_counts``, ties counting one half.
+
+    The distinct scores are cut into ``pieces`` value ranges by a quantile sketch (a
+    bounded list of bounds on the driver), ranked within a piece, and shifted by the
+    totals of the earlier pieces, so no task sees more than about 1 / pieces of them.
+    Labels of one class only give NULL.  ``counts`` is read twice: store it first.
+    """
+    by = by or []
     shares = [(i + 1) / pieces for i in range(pieces - 1)]
     bounds = counts.agg(F.percentile_approx("score", shares, 10_000).alias("b")).first()["b"] or []
     splits = [float("-inf"), *sorted(set(bounds)), float("inf")]

@@ -23,7 +23,7 @@ from disputeflow.operators import (
 )
 from disputeflow.plans import evaluation, modelling
 from disputeflow.plans.risk_summary import risk_summary
-from disputeflow.session import shared_folder
+from disputeflow.session import shared_folder, stored
 from disputeflow.sources import driver_tables as given
 from disputeflow.sources import requests, schemas, sinks
 from disputeflow.streaming import jobs
@@ -185,7 +185,7 @@ def request_features(spark, sf_dir):
 
 
 def filled_feature_table(spark, sf_dir):
-    rows = features.infinities_to_null(_features(spark, sf_dir))
+    rows = stored(features.infinities_to_null(_features(spark, sf_dir)), "features")
     wanted = [c for c in features.numeric_columns(rows) if c != C.TARGET]
     return features.fill_missing(rows, statistics.median_map(rows, wanted))
 
@@ -222,7 +222,7 @@ def _labels(spark, sf_dir):
 
 
 def column_medians(spark, sf_dir):
-    rows = _features(spark, sf_dir)
+    rows = stored(_features(spark, sf_dir), "features")
     return statistics.exact_medians(rows, features.numeric_columns(rows.drop(C.TARGET)))
 
 
@@ -244,7 +244,7 @@ def column_scales(spark, sf_dir):
 
 def imputed_scaled(spark, sf_dir):
     """Fitted on all rows here; training fits on its own part only."""
-    rows = _features(spark, sf_dir)
+    rows = stored(_features(spark, sf_dir), "features")
     columns = features.model_columns(rows)
     numeric = features.numeric_columns(rows.select(*columns))
     texts = features.text_columns(rows.select(*columns))
@@ -290,7 +290,8 @@ def classification_metrics(spark, sf_dir):
 
 
 def roc_auc(spark, sf_dir):
-    return metrics.rounded(metrics.roc_auc(_scored(spark, sf_dir)), 6, "roc_auc")
+    counts = stored(metrics.score_counts(_scored(spark, sf_dir)), "score-counts")
+    return metrics.rounded(metrics.roc_auc(counts), 6, "roc_auc")
 
 
 def threshold_sweep(spark, sf_dir):
@@ -505,9 +506,8 @@ def audit_display(spark, sf_dir):
 
 # --- models --------------------------------------------------------------------------------------------
 def _evaluated(spark, sf_dir, names, **settings):
-    parts = split.stratified_split(
-        _features(spark, sf_dir), [0.7, 0.3], ["train", "test"]
-    )
+    rows = stored(_features(spark, sf_dir), "model-table")
+    parts = split.stratified_split(rows, [0.7, 0.3], ["train", "test"])
     train, test = [parts.where(F.col("part") == p).drop("part") for p in ("train", "test")]
     models = modelling.fit_models(train, names, **settings)
     predicted = modelling.score_all(models, test)
@@ -546,7 +546,8 @@ def streamed_features(spark, sf_dir):
 def streamed_scores(spark, sf_dir):
     """Orders as a stream, scored with a model that was saved and loaded again."""
     folder = shared_folder(spark, "streamed-scores")
-    model = modelling.fit_models(_features(spark, sf_dir), [C.LOGISTIC_REGRESSION])
+    rows = stored(_features(spark, sf_dir), "model-table")
+    model = modelling.fit_models(rows, [C.LOGISTIC_REGRESSION])
     sinks.save_model(model[C.LOGISTIC_REGRESSION], f"{folder}/models", C.LOGISTIC_REGRESSION)
     enriched = jobs.enrich(
         _order_stream(spark, sf_dir), given.customers(spark, sf_dir), given.orders(spark, sf_dir)
