@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from disputeflow import constants as C
 from disputeflow.functions.stopwords import english_stop_words
 from disputeflow.functions.texts import tokens, trim_space
 from disputeflow.operators.skew import SALTS, add_salt, copy_per_salt, keys_over_share
+from disputeflow.session import shared_folder
 
 
 def split_chunks(
@@ -30,9 +31,17 @@ def split_chunks(
 def term_counts(
     texts: DataFrame, key: str, text: str, stop_words: list[str] | None = None
 ) -> DataFrame:
-    """(key, term, tf) without stop words; counts combine map-side per text."""
+    """(key, term, tf) without stop words.
+
+    Texts are hashed by key before they are taken apart: the one shuffle moves plain
+    text, and both the counting and a later grouping by key need no other.
+    """
     stopped = english_stop_words() if stop_words is None else stop_words
-    terms = texts.select(key, F.explode(tokens(F.col(text))).alias("term"))
+    terms = (
+        texts.select(key, text)
+        .repartition(F.col(key))
+        .select(key, F.explode(tokens(F.col(text))).alias("term"))
+    )
     if stopped:
         terms = terms.where(~F.col("term").isin(stopped))
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -50,40 +59,48 @@ def inverse_frequencies(counts: DataFrame, corpus: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """Fitted corpus: term weights, document lengths and the frequent terms."""
+    """A fitted corpus as stored tables."""
 
-    weights: DataFrame  # chunk_id, term, _salt, weight
-    norms: DataFrame  # chunk_id, norm
+    counts: DataFrame  # chunk_id, term, tf
     vocabulary: DataFrame  # term, df, idf
-    frequent: DataFrame  # term
+    norms: DataFrame  # chunk_id, norm
+
+    def frequent(self) -> DataFrame:
+        """Terms with a large share of all (chunk, term) rows; few by definition."""
+        return keys_over_share(self.vocabulary, "term", "df")
 
 
-def build_index(corpus: DataFrame, stop_words: list[str] | None = None) -> Index:
-    """Weights tf * idf.
+def build_index(
+    corpus: DataFrame, stop_words: list[str] | None = None, folder: str | None = None
+) -> Index:
+    """Term counts, idf and vector lengths, written to ``folder``.
 
-    A frequent term may own a third of all postings; those terms (bounded in
-    number by their share) are salted by chunk in the join on the term.
+    A frequent term may own a third of all term rows; those terms (bounded in number
+    by their share) are salted by chunk in the join on the term.
     """
-    counts = term_counts(corpus, "chunk_id", "text", stop_words)
-    vocabulary = inverse_frequencies(counts, corpus)
+    spark = corpus.sparkSession
+    folder = folder or shared_folder(spark, "index")
+    term_counts(corpus, "chunk_id", "text", stop_words).write.parquet(f"{folder}/counts")
+    counts = spark.read.parquet(f"{folder}/counts")
+    inverse_frequencies(counts, corpus).write.parquet(f"{folder}/vocabulary")
+    vocabulary = spark.read.parquet(f"{folder}/vocabulary")
     frequent = keys_over_share(vocabulary, "term", "df")
-    salted = add_salt(counts, "term", frequent, F.col("chunk_id"), SALTS)
-    weights = salted.join(
-        copy_per_salt(vocabulary.select("term", "idf"), "term", frequent, SALTS),
-        ["term", "_salt"],
-    ).select("chunk_id", "term", "_salt", (F.col("tf") * F.col("idf")).alias("weight"))
-    return Index(weights, vector_norms(weights, "chunk_id"), vocabulary, frequent)
-
-
-def save_index(index: Index, folder: str) -> None:
-    """The fitted index as four parquet tables."""
-    for name in ("weights", "norms", "vocabulary", "frequent"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    weights = (
+        add_salt(counts, "term", frequent, F.col("chunk_id"), SALTS)
+        .join(
+            copy_per_salt(vocabulary.select("term", "idf"), "term", frequent, SALTS),
+            ["term", "_salt"],
+        )
+        .select("chunk_id", (F.col("tf") * F.col("idf")).alias("weight"))
+    )
+    vector_norms(weights, "chunk_id").write.parquet(f"{folder}/norms")
+    return load_index(spark, folder)
 
 
-def load_index(spark, folder: str) -> Index:
-    names = ("weights", "norms", "vocabulary", "frequent")
-    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in names])
+def load_index(spark: SparkSession, folder: str) -> Index:
+    return Index(
+        *[spark.read.parquet(f"{folder}/{name}") for name in ("counts", "vocabulary", "norms")]
+    )
 
 
 def vector_norms(weights: DataFrame, key: str) -> DataFrame:
@@ -95,30 +112,33 @@ def vector_norms(weights: DataFrame, key: str) -> DataFrame:
 def query_weights(
     index: Index, queries: DataFrame, stop_words: list[str] | None = None
 ) -> DataFrame:
-    """(query_id, term, weight) of unit length over terms the corpus knows."""
+    """(query_id, term, idf, weight) of unit length over terms the corpus knows."""
     counts = term_counts(queries, "query_id", "query", stop_words)
     known = counts.join(index.vocabulary.select("term", "idf"), "term").select(
-        "query_id", "term", (F.col("tf") * F.col("idf")).alias("weight")
+        "query_id", "term", "idf", (F.col("tf") * F.col("idf")).alias("weight")
     )
-    return known.join(vector_norms(known, "query_id"), "query_id").select(
-        "query_id", "term", (F.col("weight") / F.col("norm")).alias("weight")
+    length = F.sqrt(
+        F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("query_id"))
     )
+    return known.withColumn("weight", F.col("weight") / length)
 
 
 def cosine_scores(
     index: Index, queries: DataFrame, stop_words: list[str] | None = None
 ) -> DataFrame:
-    """(query_id, chunk_id, score) for pairs that share a term; all others score 0."""
+    """(query_id, chunk_id, score) for pairs that share a term; all others score 0.
+
+    The stored counts meet only the terms that are asked for, which carry their idf.
+    """
+    frequent = index.frequent()
     asked = copy_per_salt(
-        query_weights(index, queries, stop_words).withColumnRenamed("weight", "query_weight"),
-        "term",
-        index.frequent,
-        SALTS,
+        query_weights(index, queries, stop_words), "term", frequent, SALTS
     )
     dots = (
-        index.weights.join(asked, ["term", "_salt"])
+        add_salt(index.counts, "term", frequent, F.col("chunk_id"), SALTS)
+        .join(asked, ["term", "_salt"])
         .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("weight") * F.col("query_weight")).alias("dot"))
+        .agg(F.sum(F.col("weight") * F.col("tf") * F.col("idf")).alias("dot"))
     )
     return dots.join(index.norms, "chunk_id").select(
         "query_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score")
@@ -142,34 +162,31 @@ def pad_hits(
 ) -> DataFrame:
     """Fill up to k hits per query with zero-score chunks, highest chunk_id first.
 
-    A query lacks fewer than k + 1 chunks, and at most k are taken already, so the
-    2k highest chunk_ids are enough: no pairing of queries with the whole corpus.
+    At most k chunks are taken already, so the 2k highest chunk_ids are enough: no
+    pairing of queries with the whole corpus.
     """
     highest = corpus.select("chunk_id").orderBy(F.desc("chunk_id")).limit(2 * k)
     spare = highest.agg(F.sort_array(F.collect_list("chunk_id"), asc=False).alias("ids")).scalar()
-    taken = hits.groupBy("query_id").agg(
-        F.collect_list("chunk_id").alias("taken"), F.count(F.lit(1)).alias("found")
+    found = hits.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("found")
     )
-    short = (
+    kind = found.schema["found"].dataType.simpleString()
+    listed = (
         queries.select("query_id")
-        .join(taken, "query_id", "left")
-        .withColumn("found", F.coalesce("found", F.lit(0)))
-        .where(F.col("found") < k)
-    )
-    no_chunks = F.array().cast("array<bigint>")
-    kind = corpus.schema["chunk_id"].dataType
-    unused = F.array_except(spare, F.coalesce(F.col("taken"), no_chunks.cast(f"array<{kind.simpleString()}>")))
-    extra = short.select(
-        "query_id",
-        "found",
-        F.posexplode(F.slice(unused, F.lit(1), (F.lit(k) - F.col("found")).cast("int"))),
-    ).select(
-        "query_id",
-        F.col("col").alias("chunk_id"),
-        F.lit(0.0).alias("score"),
-        (F.col("found") + F.col("pos") + 1).cast("int").alias("rank"),
-    )
-    return hits.select("query_id", "chunk_id", "score", "rank").unionByName(extra)
+        .join(found, "query_id", "left")
+        .withColumns({"found": F.coalesce("found", F.array().cast(kind)), "spare": spare})
+    )
+    count = F.size("found")
+    unused = F.array_except("spare", F.transform("found", lambda h: h["chunk_id"]))
+    extra = F.transform(
+        F.slice(unused, F.lit(1), F.lit(k) - count),
+        lambda chunk, i: F.struct(
+            (count + i + 1).cast("int").alias("rank"),
+            chunk.alias("chunk_id"),
+            F.lit(0.0).alias("score"),
+        ),
+    )
+    return listed.select("query_id", F.inline(F.concat("found", extra)))
 
 
 def retrieve(
@@ -186,7 +203,8 @@ def retrieve(
     pad=True always returns k hits, with score 0 where nothing matches;
     min_score drops weaker hits, so that missing evidence can be noticed.
     """
-    index = index or build_index(corpus, stop_words)
+    if index is None:
+        index = build_index(corpus, stop_words)
     hits = top_k(cosine_scores(index, queries, stop_words), k)
     if pad:
         hits = pad_hits(hits, queries, corpus, k)

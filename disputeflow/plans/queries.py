@@ -353,7 +353,7 @@ def document_norms(spark, sf_dir):
 def question_weights(spark, sf_dir):
     index = retrieval.build_index(given.corpus(spark, sf_dir))
     weights = retrieval.query_weights(index, given.questions(spark, sf_dir))
-    return metrics.rounded(weights, 6, "weight")
+    return metrics.rounded(weights.drop("idf"), 6, "weight")
 
 
 def retrieval_top_k(spark, sf_dir):
@@ -576,7 +576,7 @@ def streamed_investigations(spark, sf_dir):
     """Orders as a stream of investigation requests."""
     folder = shared_folder(spark, "streamed-investigations")
     corpus = given.corpus(spark, sf_dir)
-    retrieval.save_index(retrieval.build_index(corpus), f"{folder}/index")
+    retrieval.build_index(corpus, folder=f"{folder}/index")
     index = retrieval.load_index(spark, f"{folder}/index")
     enriched = jobs.enrich(
         _order_stream(spark, sf_dir), given.customers(spark, sf_dir), given.orders(spark, sf_dir)

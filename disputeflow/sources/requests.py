@@ -12,14 +12,18 @@ CORRUPT = "_corrupt"
 
 
 def parse_json(rows: DataFrame, column: str, schema: str) -> DataFrame:
-    """The fields of ``schema`` as columns, with the raw text where it did not fit."""
+    """The fields of ``schema`` as columns, with the raw text where it did not fit.
+
+    ``inline`` keeps later filters from being pushed below the parsing, where they
+    would parse the text again for every field they test.
+    """
     parsed = F.from_json(
         F.col(column),
         f"{schema}, {CORRUPT} string",
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
     )
     kept = [c for c in rows.columns if c != column]
-    return rows.select(*kept, parsed.alias("_request")).select(*kept, "_request.*")
+    return rows.select(*kept, F.inline(F.array(parsed)))
 
 
 def score_requests(rows: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
