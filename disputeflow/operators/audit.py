@@ -184,6 +184,11 @@ def history(audit: DataFrame) -> DataFrame:
     return audit.dropDuplicates(["audit_key"]).orderBy(F.desc("id"))
 
 
+def record_count(audit: DataFrame) -> DataFrame:
+    """How many decisions are on record, replayed rows counting once."""
+    return audit.select("audit_key").distinct().agg(F.count(F.lit(1)).alias("record_count"))
+
+
 def display(audit: DataFrame) -> DataFrame:
     """Columns of the audit view with fallbacks for missing values."""
     p = normalise_probability(F.col("risk_probability"))

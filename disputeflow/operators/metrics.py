@@ -157,7 +157,7 @@ def roc_auc(counts: DataFrame, by: list[str] | None = None, pieces: int = 200) -
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     ranked = pieced.withColumn("neg_inside", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
-    joined = ranked.join(F.broadcast(offsets), [*by, "piece"])
+    joined = ranked.join(offsets, [*by, "piece"])
     # Twice the Mann-Whitney count, kept in whole numbers.
     wins = F.col("pos").cast("decimal(19,0)") * (
         (F.col("neg_inside") + F.col("earlier")) * 2 + F.col("neg")

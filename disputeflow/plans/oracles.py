@@ -563,6 +563,7 @@ BODIES: dict[str, str] = {
         SELECT false_positive AS false_positives, fp_amount FROM model_counts
         WHERE model = '{C.LOGISTIC_REGRESSION}'""",
     "model_evaluations": "SELECT * FROM model_quality",
+    "one_model_evaluation": f"SELECT * FROM model_quality WHERE model = '{C.RANDOM_FOREST}'",
     "ranked_models": f"""
         SELECT model, round({_share('true_positive + true_negative',
                '(true_negative + false_positive + false_negative + true_positive)')}, 6)
@@ -655,6 +656,11 @@ BODIES: dict[str, str] = {
     + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in REQUIRED)
     + ") AS missing_fields FROM features WHERE "
     + " OR ".join(f"{c} IS NULL" for c in REQUIRED),
+    "request_scores": f"""
+        SELECT transaction_id, round(score, 4) AS risk_probability,
+               round(score * 100, 2) AS risk_percentage, {_band('score')} AS risk_level,
+               'Random Forest' AS model FROM scored WHERE """
+    + " AND ".join(f"{c} IS NOT NULL" for c in REQUIRED),
     "rejected_reviews": """
         SELECT event_id AS review_id, decision,
                'Invalid review decision. Use APPROVED, REJECTED, or ESCALATED.' AS error
@@ -671,6 +677,7 @@ BODIES: dict[str, str] = {
     "audit_history": """
         SELECT id, transaction_id, human_decision, risk_level, timestamp FROM audit
         ORDER BY id DESC""",
+    "audit_count": "SELECT count(DISTINCT audit_key) AS record_count FROM audit",
     "audit_display": f"""
         SELECT id, transaction_id, printf('%.2f%%', risk_percentage) AS risk_score,
                CASE WHEN risk_level <> 'UNKNOWN' THEN risk_level

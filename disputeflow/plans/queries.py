@@ -311,6 +311,10 @@ def model_evaluations(spark, sf_dir):
     return evaluation.evaluate(_three_models(spark, sf_dir)).drop("f1_exact")
 
 
+def one_model_evaluation(spark, sf_dir):
+    return model_evaluations(spark, sf_dir).where(F.col("model") == C.RANDOM_FOREST)
+
+
 def ranked_models(spark, sf_dir):
     quality = metrics.with_quality(
         metrics.confusion_matrix(_three_models(spark, sf_dir), ["model", "position"])
@@ -455,12 +459,22 @@ def report_documents(spark, sf_dir):
     return report.report_documents(_investigated(spark, sf_dir), summary)
 
 
-def incomplete_requests(spark, sf_dir):
-    """Scoring requests as JSON text, parsed, with those lacking a field rejected."""
+def _json_requests(spark, sf_dir):
     rows = _features(spark, sf_dir, "delivery_status", "refund_status")
     asked = given.score_request_fields(rows)
-    text = asked.select(F.to_json(F.struct("*")).alias("value"))
-    _, rejected = requests.score_requests(text)
+    return asked.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def request_scores(spark, sf_dir):
+    """Scoring requests as JSON text: parsed, features derived, complete ones scored."""
+    valid, _ = requests.score_requests(_json_requests(spark, sf_dir))
+    enriched = features.derive_features(valid, "nonpositive")
+    return report.score_records(enriched.withColumn("score", given.fixture_score()))
+
+
+def incomplete_requests(spark, sf_dir):
+    """The same requests, those that lack a field."""
+    _, rejected = requests.score_requests(_json_requests(spark, sf_dir))
     return rejected.select(
         "transaction_id", F.array_join("missing_fields", ",").alias("missing_fields")
     )
@@ -500,14 +514,21 @@ def audit_history(spark, sf_dir):
     )
 
 
+def audit_count(spark, sf_dir):
+    return audit.record_count(_audit(spark, sf_dir))
+
+
 def audit_display(spark, sf_dir):
     return audit.display(_audit(spark, sf_dir))
 
 
 # --- models --------------------------------------------------------------------------------------------
 def _evaluated(spark, sf_dir, names, **settings):
-    rows = stored(_features(spark, sf_dir), "model-table")
-    parts = split.stratified_split(rows, [0.7, 0.3], ["train", "test"])
+    rows = _features(spark, sf_dir)
+    keys = _labels(spark, sf_dir)
+    parts = stored(
+        split.stratified_split(rows, [0.7, 0.3], ["train", "test"], keys=keys), "model-table"
+    )
     train, test = [parts.where(F.col("part") == p).drop("part") for p in ("train", "test")]
     models = modelling.fit_models(train, names, **settings)
     predicted = modelling.score_all(models, test)
@@ -610,13 +631,14 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     column_medians, column_modes, column_categories, column_scales, imputed_scaled,
     split_70_30, split_70_15_15, score_records, confusion_matrix,
     classification_metrics, roc_auc, threshold_sweep, best_threshold,
-    false_positive_volume, model_evaluations, ranked_models, selected_model,
+    false_positive_volume, model_evaluations, one_model_evaluation, ranked_models, selected_model,
     results_document, document_chunks, term_statistics, document_norms,
     question_weights, retrieval_top_k, retrieval_padded,
     retrieval_lists, risk_signals, mitigating_signals, amount_over_average,
     normalised_probabilities, review_routing, investigation_reports,
-    report_documents, incomplete_requests, rejected_reviews, resolved_reviews,
-    audit_records, review_acknowledgements, audit_history, audit_display,
+    report_documents, request_scores, incomplete_requests, rejected_reviews, resolved_reviews,
+    audit_records, review_acknowledgements, audit_history, audit_count,
+    audit_display,
     logistic_regression, random_forest, boosted_trees, streamed_features,
     streamed_scores, streamed_reviews, streamed_investigations,
 ]

@@ -12,6 +12,7 @@ from disputeflow import constants as C
 from disputeflow.functions.texts import numbered
 from disputeflow.operators.audit import reviewer_note
 from disputeflow.operators.evidence import customer_reason, days_later, order_id
+from disputeflow.sources.scans import spread
 
 PROFILE_DATE = "1997-01-01"
 DISPUTED_QUANTITY = 46
@@ -32,7 +33,7 @@ def transaction_id(number: Column) -> Column:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_orders(read(spark, sf_dir, "orders"))
+    return from_orders(spread(read(spark, sf_dir, "orders"), "o_orderkey"))
 
 
 def from_orders(orders: DataFrame) -> DataFrame:
@@ -256,7 +257,8 @@ def case_of(column: str) -> Column:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review_events(read(spark, sf_dir, "events"), transactions(spark, sf_dir))
+    events = spread(read(spark, sf_dir, "events"), "event_id")
+    return review_events(events, transactions(spark, sf_dir))
 
 
 def score_request_fields(rows: DataFrame) -> DataFrame:

@@ -18,9 +18,14 @@ from disputeflow.plans.modelling import score
 from disputeflow.sources.sinks import load_model, model_path
 
 
-def read_stream(spark: SparkSession, folder: str, schema, glob: str | None = None) -> DataFrame:
-    """A parquet folder as a stream; ``glob`` picks files by name."""
-    reader = spark.readStream.schema(schema)
+def read_stream(
+    spark: SparkSession, folder: str, schema, glob: str | None = None, max_files: int = 1000
+) -> DataFrame:
+    """A parquet folder as a stream; ``glob`` picks files by name.
+
+    ``max_files`` bounds a micro-batch, and with it what one hot key can bring at once.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(folder)
