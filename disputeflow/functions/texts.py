@@ -27,8 +27,16 @@ def first_text(*values: Column) -> Column:
 
 
 def numbered(prefix: str, number: Column, width: int) -> Column:
-    """Zero-padded identifier; longer numbers keep all digits."""
-    return F.format_string(f"{prefix}%0{width}d", number.cast("bigint"))
+    """Zero-padded identifier; longer numbers keep all digits.
+
+    Padding stays in generated code, unlike ``format_string``, which starts a
+    formatter for each row.
+    """
+    number = number.cast("bigint")
+    digits = F.abs(number).cast("string")
+    room = F.greatest(F.length(digits), F.when(number < 0, width - 1).otherwise(width))
+    sign = F.when(number < 0, f"{prefix}-").otherwise(prefix)
+    return F.concat(sign, F.lpad(digits, room, F.lit("0")))
 
 
 def slug(name: str) -> str:

@@ -63,17 +63,14 @@ class Index:
 
     counts: DataFrame  # chunk_id, term, tf
     vocabulary: DataFrame  # term, df, idf
+    frequent: DataFrame  # term; those with a large share of all counts, so they are few
     norms: DataFrame  # chunk_id, norm
 
-    def frequent(self) -> DataFrame:
-        """Terms with a large share of all (chunk, term) rows; few by definition."""
-        return keys_over_share(self.vocabulary, "term", "df")
-
 
 def build_index(
     corpus: DataFrame, stop_words: list[str] | None = None, folder: str | None = None
 ) -> Index:
-    """Term counts, idf and vector lengths, written to ``folder``.
+    """Term counts, idf, frequent terms and vector lengths, written to ``folder``.
 
     A frequent term may own a third of all term rows; those terms (bounded in number
     by their share) are salted by chunk in the join on the term.
@@ -84,7 +81,8 @@ def build_index(
     counts = spark.read.parquet(f"{folder}/counts")
     inverse_frequencies(counts, corpus).write.parquet(f"{folder}/vocabulary")
     vocabulary = spark.read.parquet(f"{folder}/vocabulary")
-    frequent = keys_over_share(vocabulary, "term", "df")
+    keys_over_share(vocabulary, "term", "df").write.parquet(f"{folder}/frequent")
+    frequent = spark.read.parquet(f"{folder}/frequent")
     weights = (
         add_salt(counts, "term", frequent, F.col("chunk_id"), SALTS)
         .join(
@@ -98,9 +96,8 @@ def build_index(
 
 
 def load_index(spark: SparkSession, folder: str) -> Index:
-    return Index(
-        *[spark.read.parquet(f"{folder}/{name}") for name in ("counts", "vocabulary", "norms")]
-    )
+    names = ("counts", "vocabulary", "frequent", "norms")
+    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in names])
 
 
 def vector_norms(weights: DataFrame, key: str) -> DataFrame:
@@ -130,12 +127,11 @@ def cosine_scores(
 
     The stored counts meet only the terms that are asked for, which carry their idf.
     """
-    frequent = index.frequent()
     asked = copy_per_salt(
-        query_weights(index, queries, stop_words), "term", frequent, SALTS
+        query_weights(index, queries, stop_words), "term", index.frequent, SALTS
     )
     dots = (
-        add_salt(index.counts, "term", frequent, F.col("chunk_id"), SALTS)
+        add_salt(index.counts, "term", index.frequent, F.col("chunk_id"), SALTS)
         .join(asked, ["term", "_salt"])
         .groupBy("query_id", "chunk_id")
         .agg(F.sum(F.col("weight") * F.col("tf") * F.col("idf")).alias("dot"))

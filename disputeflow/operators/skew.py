@@ -49,14 +49,16 @@ def join_dimension(
     spread: Column,
     share: float = HOT_SHARE,
     salts: int = SALTS,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Left join fact -> dimension where one key may own a third of the fact rows.
 
     Spark broadcasts the dimension by itself when its measured size is below
     ``spark.sql.autoBroadcastJoinThreshold``; beyond that the shuffle is on
-    (key, salt), so no task receives all rows of a hot key.
+    (key, salt), so no task receives all rows of a hot key.  ``keys`` may be a table
+    with the fact's keys that is cheaper to count than the fact itself.
     """
-    hot = hot_keys(fact, key, share)
+    hot = hot_keys(fact if keys is None else keys, key, share)
     return (
         add_salt(fact, key, hot, spread, salts)
         .join(copy_per_salt(dimension, key, hot, salts), [key, "_salt"], "left")

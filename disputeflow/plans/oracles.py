@@ -256,7 +256,8 @@ CTES: dict[str, str] = {
                              '(2 * true_positive + false_positive + false_negative)')}, 4) AS f1,
                CAST(false_positive * 500 + false_negative * 10000 AS DOUBLE) AS estimated_cost,
                fp_amount, round(roc_auc, 4) AS roc_auc,
-               false_positive * 500.0 AS fp_cost, false_negative * 10000.0 AS fn_cost
+               CAST(false_positive * 500 AS DOUBLE) AS fp_cost,
+               CAST(false_negative * 10000 AS DOUBLE) AS fn_cost
         FROM model_counts JOIN model_auc USING (model)""",
     "sweep": f"""
         SELECT threshold, true_negative, false_positive, false_negative, true_positive,
@@ -651,7 +652,8 @@ BODIES: dict[str, str] = {
                      least(1.0, greatest(0.0, CASE WHEN score > 1 THEN score / 100
                                               ELSE score END)) AS p,
                      coalesce(policy_count, 0) AS policies
-              FROM signals LEFT JOIN packed ON query_id = number % 40)""",
+              FROM signals LEFT JOIN packed
+                  ON query_id = number % (SELECT count(*) FROM benchmark))""",
     "incomplete_requests": "SELECT transaction_id, concat_ws(',', "
     + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in REQUIRED)
     + ") AS missing_fields FROM features WHERE "

@@ -68,16 +68,15 @@ def _investigated(spark: SparkSession, sf_dir: str) -> DataFrame:
         "chunk_id", F.concat(F.lit("DOC_"), F.col("chunk_id").cast("string")).alias("title")
     )
     hits = retrieval.retrieve(corpus, queries, pad=False, min_score=0.05)
-    packed = retrieval.pack_hits(hits, titled, "title")
-    rows = _scored(spark, sf_dir, "delivery_status").withColumns(
-        {
-            "risk_probability": F.col("score"),
-            "query_id": F.pmod(
-                F.regexp_extract("transaction_id", r"(\d+)$", 1).cast("bigint"), F.lit(40)
-            ),
-        }
+    packed = stored(retrieval.pack_hits(hits, titled, "title"), "policy-hits")
+    number = F.regexp_extract("transaction_id", r"(\d+)$", 1).cast("bigint")
+    n_queries = queries.agg(F.count(F.lit(1)).alias("n")).scalar()
+    query_id = F.pmod(number, n_queries).alias("query_id")
+    rows = _scored(spark, sf_dir, "delivery_status").select(
+        "*", F.col("score").alias("risk_probability"), query_id
     )
-    return report.investigate(report.attach_policies(rows, packed))
+    keys = given.transactions(spark, sf_dir).select(query_id)
+    return report.investigate(report.attach_policies(rows, packed, keys))
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from disputeflow import constants as C
 from disputeflow.operators import audit, features, report, retrieval
 from disputeflow.plans.modelling import score
+from disputeflow.session import stored
 from disputeflow.sources.sinks import load_model, model_path
 
 
@@ -125,7 +126,7 @@ def investigate_batches(
         usable, rejected = report.reject_incomplete(batch, ["transaction_id", "risk_probability"])
         queries = usable.select("query_id", "query").dropDuplicates(["query_id"])
         hits = retrieval.retrieve(corpus, queries, index=index)
-        packed = retrieval.pack_hits(hits, corpus)
+        packed = stored(retrieval.pack_hits(hits, corpus), "policy-hits")
         done = report.investigate(report.attach_policies(usable, packed), model)
         write_batch(done, f"{folder}/reports", batch_id)
         write_batch(rejected, f"{folder}/rejects", batch_id)

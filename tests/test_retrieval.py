@@ -107,7 +107,7 @@ def test_padding_and_frequent_terms(spark, k):
     ] + ["common copy"] * 20
     asked = ["common", "w1 w2 w2 common", "w3 unheard"]
     index = retrieval.build_index(corpus_of(spark, chunks))
-    assert "common" in [r[0] for r in index.frequent().collect()]
+    assert "common" in [r[0] for r in index.frequent.collect()]
     hits = retrieval.retrieve(corpus_of(spark, chunks), queries_of(spark, asked), k=k, index=index)
     got = {}
     for r in rows(hits.orderBy("query_id", "rank")):
