@@ -67,6 +67,11 @@ class Index:
     norms: DataFrame  # chunk_id, norm
 
 
+def _write(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def build_index(
     corpus: DataFrame, stop_words: list[str] | None = None, folder: str | None = None
 ) -> Index:
@@ -75,14 +80,12 @@ def build_index(
     A frequent term may own a third of all term rows; those terms (bounded in number
     by their share) are salted by chunk in the join on the term.
     """
-    spark = corpus.sparkSession
-    folder = folder or shared_folder(spark, "index")
-    term_counts(corpus, "chunk_id", "text", stop_words).write.parquet(f"{folder}/counts")
-    counts = spark.read.parquet(f"{folder}/counts")
-    inverse_frequencies(counts, corpus).write.parquet(f"{folder}/vocabulary")
-    vocabulary = spark.read.parquet(f"{folder}/vocabulary")
-    keys_over_share(vocabulary, "term", "df").write.parquet(f"{folder}/frequent")
-    frequent = spark.read.parquet(f"{folder}/frequent")
+    folder = folder or shared_folder(corpus.sparkSession, "index")
+    counts = _write(
+        term_counts(corpus, "chunk_id", "text", stop_words), f"{folder}/counts"
+    )
+    vocabulary = _write(inverse_frequencies(counts, corpus), f"{folder}/vocabulary")
+    frequent = _write(keys_over_share(vocabulary, "term", "df"), f"{folder}/frequent")
     weights = (
         add_salt(counts, "term", frequent, F.col("chunk_id"), SALTS)
         .join(
@@ -91,8 +94,8 @@ def build_index(
         )
         .select("chunk_id", (F.col("tf") * F.col("idf")).alias("weight"))
     )
-    vector_norms(weights, "chunk_id").write.parquet(f"{folder}/norms")
-    return load_index(spark, folder)
+    norms = _write(vector_norms(weights, "chunk_id"), f"{folder}/norms")
+    return Index(counts, vocabulary, frequent, norms)
 
 
 def load_index(spark: SparkSession, folder: str) -> Index:

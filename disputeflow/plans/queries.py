@@ -552,12 +552,19 @@ def _order_stream(spark, sf_dir):
     return given.from_orders(jobs.read_stream(spark, sf_dir, schema, "orders.parquet"))
 
 
+def _enriched_stream(spark, sf_dir):
+    """The static sides are stored: every micro-batch reads them again."""
+    return jobs.enrich(
+        _order_stream(spark, sf_dir),
+        stored(given.customers(spark, sf_dir), "customers"),
+        stored(given.orders(spark, sf_dir), "orders"),
+    )
+
+
 def streamed_features(spark, sf_dir):
     """Orders as a stream, enriched and scored with the stand-in score."""
     folder = shared_folder(spark, "streamed-features")
-    enriched = jobs.enrich(
-        _order_stream(spark, sf_dir), given.customers(spark, sf_dir), given.orders(spark, sf_dir)
-    )
+    enriched = _enriched_stream(spark, sf_dir)
     scored = report.score_records(enriched.withColumn("score", given.fixture_score()))
     jobs.start_table(scored, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/table")
@@ -569,9 +576,7 @@ def streamed_scores(spark, sf_dir):
     rows = stored(_features(spark, sf_dir), "model-table")
     model = modelling.fit_models(rows, [C.LOGISTIC_REGRESSION])
     sinks.save_model(model[C.LOGISTIC_REGRESSION], f"{folder}/models", C.LOGISTIC_REGRESSION)
-    enriched = jobs.enrich(
-        _order_stream(spark, sf_dir), given.customers(spark, sf_dir), given.orders(spark, sf_dir)
-    )
+    enriched = _enriched_stream(spark, sf_dir)
     newest = jobs.ModelFile(spark, f"{folder}/models", C.LOGISTIC_REGRESSION)
     jobs.start_batches(
         enriched, jobs.score_batches(newest, f"{folder}/table"), f"{folder}/checkpoint"
@@ -598,9 +603,7 @@ def streamed_investigations(spark, sf_dir):
     corpus = given.corpus(spark, sf_dir)
     retrieval.build_index(corpus, folder=f"{folder}/index")
     index = retrieval.load_index(spark, f"{folder}/index")
-    enriched = jobs.enrich(
-        _order_stream(spark, sf_dir), given.customers(spark, sf_dir), given.orders(spark, sf_dir)
-    )
+    enriched = _enriched_stream(spark, sf_dir)
     asked = enriched.withColumns(
         {
             "risk_probability": given.fixture_score(),
