@@ -46,7 +46,6 @@ def with_customers(transactions: DataFrame, customers: DataFrame) -> DataFrame:
         transactions.drop("previous_transactions"),
         customers.select(*CUSTOMER_COLUMNS),
         "customer_id",
-        F.col("transaction_id"),
     )
 
 

@@ -36,7 +36,7 @@ def attach_policies(
     requests: DataFrame, packed: DataFrame, keys: DataFrame | None = None
 ) -> DataFrame:
     """Policy hits of each request's query; most requests share a few queries."""
-    joined = join_dimension(requests, packed, "query_id", F.col("transaction_id"), keys=keys)
+    joined = join_dimension(requests, packed, "query_id", keys=keys)
     kind = packed.schema["policy_evidence"].dataType.simpleString()
     return joined.withColumn(
         "policy_evidence", F.coalesce("policy_evidence", F.array().cast(kind))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 HOT_SHARE = 0.001
 SALTS = 64
@@ -46,7 +46,6 @@ def join_dimension(
     fact: DataFrame,
     dimension: DataFrame,
     key: str,
-    spread: Column,
     share: float = HOT_SHARE,
     salts: int = SALTS,
     keys: DataFrame | None = None,
@@ -55,9 +54,14 @@ def join_dimension(
 
     Spark broadcasts the dimension by itself when its measured size is below
     ``spark.sql.autoBroadcastJoinThreshold``; beyond that the shuffle is on
-    (key, salt), so no task receives all rows of a hot key.  ``keys`` may be a table
-    with the fact's keys that is cheaper to count than the fact itself.
+    (key, salt), so no task receives all rows of a hot key.  The salt is a digest of
+    the whole row: many rows may carry the same (default) id, and a repeated task must
+    find the same salt.  ``keys`` may be a table with the fact's keys that is cheaper
+    to count than the fact itself.
     """
+    spread = F.struct(
+        *[f.name for f in fact.schema.fields if not isinstance(f.dataType, T.MapType)]
+    )
     hot = hot_keys(fact if keys is None else keys, key, share)
     return (
         add_salt(fact, key, hot, spread, salts)

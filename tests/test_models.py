@@ -46,6 +46,11 @@ def test_preprocessing(spark, table):
     assert out[3:] == [0.0, 0.0, 0.0] and np.isfinite(out).all()
 
 
+def test_device_is_an_option(spark, table):
+    assert modelling.preprocessor_for(table).categorical == ["kind"]
+    assert modelling.preprocessor_for(table, False).categorical == ["kind", "device_id"]
+
+
 def newton(x, y, weight, c=1.0):
     """Minimum of c * sum(w * loss) + |b|^2 / 2 with a free intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])

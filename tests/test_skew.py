@@ -36,7 +36,7 @@ def test_join_is_complete_and_spread(spark, no_broadcast):
     right = left.select("customer_id").distinct().where("customer_id IS NOT NULL").where(
         "customer_id <> 'c5'"
     ).withColumn("value", F.length("customer_id"))
-    joined = skew.join_dimension(left, right, "customer_id", F.col("transaction_id"))
+    joined = skew.join_dimension(left, right, "customer_id")
     plain = left.join(right, "customer_id", "left")
     assert sorted(joined.columns) == sorted(plain.columns)
     assert joined.select(*plain.columns).exceptAll(plain).count() == 0
@@ -62,3 +62,34 @@ def test_customer_join_uses_the_balanced_join(spark, no_broadcast):
     joined = features.with_customers(fact(spark), customers)
     assert joined.where("known_devices = 1").count() == 10_000
     assert joined.count() == 30_000
+
+
+def test_equal_ids_are_spread_too(spark, no_broadcast):
+    """Requests without an id all get the same default id."""
+    left = fact(spark).select(
+        F.lit("default").alias("transaction_id"),
+        F.lit(1).alias("query_id"),
+        F.col("transaction_id").cast("double").alias("amount"),
+    )
+    right = spark.createDataFrame([(1, 5)], "query_id int, value int")
+    sizes = (
+        skew.join_dimension(left, right, "query_id")
+        .groupBy(F.spark_partition_id().alias("p"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+        .collect()
+    )
+    assert sum(r["v"] for r in sizes) == 150_000
+    assert max(r["n"] for r in sizes) < 8_000
+
+
+def test_single_file_scans_are_spread(spark, tmp_path):
+    from disputeflow.sources.scans import spread
+
+    path = str(tmp_path / "one")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    rows = spread(spark.read.parquet(path), "id")
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = str(tmp_path / "many")
+    spark.range(1000).repartition(20).write.parquet(many)
+    frame = spark.read.parquet(many)
+    assert spread(frame, "id") is frame
