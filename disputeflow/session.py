@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,13 +30,11 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a session on the local master may fall back to a temporary folder.
+    Where that is unset, below the session's warehouse, which is shared as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="disputeflow-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
