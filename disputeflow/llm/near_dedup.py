@@ -29,9 +29,10 @@ from disputeflow.llm.frames import ROWS, batches, raw, rows, staged
 K = 64
 LEAST = 0.5
 PERCENT = 80
-#: Shingles on either side of a block in ``settle``.
-BLOCK = 300_000
-COLUMNS = 4096
+#: Shingles, and values of sketches, on either side of a block in ``settle``.
+BLOCK, SKETCH_BLOCK = 400_000, 100_000
+#: Columns of an incidence matrix; similar sizes that one range of ``blocks`` spans.
+COLUMNS, RANGES = 4096, 5
 
 
 def text_key(text: str = "text") -> Column:
@@ -163,57 +164,100 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
-def settle(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Links between members of one centre that are in different components.
+def blocks(members: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """Members of one centre dealt to blocks that together hold every pair to be compared.
 
     ``members``: ``(centre, node, label, n, core)``; ``core`` marks the centre's component.
-    Everything outside the core is compared with all members of a similar size, in blocks of
-    about BLOCK shingles on both sides: one block is one group, whatever the list's length.
-    Each block reports one link for each member and component, not all pairs.
+    What is outside the core asks all members of a similar size. Sizes fall in wide ranges;
+    a member hears in each range that a similar size can fall in. Range by range the asking
+    and the hearing members are cut in parts of about ``limit`` in ``weight``, and each pair of
+    parts is a block, so the largest block does not grow with a list.
     """
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
-    asking = members.where(~F.col("core")).select("centre", "node", "label", "n", step.alias("step"))
-    others = members.select(
-        "centre", "node", "label", "n", F.explode(F.array(step - 1, step, step + 1)).alias("step")
-    )
-    place = ["centre", "step"]
-    parts = lambda rows, name: rows.groupBy(place).agg(
-        F.ceil(F.sum("n") / BLOCK).cast("int").alias(name)
+    wide = float(np.log(100 / PERCENT)) * RANGES
+    place = lambda size: F.floor(F.log(size) / wide).cast("int")
+    size = F.col("n").cast("double")
+    slack = 1e-9
+    rows_ = members.select(
+        "centre", "node", "label", "n", "core", weight.alias("weight"), place(size).alias("own"),
+        F.explode(F.sequence(place(size * PERCENT / 100 * (1 - slack)), place(size * 100 / PERCENT * (1 + slack)))).alias("place"),
+    ).withColumn("asks", ~F.col("core") & (F.col("own") == F.col("place")))
+    sizes = rows_.groupBy("centre", "place").agg(
+        F.ceil(F.sum(F.when(F.col("asks"), F.col("weight"))) / limit).cast("int").alias("n_i"),
+        F.ceil(F.sum("weight") / limit).cast("int").alias("n_j"),
+        F.count(F.lit(1)).alias("n_rows"),
+    ).where("n_i > 0 and n_rows > 1").drop("n_rows")
+    i, j = (F.pmod(F.xxhash64("node"), F.col(n)).cast("int") for n in ("n_i", "n_j"))
+    cells = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+    heard = cells("n_i", lambda x: F.struct(x.alias("i"), j.alias("j")))
+    asked = cells("n_j", lambda x: F.struct(i.alias("i"), x.alias("j")))
+    dealt = rows_.join(sizes, ["centre", "place"]).select(
+        "centre", "place", "node", "label", "asks", i.alias("own_i"), j.alias("own_j"),
+        F.explode(F.when(F.col("asks"), F.array_union(heard, asked)).otherwise(heard)).alias("cell"),
     )
-    sizes = parts(asking, "n_i").join(parts(others, "n_j"), place)
-    number = lambda size: F.pmod(F.xxhash64("node"), F.col(size)).cast("int")
-    asks = asking.join(sizes, place).select(
-        *place, "node", "label", F.lit(True).alias("asks"), number("n_i").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)).alias("j"),
+    return dealt.select(
+        "centre", "place", "cell.i", "cell.j", "node", "label",
+        (F.col("asks") & (F.col("own_i") == F.col("cell.i"))).alias("asks"),
+        (F.col("own_j") == F.col("cell.j")).alias("hears"),
     )
-    hears = others.join(sizes, place).select(
-        *place, "node", "label", F.lit(False).alias("asks"),
-        F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("i"), number("n_j").alias("j"),
+
+
+def _sides(table: pa.Table, read) -> tuple:
+    columns = {c: table[c].to_pylist() for c in ("node", "label", "asks", "hears")}
+    sets = [read(x) for x in table["payload"].to_pylist()]
+    ask, hear = ([i for i, x in enumerate(columns[c]) if x] for c in ("asks", "hears"))
+    number: dict[bytes, int] = {}
+    label = np.array([number.setdefault(x, len(number)) for x in columns["label"]])
+    common = _common([sets[i] for i in ask], [sets[i] for i in hear])
+    sizes = np.array([len(s) for s in sets])
+    other = label[ask][:, None] != label[hear][None, :]
+    return columns, ask, hear, common, sizes[ask][:, None], sizes[hear][None, :], other
+
+
+def promising(members: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """``(centre, node)`` of members whose sketch agrees with that of a member of another component."""
+    schema = pa.schema([("centre", pa.binary()), ("node", pa.binary())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        columns, ask, hear, common, x, y, other = _sides(table, lambda small: np.frombuffer(small, np.uint64))
+        # both sketches complete: similarity itself; else the least overlap of an estimate
+        whole = (x < k) & (y < k)
+        agree = np.where(whole, 100 * common >= PERCENT * (x + y - common), common >= LEAST * np.minimum(k, np.minimum(x, y)))
+        p, q = np.nonzero(agree & other)
+        nodes = sorted({columns["node"][ask[i]] for i in p} | {columns["node"][hear[i]] for i in q})
+        centre = table["centre"][0].as_py() if len(table) else None
+        return pa.table([[centre] * len(nodes), nodes], schema=schema)
+
+    dealt = blocks(members, F.least("n", F.lit(k)), SKETCH_BLOCK)
+    payload = reps.select("node", F.col("sketch").alias("payload"))
+    return (
+        dealt.join(payload, "node").groupBy("centre", "place", "i", "j")
+        .applyInArrow(compare, "centre binary, node binary").distinct()
     )
-    blocks = asks.unionByName(hears).join(texts, "node")
+
+
+def settle(members: DataFrame, reps: DataFrame, texts: DataFrame, width: int, k: int) -> DataFrame:
+    """Links between members of one centre that are in different components.
+
+    Sketches tell which members can have such a link, and their full sets decide. A block
+    reports one link for each member and component, not all pairs.
+    """
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def compare(table: pa.Table) -> pa.Table:
-        nodes, labels, sides, sets = [], [], [], []
-        for node, label, asks_, text in zip(*(table[c].to_pylist() for c in ("node", "label", "asks", "text"))):
-            nodes.append(node)
-            labels.append(label)
-            sides.append(asks_)
-            sets.append(hashing.shingles(hashing.word_hashes(text.lower()), width))
-        found = set()
-        ask = [i for i, s in enumerate(sides) if s]
-        hear = [i for i, s in enumerate(sides) if not s]
-        common = _common([sets[i] for i in ask], [sets[i] for i in hear])
-        n_ask = np.array([len(sets[i]) for i in ask])[:, None]
-        n_hear = np.array([len(sets[i]) for i in hear])[None, :]
-        for p, q in zip(*np.nonzero(100 * common >= PERCENT * (n_ask + n_hear - common))):
-            x, y = ask[p], hear[q]
-            if labels[x] != labels[y]:
-                found.add((nodes[x], labels[y]))
-        first = sorted(found)
-        return pa.table([[a for a, _ in first], [b for _, b in first]], schema=schema)
-
-    return blocks.groupBy(*place, "i", "j").applyInArrow(compare, "a binary, b binary")
+        columns, ask, hear, common, x, y, other = _sides(
+            table, lambda text: hashing.shingles(hashing.word_hashes(text.lower()), width)
+        )
+        p, q = np.nonzero((100 * common >= PERCENT * (x + y - common)) & other)
+        found = sorted({(columns["node"][ask[i]], columns["label"][hear[j]]) for i, j in zip(p, q)})
+        return pa.table([[a for a, _ in found], [b for _, b in found]], schema=schema)
+
+    chosen = staged(promising(members, reps, k), "promising")
+    dealt = blocks(members.join(chosen, ["centre", "node"], "left_semi"), F.col("n"), BLOCK)
+    payload = texts.select("node", F.col("text").alias("payload"))
+    return (
+        dealt.join(payload, "node").groupBy("centre", "place", "i", "j")
+        .applyInArrow(compare, "a binary, b binary")
+    )
 
 
 def _common(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
@@ -261,7 +305,7 @@ def near_duplicates(docs: DataFrame, width: int, k: int = K) -> DataFrame:
         ),
         "classes",
     )
-    pairs = staged(stars(postings(reps, k)), "pairs")
+    pairs = staged(stars(staged(postings(reps, k), "postings")), "pairs")
     likely = staged(estimated(pairs, reps, k), "likely")
     member = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("node")), F.struct(F.col("b").alias("node"))))).distinct()
     wanted = reps.join(member, "node", "left_semi").select(
@@ -275,7 +319,7 @@ def near_duplicates(docs: DataFrame, width: int, k: int = K) -> DataFrame:
     )
     links = staged(verified(likely, texts, width), "links")
     labels = components(links)
-    more = settle(_open_members(pairs, reps, labels), texts, width)
+    more = settle(_open_members(pairs, reps, labels), reps, texts, width, k)
     final = components(links.unionByName(staged(more, "links")))
     return _result(marked, final)
 

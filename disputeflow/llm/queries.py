@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from disputeflow.llm import bpe, near_dedup, warc
+from disputeflow.llm import bpe, near_dedup, quality_rules, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_url_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.public_ranks()
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, bpe.PATTERN)
@@ -34,6 +38,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.judged(quality_rules.ledger(docs))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -53,6 +62,42 @@ ORACLES = {
                true AS intact
         FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
     """,
+    "op10_rule_ledger": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)),
+                               lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS w
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5)
+        ), again AS (
+            SELECT doc_id, w FROM windows GROUP BY ALL HAVING count(*) > 1
+        ), covered AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n
+            FROM windows JOIN again USING (doc_id, w), (SELECT unnest(range(5)) AS k)
+            GROUP BY doc_id
+        ), m AS (
+            SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+                   CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(lines) AS BIGINT) AS n_lines,
+                   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                   CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+            FROM d LEFT JOIN covered c USING (doc_id)
+        ), b AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+                   CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END)
+                   + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
+                   + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 4 ELSE 0 END)
+                   + (CASE WHEN 100 * n_symbols > 10 * word_chars THEN 8 ELSE 0 END)
+                   + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END)
+                   + (CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS failure_bits
+            FROM m
+        )
+        SELECT *, failure_bits = 0 AS kept, CAST(2 AS INTEGER) AS policy_version FROM b
+    """,
 }
 
 
