@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct n-grams of its lower-cased words, with a mark at both ends
-of a word, hashed to BUCKETS numbers. Each feature's value is the log ratio of its smoothed
-shares in toxic and other texts, and a logistic regression weighs the values.
+A text's features are the n-grams of its distinct lower-cased words, with a mark at both ends
+of a word, hashed to BUCKETS numbers; a feature counts with the logarithm of the number of
+words that have it, in vectors of length 1. Each is scaled by the log ratio of its smoothed
+means in toxic and other texts, and a logistic regression weighs the scaled values.
 """
 
 from __future__ import annotations
@@ -17,21 +18,21 @@ from disputeflow.llm import labelled
 from disputeflow.llm.frames import batches, raw, rows
 from disputeflow.llm.hashing import mix, pieces
 
-LENGTHS = (3, 4, 5)
+LENGTHS = (3, 5, 7)
 BITS = 18
 BUCKETS = 1 << BITS
 #: The model is fitted on at most so many documents of either label.
 PER_LABEL = 2_000
-#: Added to the share of texts that have a feature, of either label.
-SMOOTHING = 0.005
+#: Added to a feature's mean value in the texts of either label.
+SMOOTHING = 0.001
 PENALTY = 1e-6
 STEPS = 80
-RATE = 0.3
+RATE = 1.0
 PARTS, PART = 5, 0
 
 
-def features(text: bytes) -> np.ndarray:
-    """The distinct feature numbers of a text, ascending."""
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct feature numbers of a text, ascending, and in how many words each occurs."""
     words: set[str] = set()
     for piece in pieces(text):
         words.update(piece.decode().lower().split())
@@ -48,7 +49,16 @@ def features(text: bytes) -> np.ndarray:
         # a space may stand at the ends only
         crossing = inner[n - 2 : n - 2 + count] - inner[:count] if n > 2 else np.zeros(count, int)
         found.append((mix(value[crossing == 0]) >> np.uint64(64 - BITS)).astype(np.int64))
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
+def vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and their values, a vector of length 1 (none for an empty text)."""
+    numbers, counts = features(text)
+    values = np.log1p(counts)
+    return numbers, values / np.sqrt((values * values).sum()) if len(values) else values
 
 
 @dataclass
@@ -57,12 +67,12 @@ class Model:
     bias: float
 
     def score(self, text: bytes) -> float:
-        found = features(text)
-        total = self.bias + float(self.weights[found].sum()) / np.sqrt(max(len(found), 1))
+        numbers, values = vector(text)
+        total = self.bias + float((self.weights[numbers] * values).sum())
         return float(1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
 
-def fit_rows(found: list[np.ndarray], labels: np.ndarray, shares: np.ndarray) -> Model:
+def fit_rows(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares: np.ndarray) -> Model:
     """Naive Bayes ratios, then logistic regression by gradient steps with momentum.
 
     ``shares`` weighs the rows, so that a sample balanced by label gives the probabilities of
@@ -72,16 +82,16 @@ def fit_rows(found: list[np.ndarray], labels: np.ndarray, shares: np.ndarray) ->
         share = float(labels.mean()) if len(labels) else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    sizes = np.array([len(f) for f in found])
-    index = np.concatenate(found)
-    owner = np.repeat(np.arange(len(found)), sizes)
+    index = np.concatenate([numbers for numbers, _ in found])
+    value = np.concatenate([values for _, values in found])
+    owner = np.repeat(np.arange(len(found)), [len(numbers) for numbers, _ in found])
     toxic = labels[owner] == 1
     p, q = (
-        np.bincount(index[side], minlength=BUCKETS) / size + SMOOTHING  # unseen: a ratio of 0
+        np.bincount(index[side], value[side], BUCKETS) / size + SMOOTHING  # unseen: a ratio of 0
         for side, size in ((toxic, (labels == 1).sum()), (~toxic, (labels == 0).sum()))
     )
     ratio = np.log(p / q)
-    value = ratio[index] / np.sqrt(np.maximum(sizes, 1))[owner]
+    value = value * ratio[index]
     weights, bias = np.ones(BUCKETS), 0.0
     first, second = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     shares = shares / shares.sum()
@@ -104,20 +114,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     ``2 * per_label`` rows of at most BUCKETS numbers.
     """
     training = labelled.training_labels(labels, label, labelled.held_out(PARTS, PART)).cache()
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("found", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("found", pa.binary()), ("value", pa.binary())])
 
     def extract(parts):
-        return batches(((i, v, features(t).astype(np.int32).tobytes()) for i, v, t in rows(parts)), schema)
+        def each():
+            for doc_id, value, text in rows(parts):
+                numbers, values = vector(text)
+                yield doc_id, value, numbers.astype(np.int32).tobytes(), values.astype(np.float32).tobytes()
+
+        return batches(each(), schema)
 
     chosen = labelled.sample(docs, training, per_label)
-    made = chosen.select("doc_id", "label", raw("text")).mapInArrow(extract, "doc_id bigint, label int, found binary")
+    made = chosen.select("doc_id", "label", raw("text")).mapInArrow(
+        extract, "doc_id bigint, label int, found binary, value binary"
+    )
     sample = made.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     n = labelled.totals(training)
     training.unpersist()
     values = np.array([r["label"] for r in sample], np.int64)
     taken = np.maximum(np.bincount(values, minlength=2), 1)
     shares = np.array([n[v] / taken[v] for v in values], float)
-    return fit_rows([np.frombuffer(r["found"], np.int32).astype(np.int64) for r in sample], values, shares)
+    found = [(np.frombuffer(r["found"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32)) for r in sample]
+    return fit_rows(found, values, shares)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
