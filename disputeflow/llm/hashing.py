@@ -41,13 +41,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out)
 
 
-_SOME = {b: (_powers(b, 4096), _powers(pow(b, -1, 1 << 64), 4096)) for b in BASES}
+_SOME = {b: (powers(b, 4096), powers(pow(b, -1, 1 << 64), 4096)) for b in BASES}
 
 
 def window_hashes(words: np.ndarray, width: int, base: int = BASES[0]) -> np.ndarray:
@@ -62,7 +62,7 @@ def window_hashes(words: np.ndarray, width: int, base: int = BASES[0]) -> np.nda
         return np.empty(0, np.uint64)
     up, down = _SOME[base]
     if size > len(up):
-        up, down = _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
+        up, down = powers(base, size), powers(pow(base, -1, 1 << 64), size)
     sums = np.empty(size + 1, np.uint64)
     sums[0] = 0
     np.cumsum(words * up[:size], out=sums[1:])
