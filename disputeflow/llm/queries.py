@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from disputeflow.llm import bpe, near_dedup, quality, quality_rules, suffix_dedup, toxicity, url_filter, warc
+from disputeflow.llm import bpe, decontamination, near_dedup, quality, quality_rules, suffix_dedup, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("part", "spans")
+
+
 def op8_naive_bayes_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -76,6 +81,42 @@ ORACLES = {
                true AS intact
         FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
     """,
+    "op7_fm_index_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM benchmark
+        ), phrases AS (
+            SELECT DISTINCT item_id, least(13, len(words)) AS width,
+                   array_to_string(words[i:i + least(13, len(words)) - 1], ' ') AS phrase
+            FROM (SELECT item_id, words, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS i
+                  FROM b WHERE len(words) > 0)
+        ), widths AS (
+            SELECT DISTINCT width FROM phrases
+        ), windows AS (
+            SELECT doc_id, width, i, array_to_string(words[i:i + width - 1], ' ') AS phrase
+            FROM (SELECT doc_id, width, words, unnest(range(1, len(words) - width + 2)) AS i
+                  FROM d, widths WHERE len(words) >= width)
+        ), found AS (
+            SELECT doc_id, w.width, i, item_id FROM windows w JOIN phrases p ON w.phrase = p.phrase AND w.width = p.width
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT place) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + width)) AS place FROM found) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
     "op10_rule_ledger": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text,
