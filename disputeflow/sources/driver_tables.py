@@ -12,9 +12,7 @@ from disputeflow import constants as C
 from disputeflow.functions.texts import numbered
 from disputeflow.operators.audit import reviewer_note
 from disputeflow.operators.evidence import customer_reason, days_later, order_id
-from disputeflow.sources.scans import spread
 
-PROFILE_DATE = "1997-01-01"
 DISPUTED_QUANTITY = 46
 
 
@@ -49,7 +47,7 @@ def transaction_id(number: Column) -> Column:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_orders(spread(read(spark, sf_dir, "orders"), "o_orderkey"))
+    return from_orders(read(spark, sf_dir, "orders"))
 
 
 def from_orders(orders: DataFrame) -> DataFrame:
@@ -61,7 +59,7 @@ def from_orders(orders: DataFrame) -> DataFrame:
         F.col("o_totalprice").alias("amount"),
         F.col("o_orderpriority").alias("payment_method"),
         numbered("DEV_", customer * 4 + F.pmod(key, F.lit(4)), 5).alias("device_id"),
-        pick(C.COUNTRIES, customer).alias("ip_country"),
+        numbered("COUNTRY_", F.pmod(customer, F.lit(25)), 2).alias("ip_country"),
         F.col("o_orderdate").cast("timestamp").alias("transaction_time"),
         F.when(F.col("o_orderstatus") == "F", "failed").otherwise("success").alias(
             "authentication_status"
@@ -94,7 +92,7 @@ def chargebacks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("claimed").alias("claimed_amount"),
         days_later(F.col("shipped"), (F.pmod(key, F.lit(41)) + 5).cast("int")).alias("claim_date"),
         customer_reason(pick(list(C.CUSTOMER_REASONS), key)).alias("customer_reason"),
-        pick(C.CLAIM_STATUSES, key).alias("status"),
+        numbered("STATUS_", F.pmod(key, F.lit(4)), 1).alias("status"),
     )
 
 
@@ -119,7 +117,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(
         order_id(F.col("transaction_id")).alias("order_id"),
         "transaction_id",
-        pick(C.PRODUCT_CATEGORIES, F.col("part")).alias("product_category"),
+        numbered("CATEGORY_", F.pmod("part", F.lit(40)), 2).alias("product_category"),
         F.col("value").alias("product_value"),
         F.concat(F.lit("Address_"), key.cast("string")).alias("shipping_address"),
         F.when(F.col("delivered"), "delivered").otherwise("pending").alias("delivery_status"),
@@ -131,7 +129,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer history as of PROFILE_DATE; customers without history are absent.
+    """History of all orders of a customer, aged to the newest order of the table.
 
     Plain aggregates, combined map-side: a customer owning a third of all orders
     never has its rows gathered in one task.
@@ -142,11 +140,9 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(F.max(_disputed_line().cast("int")).alias("disputed"))
     )
-    past = (
-        read(spark, sf_dir, "orders")
-        .where(F.col("o_orderdate") < F.lit(PROFILE_DATE).cast("timestamp_ntz"))
-        .join(outcome, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    )
+    placed = read(spark, sf_dir, "orders")
+    newest = placed.agg(F.max("o_orderdate").cast("date").alias("d")).scalar()
+    past = placed.join(outcome, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     device = F.pmod(F.col("o_orderkey"), F.lit(4))
     cents = F.sum((F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint"))
     profile = past.groupBy("o_custkey").agg(
@@ -160,7 +156,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return profile.select(
         numbered("CUST_", F.col("o_custkey"), 5).alias("customer_id"),
-        F.date_diff(F.lit(PROFILE_DATE).cast("date"), F.col("first").cast("date")).alias(
+        F.date_diff(newest, F.col("first").cast("date")).alias(
             "account_age_days"
         ),
         F.col("n").cast("int").alias("previous_transactions"),
@@ -273,7 +269,7 @@ def case_of(column: str) -> Column:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spread(read(spark, sf_dir, "events"), "event_id")
+    events = read(spark, sf_dir, "events")
     return review_events(events, transactions(spark, sf_dir))
 
 

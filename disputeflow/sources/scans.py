@@ -8,16 +8,6 @@ from disputeflow import constants as C
 from disputeflow.sources import schemas
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """A scan of fewer files than there are cores, hashed over all cores.
-
-    Files written as one row group cannot be split, so all work up to the next
-    shuffle would share their few tasks.  A scan of many files stays as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if len(rows.inputFiles()) < cores else rows
-
-
 def read_table(spark: SparkSession, path: str, name: str, file_format: str = "csv") -> DataFrame:
     """A canonical table with its declared schema; never inferred."""
     reader = spark.read.schema(schemas.TABLES[name])

@@ -80,16 +80,3 @@ def test_equal_ids_are_spread_too(spark, no_broadcast):
     )
     assert sum(r["v"] for r in sizes) == 150_000
     assert max(r["n"] for r in sizes) < 8_000
-
-
-def test_single_file_scans_are_spread(spark, tmp_path):
-    from disputeflow.sources.scans import spread
-
-    path = str(tmp_path / "one")
-    spark.range(1000).coalesce(1).write.parquet(path)
-    rows = spread(spark.read.parquet(path), "id")
-    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = str(tmp_path / "many")
-    spark.range(1000).repartition(20).write.parquet(many)
-    frame = spark.read.parquet(many)
-    assert spread(frame, "id") is frame
