@@ -1,0 +1,220 @@
+"""Rules, URLs, decontamination and the two classifiers."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from disputeflow.llm import decontamination, fm_index, labelled, quality, quality_rules, toxicity, url_filter
+
+DOCS = "doc_id bigint, text string"
+
+
+# --- rules -----------------------------------------------------------------------------------
+def brute_rules(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines), len(lines) - len(set(lines)), len(covered)
+
+
+def test_measures_equal_brute_force(spark):
+    rng = random.Random(1)
+    parts = ["a", "b", "é", "ab#", "\n", " ", "\t", "\n\n", "c|", "d\r\n", "\x0b", "日本"]
+    texts = ["", None, " \n ", "a " * 5, "a " * 6, "a b c d e a b c d e", "x\nx\n x\n"]
+    texts += [" ".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("n_words", F.lit("clash"))
+    got = {r["doc_id"]: tuple(r[c] for c in quality_rules.MEASURES) for r in quality_rules.measured(frame).collect()}
+    assert got == {i: brute_rules(t) for i, t in enumerate(texts)}
+
+
+def test_ledger_policies_and_ablations(spark):
+    clean = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, clean), (2, clean), (2, clean), (3, "few words"), (4, clean + " ## $$ %% && ||" * 6), (5, None)]
+    ledger = quality_rules.ledger(spark.createDataFrame(rows, DOCS))
+    judged = {r["doc_id"]: r for r in quality_rules.judged(ledger).collect()}
+    assert [judged[i]["kept"] for i in (1, 2, 3, 4, 5)] == [True, True, False, False, False]
+    assert [judged[i]["base_failed"] for i in (1, 3, 5)] == [False, True, True]
+    old = {r["doc_id"]: r["kept"] for r in quality_rules.judged(ledger, version=1).collect()}
+    bits = {r["doc_id"]: r["failure_bits"] for r in ledger.collect()}
+    assert old[4] == (bits[4] & quality_rules.POLICIES[1] == 0)
+    table = {(r["policy_version"], r["rule"]): r for r in quality_rules.ablations(ledger).collect()}
+    assert all(r["n_docs"] == 6 for r in table.values())
+    for (version, rule), r in table.items():
+        policy = quality_rules.POLICIES[version]
+        every = [b for d, b in bits.items() for _ in range(2 if d == 2 else 1)]
+        assert r["n_failed"] == sum(b & policy != 0 for b in every)
+        assert r["n_only_rule"] == sum(b & policy == quality_rules.BITS[rule] for b in every)
+    empty = spark.createDataFrame([], DOCS)
+    assert quality_rules.judged(quality_rules.ledger(empty)).count() == 0
+    assert quality_rules.ablations(quality_rules.ledger(empty)).count() == 0
+
+
+# --- URLs ------------------------------------------------------------------------------------
+def brute_url(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host):])[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    best = (None, None)
+    for verdict, rule in url_filter.RULES:
+        of, _, tail = rule.partition("/")
+        if (host == of or host.endswith("." + of)) and path.startswith("/" + tail) and len(rule) > len(best[0] or ""):
+            best = (rule, verdict)
+    return host, path, *best
+
+
+def test_hosts_paths_and_rules(spark):
+    urls = [
+        None, "", "no", "http://", "http://A.COM", "HTTP://É.com/x", "http://com/", "http://bigcom/x", "x://www.example.com/en/1?a",
+        "x://m.example.com/en/1#b", "x://example.com/en", "http://a.net/es/?q", "http://a.net/fr/x://y.com/", "http://a.net?x/fr/", "http://u@h.com:80/p",
+    ]
+    frame = spark.createDataFrame([(i % 9, u, "x") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
+    got = Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"] if r["rule"] else None) for r in url_filter.judged(frame).collect())
+    want = Counter((i % 9, *brute_url(u)) for i, u in enumerate(urls))
+    assert got == want
+    assert url_filter.judged(frame.limit(0)).count() == 0
+
+
+def test_templates_follow_their_labels(spark):
+    rules = [("block", "a.org/bad/1"), ("allow", "a.org/good/1")]
+    urls = [f"http://a.org/bad/{n}" for n in range(1, 200)] + [f"http://a.org/good/{n}" for n in range(1, 200)]
+    urls += ["http://a.org/other/5", "http://b.org/bad/5"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["template"]) for r in url_filter.judged(frame, rules).collect()}
+    for i, u in enumerate(urls):
+        rule, verdict, template = got[i]
+        if rule is None and u.startswith("http://a.org/"):
+            kind = u.split("/")[3]
+            assert template == f"/{kind}/{{number}}"
+            assert verdict == ("block" if kind == "bad" else "allow")
+    assert got[len(urls) - 1][1] == "allow"
+
+
+def test_rare_segments_become_one_wildcard(spark):
+    urls = [f"http://a.org/{w}" for w in ("x" * 40).split() * 30] + [f"http://a.org/name{c}{d}" for c in "abcdef" for d in "abcdef"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    got = {r["page_id"]: r["template"] for r in url_filter.judged(frame, [("block", "z.org/")]).collect()}
+    assert {got[i] for i in range(30, len(urls))} == {"/{*}"}
+
+
+# --- decontamination ---------------------------------------------------------------------------
+def test_fm_index_finds_every_place():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        text = rng.integers(1, 5, rng.integers(1, 200))
+        index = fm_index.FMIndex(text, 5)
+        phrases = np.zeros((20, 4), np.int64)
+        lengths = rng.integers(1, 5, 20)
+        for row, n in zip(phrases, lengths):
+            row[:n] = rng.integers(1, 6, n)
+        low, high = index.search(phrases, lengths)
+        for row, n, a, b in zip(phrases, lengths, low, high):
+            want = [i for i in range(len(text) - n + 1) if (text[i : i + n] == row[:n]).all()]
+            assert sorted(index.locate(np.arange(a, b))) == want
+
+
+def brute_hits(text, items):
+    def words(t):
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+    own, hit, found = words(text), set(), set()
+    for item, t in items:
+        of = words(t)
+        width = min(13, len(of))
+        windows = {tuple(of[i : i + width]) for i in range(len(of) - width + 1)} if of else set()
+        for i in range(len(own) - width + 1):
+            if tuple(own[i : i + width]) in windows:
+                hit.update(range(i, i + width))
+                found.add(str(item))
+    return len(own), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("shard,block", [(2_000_000, 16 << 20), (40, 60)])
+def test_hits_equal_brute_force(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(decontamination, "SHARD_WORDS", shard)
+    rng = random.Random(2)
+    vocabulary = ["a", "b", "cé", "d1", "E"]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 13, 14, 30])))) for i in range(8)]
+    items = [(i, t) for i, t in items if len(t.split()) > 1] + [(50, "a a a"), (51, "a a a"), (52, None), (53, "--"), (54, "")]
+    docs = [(i, rng.choice([" ", "-", "\n"]).join(rng.choice(vocabulary + ["zz"]) for _ in range(rng.randrange(60)))) for i in range(30)]
+    docs += [(i, "x " * i + t + " y" * 3) for i, t in items if t] + [(90, None), (91, ""), (92, "!"), (7, "a a a"), (7, "a a a")]
+    frame = spark.createDataFrame([(*d, 0) for d in docs], DOCS + ", spans int")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"])
+                 for r in decontamination.hits(frame, benchmark, block_bytes=block).collect())
+    assert got == sorted((i, *brute_hits(t, items)) for i, t in docs)
+    clean = decontamination.clean(frame, benchmark)
+    assert clean.columns == frame.columns
+    bad = {(i, t) for i, t in docs if (h := brute_hits(t, items))[1] and 20 * h[1] >= h[0]}
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter(d for d in docs if d not in bad)
+
+
+def test_empty_benchmark_and_documents(spark):
+    docs = spark.createDataFrame([(1, "a b")], DOCS)
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    r = decontamination.judged(docs, none).first()
+    assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (2, 0, 0, False)
+    assert decontamination.judged(docs.limit(0), none).count() == 0
+
+
+# --- classifiers --------------------------------------------------------------------------------
+def labelled_corpus(spark):
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        words = [rng.choice(["green", "river", "stone", "walking", "evening", "paper"]) for _ in range(60)]
+        if bad:
+            words = [w.upper() + "!!" if rng.random() < 0.5 else "idiotic" for w in words]
+        docs.append((i, " ".join(words)))
+        if i < 500:
+            labels.append((i, int(not bad), int(bad)))
+    docs += [(900, None), (901, ""), (1, docs[1][1]), (None, "river stone")]
+    labels += [(None, 1, 0), (4, None, None), (5, 1, 0), (5, 0, 1)]
+    frame = spark.createDataFrame([(*d, 0.5) for d in docs], DOCS + ", score double")
+    return frame, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+
+
+def test_held_out_follows_the_hash(spark):
+    frame = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id bigint")
+    for r in frame.select("doc_id", labelled.held_out(5, 0).alias("out")).collect():
+        assert r["out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = labelled_corpus(spark)
+    found = toxicity.scored(docs, toxicity.fit(docs, labels)).collect()
+    assert len(found) == docs.count() and all(0 <= r["score"] <= 1 for r in found)
+    out = [r for r in found if r["held_out"] and r["doc_id"] < 600]
+    assert len(out) > 60 and all(r["predicted"] == (r["doc_id"] % 3 == 0) for r in out)
+    empty = toxicity.scored(docs, toxicity.fit(docs, labels.limit(0))).collect()
+    assert {r["score"] for r in empty} == {0.5}
+    assert toxicity.scored(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
+
+
+def test_quality_on_held_out_rows(spark):
+    docs, labels = labelled_corpus(spark)
+    model = quality.fit(docs, labels)
+    found = quality.scored(docs, model).collect()
+    assert len(found) == docs.count() and all(0 <= r["score"] <= 1 for r in found)
+    out = [r for r in found if r["held_out"] and r["doc_id"] < 600]
+    assert len(out) > 60 and all(r["predicted"] == (r["doc_id"] % 3 != 0) for r in out)
+    kept = quality.accepted(docs, model)
+    assert kept.columns == docs.columns
+    want = Counter(r["doc_id"] for r in found if r["predicted"])
+    assert Counter(r["doc_id"] for r in kept.collect()) == want
+    assert quality.scored(docs, quality.fit(docs, labels.limit(0))).count() == docs.count()
+    assert quality.scored(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
