@@ -2,8 +2,9 @@
 
 A review request row holds: review_id, reviewed_at, decision, reviewer_note,
 risk_probability, risk_percentage, risk_level, ai_recommendation, ai_reasoning
-(array of text), policy_evidence (array of {policy, score}) and a ``transaction``
-struct that may repeat the risk and investigation values.
+(text, or array of text), policy_evidence (text, or array of {policy, score}) and a
+``transaction`` struct that may repeat the risk and investigation values. A
+``request_id``, if there, is its identity; otherwise ``review_id`` is.
 """
 
 from __future__ import annotations
@@ -105,8 +106,43 @@ def policy_text(hits: Column) -> Column:
     return F.array_join(F.transform(hits, one), "\n\n")
 
 
+def _items(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _as_text(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
+
+
+def variant_reasoning(value: Column) -> Column:
+    """Text as it is, the items of a list on lines, anything else as its JSON; null is empty."""
+    lines = F.array_join(F.transform(_items(value), _as_text), "\n")
+    return F.coalesce(lines, _as_text(value), F.lit(""))
+
+
+def variant_policies(value: Column) -> Column:
+    """Text as it is, or the items of a list, with their relevance, as paragraphs."""
+
+    def one(item: Column) -> Column:
+        policy = F.coalesce(F.try_variant_get(item, "$.policy", "string"), _as_text(item))
+        score = F.try_variant_get(item, "$.score", "double")
+        return F.when(
+            score.isNotNull(), F.format_string(C.RELEVANCE, policy, decimal_text(score, 4))
+        ).otherwise(policy)
+
+    paragraphs = F.array_join(F.transform(_items(value), one), "\n\n")
+    return F.coalesce(paragraphs, _as_text(value), F.lit(""))
+
+
+def _text_of(rows: DataFrame, column: str, from_list) -> Column:
+    """A text column as it is, a list through ``from_list``."""
+    kind = rows.schema[column].dataType
+    return F.col(column) if kind.typeName() == "string" else from_list(F.col(column))
+
+
 def audit_records(accepted: DataFrame) -> DataFrame:
-    """Audit rows; the key is a digest, so a replayed request gives the same key.
+    """Audit rows; the key is a digest of transaction, decision, identity and time, so a
+    replayed request gives the same key. A missing part is marked, never skipped.
 
     ``id`` is the request's own sequence number: a counter would need one task.
     """
@@ -115,12 +151,14 @@ def audit_records(accepted: DataFrame) -> DataFrame:
     transaction_id = F.coalesce(
         _inside(rows, "transaction_id", F.lit(None).cast("string")), F.lit(C.DEFAULT_TRANSACTION_ID)
     )
+    identity = F.col("request_id" if "request_id" in rows.columns else "review_id")
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("\u0000"))
     moment = F.date_trunc("second", F.col("reviewed_at").cast("timestamp"))
     return rows.select(
         F.sha2(
             F.concat_ws(
-                "|", transaction_id, "decision", F.col("review_id").cast("string"),
-                F.date_format(moment, "yyyy-MM-dd HH:mm:ss"),
+                "|", transaction_id, part(F.col("decision")), part(identity),
+                part(F.date_format(moment, "yyyy-MM-dd HH:mm:ss")),
             ),
             256,
         ).alias("audit_key"),
@@ -140,7 +178,7 @@ def audit_records(accepted: DataFrame) -> DataFrame:
         ).alias("ai_recommendation"),
         F.coalesce(
             first_text(
-                reasoning_text(F.col("ai_reasoning")),
+                _text_of(rows, "ai_reasoning", reasoning_text),
                 text("ai_reasoning"),
                 text("reasoning"),
                 text("investigation_reasoning"),
@@ -149,7 +187,7 @@ def audit_records(accepted: DataFrame) -> DataFrame:
         ).alias("ai_reasoning"),
         F.coalesce(
             first_text(
-                policy_text(F.col("policy_evidence")),
+                _text_of(rows, "policy_evidence", policy_text),
                 text("policy_evidence"),
                 text("supporting_policy_evidence"),
             ),
@@ -181,7 +219,9 @@ def acknowledgements(audit: DataFrame) -> DataFrame:
 
 def history(audit: DataFrame) -> DataFrame:
     """Newest first; replayed rows appear once."""
-    return audit.dropDuplicates(["audit_key"]).orderBy(F.desc("id"))
+    return audit.dropDuplicates(["audit_key"]).orderBy(
+        F.desc("id"), F.desc("timestamp"), F.desc("audit_key")
+    )
 
 
 def record_count(audit: DataFrame) -> DataFrame:

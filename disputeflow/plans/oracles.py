@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import SparkSession
-
 from disputeflow import constants as C
 
 
@@ -381,6 +379,8 @@ CTES["ranked"] = """
                ORDER BY md5(transaction_id), transaction_id) AS rank
     FROM (SELECT transaction_id, chargeback_label,
                  count(*) OVER (PARTITION BY chargeback_label) AS n FROM joined)"""
+CTES["parts"] = """
+    SELECT chargeback_label, rank > round(CAST(0.7 AS DOUBLE) * n) AS test FROM ranked"""
 
 COLUMNS = ", ".join(C.FEATURE_COLUMNS)
 CONFLICT = "len(risk_texts) > 0 AND len(mitigating_texts) > 0"
@@ -548,6 +548,15 @@ BODIES: dict[str, str] = {
                CASE WHEN rank <= round(CAST(0.7 AS DOUBLE) * n) THEN 'train'
                     WHEN rank <= round(CAST(0.85 AS DOUBLE) * n) THEN 'validation'
                     ELSE 'test' END AS part FROM ranked""",
+    "results_sizes": f"""
+        SELECT (SELECT count(*) FROM parts) AS total_dataset_size,
+               (SELECT count(*) FROM parts WHERE NOT test) AS training_set_size,
+               (SELECT count(*) FROM parts WHERE test) AS held_out_test_set_size,
+               (SELECT count(*) FROM parts WHERE chargeback_label = 1) AS positive_class_count,
+               unnest([{', '.join(_text(m) for m in C.MODEL_NAMES)}]) AS model_name,
+               (SELECT count(*) FROM parts WHERE test) AS cells,
+               (SELECT count(*) FROM parts WHERE test AND chargeback_label = 1) AS positives
+        FROM (SELECT 1)""",
     "score_records": f"""
         SELECT transaction_id, round(score, 4) AS risk_probability,
                round(score * 100, 2) AS risk_percentage, {_band('score')} AS risk_level,
@@ -687,6 +696,23 @@ BODIES: dict[str, str] = {
                     ELSE {_band('least(1.0, risk_probability)')} END AS risk_level,
                ai_recommendation, human_decision AS decision, reviewer_note, timestamp
         FROM audit""",
+    "json_reviews": """
+        SELECT sha256(printf('TXN_%06d', event_id) || '|' || decision || '|' || event_id || '-' || copy
+                      || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')) AS audit_key,
+               printf('TXN_%06d', event_id) AS transaction_id, 10.5::DOUBLE AS amount,
+               CASE event_id % 4 WHEN 0 THEN 'first' || chr(10) || event_type
+                    WHEN 1 THEN 'plain ' || event_type ELSE NO_REASONING END AS ai_reasoning,
+               CASE WHEN event_id % 4 = 0
+                    THEN 'P1 (Relevance: 0.5)' || chr(10) || chr(10) || 'P2' || chr(10) || chr(10) || 'P3'
+                    ELSE 'policy text' END AS policy_evidence,
+               decision AS human_decision, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp
+        FROM (SELECT *, CASE WHEN event_type = 'error' THEN 'REJECTED' ELSE 'APPROVED' END AS decision,
+                     unnest(['a', 'b']) AS copy FROM events)
+        WHERE event_id % 11 <> 5 AND event_id % 13 <> 7""".replace("NO_REASONING", _text(C.DEFAULT_REASONING)),
+    "json_review_rejects": """
+        SELECT CASE WHEN event_id % 13 = 7 THEN 'request has no identity' ELSE 'malformed request' END
+                   AS error, CAST(2 * count(*) AS BIGINT) AS n
+        FROM events WHERE event_id % 11 = 5 OR event_id % 13 = 7 GROUP BY 1""",
     "streamed_features": f"""
         SELECT transaction_id, round(score, 4) AS risk_probability,
                round(score * 100, 2) AS risk_percentage, {_band('score')} AS risk_level,
@@ -710,8 +736,6 @@ def _needed(sql: str) -> list[str]:
 def oracle_sql() -> dict[str, str]:
     from disputeflow.functions.stopwords import english_stop_words
 
-    if SparkSession.getActiveSession() is None:
-        SparkSession.builder.getOrCreate()
     stopped = ", ".join(_text(w) for w in english_stop_words())
     out = {}
     for name, body in BODIES.items():

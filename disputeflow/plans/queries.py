@@ -327,12 +327,36 @@ def selected_model(spark, sf_dir):
     return chosen.select("model", "f1", "recall", "estimated_cost", "selection_reason")
 
 
+def _results(spark, sf_dir):
+    """All rows and both parts are counted, the test part is evaluated."""
+    parts = stored(split_70_30(spark, sf_dir), "parts")
+    held_out = parts.where(F.col("part") == "test").select("transaction_id")
+    tested = _three_models(spark, sf_dir).join(held_out, "transaction_id", "left_semi")
+    return evaluation.results_document(parts, parts, evaluation.evaluate(tested))
+
+
 def results_document(spark, sf_dir):
-    parts = split_70_30(spark, sf_dir)
-    document = evaluation.results_document(
-        parts, parts, evaluation.evaluate(_three_models(spark, sf_dir))
+    return _results(spark, sf_dir).select(F.to_json(F.struct("*")).alias("document"))
+
+
+def results_sizes(spark, sf_dir):
+    """Sizes of the results document, with the cells of each model's confusion matrix."""
+    document = _results(spark, sf_dir)
+    each = document.select(
+        "dataset_metadata.total_dataset_size",
+        "dataset_metadata.training_set_size",
+        "dataset_metadata.held_out_test_set_size",
+        "dataset_metadata.positive_class_count",
+        F.explode("model_evaluations").alias("m"),
+    )
+    cells = F.col("m.confusion_matrix")
+    return each.select(
+        "total_dataset_size", "training_set_size", "held_out_test_set_size",
+        "positive_class_count", "m.model_name",
+        (cells["true_negatives"] + cells["false_positives"] + cells["false_negatives"]
+         + cells["true_positives"]).alias("cells"),
+        (cells["false_negatives"] + cells["true_positives"]).alias("positives"),
     )
-    return document.select(F.to_json(F.struct("*")).alias("document"))
 
 
 # --- retrieval -----------------------------------------------------------------------------------
@@ -521,6 +545,53 @@ def audit_display(spark, sf_dir):
     return audit.display(_audit(spark, sf_dir))
 
 
+def _json_reviews(spark, sf_dir):
+    """Events as JSON review requests: each is sent twice, with equal content but another
+    identity; reasoning is text, a list or absent, and some requests are broken."""
+    events = given.read(spark, sf_dir, "events")
+    n = F.col("event_id")
+    case = F.pmod(n, F.lit(4))
+    reasoning = (
+        F.when(case == 0, F.to_json(F.array(F.lit("first"), F.col("event_type"))))
+        .when(case == 1, F.concat(F.lit('"plain '), F.col("event_type"), F.lit('"')))
+        .otherwise(F.lit("null"))
+    )
+    evidence_ = F.when(
+        case == 0, F.lit('[{"policy": "P1", "score": 0.5}, {"policy": "P2"}, "P3"]')
+    ).otherwise(F.lit('"policy text"'))
+    decision = F.when(F.col("event_type") == "error", "REJECTED").otherwise("APPROVED")
+    whole = F.concat(
+        F.lit('{"transaction": {"transaction_id": "'), given.transaction_id(n),
+        F.lit('", "amount": 10.5}, "decision": "'), decision, F.lit('", "ai_reasoning": '),
+        reasoning, F.lit(', "policy_evidence": '), evidence_, F.lit("}"),
+    )
+    value = F.when(F.pmod(n, F.lit(11)) == 5, "{broken").otherwise(whole)
+    twice = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("copy")
+    sent = events.select("event_id", "ts", value.alias("value"), twice)
+    identity = F.when(
+        F.pmod(n, F.lit(13)) != 7, F.concat(n.cast("string"), F.lit("-"), F.col("copy"))
+    )
+    return requests.review_requests(
+        sent.withColumn("request_id", identity), received=F.col("ts").cast("timestamp")
+    )
+
+
+def json_reviews(spark, sf_dir):
+    """Audit rows of the JSON requests; equal decisions stay two."""
+    good, _ = _json_reviews(spark, sf_dir)
+    accepted, _ = audit.split_by_decision(good)
+    done = audit.audit_records(accepted).dropDuplicates(["audit_key"])
+    return _shown(done).select(
+        "audit_key", "transaction_id", "amount", "ai_reasoning", "policy_evidence",
+        "human_decision", "timestamp",
+    )
+
+
+def json_review_rejects(spark, sf_dir):
+    _, rejected = _json_reviews(spark, sf_dir)
+    return rejected.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- models --------------------------------------------------------------------------------------------
 def _evaluated(spark, sf_dir, names, **settings):
     rows = _features(spark, sf_dir)
@@ -598,19 +669,21 @@ def streamed_reviews(spark, sf_dir):
 
 
 def streamed_investigations(spark, sf_dir):
-    """Orders as a stream of investigation requests."""
+    """Orders as a stream of investigation requests, each with one of the given questions."""
     folder = shared_folder(spark, "streamed-investigations")
     corpus = given.corpus(spark, sf_dir)
     retrieval.build_index(corpus, folder=f"{folder}/index")
     index = retrieval.load_index(spark, f"{folder}/index")
     enriched = _enriched_stream(spark, sf_dir)
+    questions = stored(given.questions(spark, sf_dir), "questions")
+    n_questions = questions.count()
+    number = F.regexp_extract("transaction_id", r"(\d+)$", 1).cast("bigint")
     asked = enriched.withColumns(
         {
             "risk_probability": given.fixture_score(),
-            "query_id": F.lit(0),
-            "query": F.lit("the worthless on the reason of an house"),
+            "query_id": F.pmod(number, F.lit(n_questions)),
         }
-    )
+    ).join(questions, "query_id", "left")
     titled = corpus.select(
         "chunk_id", F.concat(F.lit("DOC_"), F.col("chunk_id").cast("string")).alias("text")
     )
@@ -634,13 +707,13 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     split_70_30, split_70_15_15, score_records, confusion_matrix,
     classification_metrics, roc_auc, threshold_sweep, best_threshold,
     false_positive_volume, model_evaluations, one_model_evaluation, ranked_models, selected_model,
-    results_document, document_chunks, term_statistics, document_norms,
+    results_document, results_sizes, document_chunks, term_statistics, document_norms,
     question_weights, retrieval_top_k, retrieval_padded,
     retrieval_lists, risk_signals, mitigating_signals, amount_over_average,
     normalised_probabilities, review_routing, investigation_reports,
     report_documents, request_scores, incomplete_requests, rejected_reviews, resolved_reviews,
     audit_records, review_acknowledgements, audit_history, audit_count,
-    audit_display,
+    audit_display, json_reviews, json_review_rejects,
     logistic_regression, random_forest, boosted_trees, streamed_features,
     streamed_scores, streamed_reviews, streamed_investigations,
 ]

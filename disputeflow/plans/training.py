@@ -33,12 +33,14 @@ def recommend_threshold(
     folder: str,
     thresholds: list[float] = C.THRESHOLDS,
 ) -> tuple[str, DataFrame, DataFrame]:
-    """(best model, threshold table, cheapest row) for the saved model with the best F1.
+    """(best model, threshold table, cheapest row) for the saved model with the best F1,
+    the first listed of equal ones.
 
     The scored rows are reduced to label and score and stored, as the sweep and the
     choice both need them.
     """
-    best = results.orderBy(F.desc("f1")).select("model").first()["model"]
+    listed = F.array_position(F.array(*map(F.lit, C.MODEL_NAMES)), F.col("model"))
+    best = results.orderBy(F.desc("f1"), listed).select("model").first()["model"]
     scored = modelling.score(sinks.load_model(folder, best), test).select(C.TARGET, "score")
     sweep = metrics.threshold_sweep(stored(scored, "scored"), thresholds)
     return best, sweep.orderBy("threshold"), metrics.best_threshold(sweep)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from disputeflow import constants as C
+from disputeflow.operators.audit import variant_policies, variant_reasoning
 from disputeflow.operators.report import reject_incomplete
 from disputeflow.sources import schemas
 
@@ -36,15 +37,44 @@ def score_requests(rows: DataFrame, column: str = "value") -> tuple[DataFrame, D
     return complete.drop(CORRUPT), rejected
 
 
-def review_requests(rows: DataFrame, column: str = "value") -> DataFrame:
-    """Review requests with the published defaults for absent fields."""
-    parsed = parse_json(rows, column, schemas.REVIEW_REQUEST)
-    return parsed.withColumns(
+def review_requests(
+    rows: DataFrame,
+    column: str = "value",
+    identity: str = "request_id",
+    received: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(review requests with the published defaults, rejects with an error).
+
+    ``identity`` names a column that tells requests apart for good (the caller's id, or
+    source file and offset): two equal decisions on one transaction are two requests, and a
+    replayed one is the same. A request has no time of its own, so it gets ``received``, the
+    current second unless given; store the result, so that a replay keeps it.
+    Reasoning and evidence may be text, a list or any other value. Requests without an
+    identity, a decision or readable JSON are rejects.
+    """
+    parsed = parse_json(rows.withColumn("_raw", F.col(column)), column, schemas.REVIEW_REQUEST)
+    known = F.col(identity).cast("string")
+    error = (
+        F.when(known.isNull(), F.lit("request has no identity"))
+        .when(F.col(CORRUPT).isNotNull() | F.col("transaction").isNull(), F.lit("malformed request"))
+        .when(F.col("decision").isNull(), F.lit("missing decision"))
+    )
+    tagged = parsed.withColumn("error", error)
+    clock = F.current_timestamp() if received is None else received
+    good = tagged.where("error is null").withColumns(
         {
+            "request_id": known,
+            "reviewed_at": F.coalesce("reviewed_at", F.date_trunc("second", clock)),
             "reviewer_note": F.coalesce("reviewer_note", F.lit("")),
             "risk_probability": F.coalesce("risk_probability", F.lit(0.0)),
             "risk_percentage": F.coalesce("risk_percentage", F.lit(0.0)),
             "risk_level": F.coalesce("risk_level", F.lit(C.UNKNOWN_LEVEL)),
             "ai_recommendation": F.coalesce("ai_recommendation", F.lit("")),
+            "ai_reasoning": variant_reasoning(F.col("ai_reasoning")),
+            "policy_evidence": variant_policies(F.col("policy_evidence")),
         }
     )
+    rejected = tagged.where("error is not null").select(
+        known.alias("request_id"), F.col("_raw").alias("request"), "error"
+    )
+    return good.drop("error", "_raw", CORRUPT), rejected

@@ -58,7 +58,7 @@ REVIEW_REQUEST = f"""
     review_id bigint, reviewed_at timestamp, transaction {REVIEW_TRANSACTION},
     decision string, reviewer_note string, risk_probability double,
     risk_percentage double, risk_level string, ai_recommendation string,
-    ai_reasoning array<string>, policy_evidence array<struct<policy:string,score:double>>
+    ai_reasoning variant, policy_evidence variant
 """
 AUDIT = """
     audit_key string NOT NULL, id bigint, transaction_id string NOT NULL, amount double,

@@ -7,6 +7,7 @@ repeated after a failure replaces its earlier output instead of adding to it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 from disputeflow import constants as C
 from disputeflow.operators import audit, features, report, retrieval
 from disputeflow.plans.modelling import score
-from disputeflow.session import stored
 from disputeflow.sources.sinks import load_model, model_path
 
 
@@ -85,6 +85,16 @@ def start_batches(
     )
 
 
+@contextmanager
+def held(batch: DataFrame):
+    """The batch in memory, so that its several writes read the source once."""
+    batch.persist()
+    try:
+        yield batch
+    finally:
+        batch.unpersist()
+
+
 def write_batch(rows: DataFrame, folder: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
@@ -123,13 +133,17 @@ def investigate_batches(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        usable, rejected = report.reject_incomplete(batch, ["transaction_id", "risk_probability"])
-        queries = usable.select("query_id", "query").dropDuplicates(["query_id"])
-        hits = retrieval.retrieve(corpus, queries, index=index)
-        packed = stored(retrieval.pack_hits(hits, corpus), "policy-hits")
-        done = report.investigate(report.attach_policies(usable, packed), model)
-        write_batch(done, f"{folder}/reports", batch_id)
-        write_batch(rejected, f"{folder}/rejects", batch_id)
+        with held(batch):
+            usable, rejected = report.reject_incomplete(
+                batch, ["transaction_id", "risk_probability"]
+            )
+            queries = usable.select("query_id", "query").dropDuplicates(["query_id"])
+            hits = retrieval.retrieve(corpus, queries, index=index)
+            write_batch(retrieval.pack_hits(hits, corpus), f"{folder}/policy-hits", batch_id)
+            packed = batch.sparkSession.read.parquet(f"{folder}/policy-hits/batch_id={batch_id}")
+            done = report.investigate(report.attach_policies(usable, packed), model)
+            write_batch(done, f"{folder}/reports", batch_id)
+            write_batch(rejected, f"{folder}/rejects", batch_id)
 
     return each
 
@@ -138,11 +152,12 @@ def review_batches(folder: str) -> Callable[[DataFrame, int], None]:
     """Valid decisions to the audit table, the others to a side table."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        accepted, rejected = audit.split_by_decision(batch)
-        rows = audit.audit_records(accepted).withColumn("review_date", F.to_date("timestamp"))
-        rows.write.mode("overwrite").partitionBy("review_date").parquet(
-            f"{folder}/audit/batch_id={batch_id}"
-        )
-        write_batch(rejected, f"{folder}/rejects", batch_id)
+        with held(batch):
+            accepted, rejected = audit.split_by_decision(batch)
+            rows = audit.audit_records(accepted).withColumn("review_date", F.to_date("timestamp"))
+            rows.write.mode("overwrite").partitionBy("review_date").parquet(
+                f"{folder}/audit/batch_id={batch_id}"
+            )
+            write_batch(rejected, f"{folder}/rejects", batch_id)
 
     return each

@@ -28,7 +28,9 @@ BASE = {
 def requests(spark, *changes):
     from pyspark.sql.types import StructType
 
-    schema = StructType.fromDDL(schemas.REVIEW_REQUEST)
+    lists = "ai_reasoning array<string>, policy_evidence array<struct<policy:string,score:double>>"
+    text = schemas.REVIEW_REQUEST.replace("ai_reasoning variant, policy_evidence variant", lists)
+    schema = StructType.fromDDL(text)
     inner = schema["transaction"].dataType.names
     data = []
     for i, change in enumerate(changes):

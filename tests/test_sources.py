@@ -4,9 +4,10 @@ import json
 
 import pytest
 from conftest import one, rows
+from pyspark.sql import functions as F
 
 from disputeflow import constants as C
-from disputeflow.operators import metrics
+from disputeflow.operators import audit, metrics
 from disputeflow.sources import requests, scans, sinks
 
 REQUEST = {
@@ -41,10 +42,36 @@ def test_score_requests(spark):
 
 def test_review_requests_take_defaults(spark):
     text = texts(spark, {"transaction": {"transaction_id": "T1", "risk_probability": 0.9},
-                         "decision": "ESCALATED"})
-    r = one(requests.review_requests(text))
+                         "decision": "ESCALATED"}).withColumn("request_id", F.lit("r1"))
+    good, rejected = requests.review_requests(text)
+    r = one(good)
     assert (r["risk_level"], r["risk_probability"], r["reviewer_note"]) == ("UNKNOWN", 0.0, "")
     assert r["transaction"]["risk_probability"] == 0.9
+    assert r["reviewed_at"] is not None and r["ai_reasoning"] == ""
+    assert rows(rejected) == []
+
+
+def test_equal_review_decisions_stay_apart(spark):
+    said = {"transaction": {"transaction_id": "T"}, "decision": "APPROVED"}
+    text = texts(spark, said | {"ai_reasoning": "plain"}, said | {"ai_reasoning": ["a", "b"]}).withColumn(
+        "request_id", F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string"))
+    )
+    good, _ = requests.review_requests(text)
+    kept = rows(audit.history(audit.audit_records(good)))
+    assert sorted(r["ai_reasoning"] for r in kept) == ["a\nb", "plain"]
+    assert all(r["timestamp"] is not None for r in kept)
+
+
+def test_review_rejects(spark):
+    text = spark.createDataFrame(
+        [("{x", "1"), ('{"decision": "APPROVED", "transaction": {}}', None), ('{"transaction": {}}', "2")],
+        "value string, request_id string",
+    )
+    good, rejected = requests.review_requests(text)
+    assert rows(good) == []
+    assert sorted(r["error"] for r in rows(rejected)) == [
+        "malformed request", "missing decision", "request has no identity"
+    ]
 
 
 def test_csv_tables(spark, tmp_path):
