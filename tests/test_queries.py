@@ -6,15 +6,17 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import connect, difference
+from disputeflow.plans import oracles
+from disputeflow.plans.queries import registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-SLOW = {"logistic_regression", "random_forest", "boosted_trees", "streamed_scores"}
+QUERIES = registry()
+SLOW = {"random_forest", "boosted_trees"}  # 300 trees each; test_models.py fits smaller ones
 
 
 @pytest.fixture(scope="module")
 def oracle(spark):
-    return entry_points.oracle_sql(), connect(SF)
+    return oracles.oracle_sql(), connect(SF)
 
 
 @pytest.mark.parametrize("name", [q for q in QUERIES if q not in SLOW])
@@ -31,6 +33,12 @@ def test_every_twin_has_a_query(oracle):
     assert set(oracle[0]) <= set(QUERIES)
 
 
+def test_registered():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(oracles.oracle_sql()) <= set(entry_points.oracle_sql())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+
+
 def test_entry(spark):
     frame = entry_points.entry(spark)
     assert frame.columns == ["risk_level", "transactions", "disputes", "amount"]
