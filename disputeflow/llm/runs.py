@@ -15,16 +15,18 @@ ROW, FIRST_RUN, LAST_RUN, LAST_ROW = 0, 1, 2, 3
 
 
 def runs(rows: DataFrame, keys: list[str], extra: list[str] = (), singles: bool = False) -> DataFrame:
-    """Rows whose keys occur twice or more, with the place of the key's first row.
+    """Rows whose keys occur twice or more, with an earlier place of the key.
 
     ``rows`` has bigint ``keys``, ``doc`` bigint, ``part`` int, ``at`` int and int ``extra``
-    columns. The result adds ``first_doc``, ``first_part``, ``first_at`` and ``again``, true for
-    all but the first place of a key. ``singles`` keeps rows of other keys too, not ``again``.
+    columns. The result adds ``again``, true for all but the first place of a key, and
+    ``first_doc``, ``first_part``, ``first_at``: the key's first place, or where a key's rows fill
+    several partitions, for most of its rows the first in the same partition. ``singles``
+    keeps rows of other keys too, not ``again``.
 
     Rows are dealt by ranges of key and place, so that a key with a third of all rows is cut
-    into many partitions, and sorted there. One pass compares neighbours. Only the first run
-    of a partition may have begun earlier: its rows wait for the first and last runs of
-    all partitions, which are two rows a partition at most and hence broadcast.
+    into many partitions, and sorted there. One pass compares neighbours. Only a
+    partition's first row may have an equal one in an earlier partition, and its last in a later:
+    these wait for those of all partitions, two rows a partition at most and hence broadcast.
     """
     columns = [*keys, *PLACE, *extra]
     types = [pa.int64()] * (len(keys) + 1) + [pa.int32()] * (2 + len(extra))
@@ -50,30 +52,27 @@ def runs(rows: DataFrame, keys: list[str], extra: list[str] = (), singles: bool
             place = [np.where(start < 0, held["first"][i] if held else 0, data[width + i][np.maximum(start, 0)]) for i in range(3)]
             follows = np.append(~new[1:], False)
             size = np.where(new & ~follows, 1, 2).astype(np.int32)
-            in_first = np.zeros(n, bool)
-            if held is None or held["in_first"]:
-                later = np.flatnonzero(new[1:]) + 1 if held is None else np.flatnonzero(new)
-                in_first[: later[0] if len(later) else n] = True
             if held is not None and held["alone"]:
-                yield _one(held, schema, 1 if new[0] else 2, FIRST_RUN if held["in_first"] else ROW)
-            wanted = in_first | (size > 1) | singles
+                wait = held["opening"] and FIRST_RUN
+                if not new[0] or wait or singles:
+                    yield _one(held, schema, 1 if new[0] else 2, wait or ROW)
+            kind = np.full(n, ROW, np.int32)
+            kind[0] = FIRST_RUN if held is None else ROW
+            wanted = (kind == FIRST_RUN) | (size > 1) | singles
             wanted[-1] &= not new[-1]  # a run that begins with the last row is not known yet
-            kind = np.where(in_first, FIRST_RUN, ROW).astype(np.int32)
             if wanted.any():
                 arrays = [pa.array(x[wanted], t.type) for x, t in zip([*data, *place, size, kind], schema)]
                 yield pa.record_batch(arrays, schema=schema)
             last = [x[-1].item() for x in data]
+            first_run = not new[1:].any() if held is None else held["first_run"] and not new.any()
             held = {
-                "key": last[:width], "row": last, "first": [p[-1].item() for p in place],
-                "alone": bool(new[-1]), "in_first": bool(in_first[-1]),
+                "key": last[:width], "row": last, "first": [p[-1].item() for p in place], "alone": bool(new[-1]),
+                "opening": held is None and n == 1, "first_run": bool(first_run),
             }
         if held is not None:
-            if held["in_first"]:
-                if held["alone"]:
-                    yield _one(held, schema, 1, FIRST_RUN)
-            elif held["alone"]:
-                yield _one(held, schema, 1, LAST_ROW)
-            else:
+            if held["alone"]:
+                yield _one(held, schema, 1, FIRST_RUN if held["opening"] else LAST_ROW)
+            elif not held["first_run"]:
                 mark = held | {"row": [*held["key"], *held["first"], *([0] * len(extra))]}
                 yield _one(mark, schema, 2, LAST_RUN)
 
@@ -90,7 +89,7 @@ def runs(rows: DataFrame, keys: list[str], extra: list[str] = (), singles: bool
     open_ = found.where(F.col("kind").isin(FIRST_RUN, LAST_ROW)).join(F.broadcast(edges), keys)
     settled = open_.select(
         *columns, F.col("e_doc").alias("first_doc"), F.col("e_part").alias("first_part"), F.col("e_at").alias("first_at"),
-        F.least(F.col("n"), F.lit(2)).cast("int").alias("size"),
+        F.greatest("size", F.least(F.col("n"), F.lit(2)).cast("int")).alias("size"),
     )
     every = sure.select(*settled.columns).unionByName(settled)
     again = ~((F.col("doc") == F.col("first_doc")) & (F.col("part") == F.col("first_part")) & (F.col("at") == F.col("first_at")))
