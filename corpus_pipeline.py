@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from disputeflow.llm import bpe, decontamination, near_dedup, quality, suffix_dedup
-from disputeflow.llm.frames import staged
+from disputeflow.llm.frames import kept
 from disputeflow.llm.queries import table
 
 
@@ -54,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs = kept(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

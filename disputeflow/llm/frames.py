@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from disputeflow.session import stored
+from disputeflow.session import shared_folder, stored
 
 ROWS = 2_000
 
@@ -42,6 +45,39 @@ def _batch(buffer: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*buffer), schema)], schema=schema)
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are ``staged`` within are deleted at the end; what is to last is ``kept``."""
+    folder = shared_folder(spark, "scratch")
+    token = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        delete(spark, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(frame: DataFrame, purpose: str) -> DataFrame:
-    """``frame`` written once to the shared folder and read back: later passes reread it."""
+    """``frame`` written once to the shared folder and read back: later passes reread it.
+
+    Within ``scratch`` it goes with the other scratch tables.
+    """
+    folder = _SCRATCH.get()
+    if folder is None:
+        return stored(frame, purpose)
+    path = f"{folder}/{purpose.replace(' ', '-')}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def kept(frame: DataFrame, purpose: str) -> DataFrame:
+    """``frame`` written to the shared folder to stay, and read back."""
     return stored(frame, purpose)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from disputeflow.llm import hashing
 from disputeflow.llm.components import components
-from disputeflow.llm.frames import ROWS, batches, raw, rows, staged
+from disputeflow.llm.frames import ROWS, batches, kept, raw, rows, scratch, staged
 
 K = 64
 LEAST = 0.5
@@ -330,6 +330,11 @@ def near_duplicates(docs: DataFrame, width: int, k: int = K) -> DataFrame:
     ``kept`` tells whether it is the row's own. An empty table gives no rows; columns other
     than doc_id and text are not read.
     """
+    with scratch(docs.sparkSession):
+        return kept(_near_duplicates(docs, width, k), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, width: int, k: int) -> DataFrame:
     marked = staged(sketches(docs, width, k), "sketches")
     words = marked.where("node is not null")
     reps = staged(
@@ -393,7 +398,7 @@ def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     Texts without words all stay. Of rows that share that doc_id, the one with the smallest
     text digest stays; a row repeated as it is stays once.
     """
-    found = staged(near_duplicates(docs, width), "components")
+    found = near_duplicates(docs, width)
     winner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("winner")
     groups = found.where("component is not null").groupBy("component").agg(winner)
     chosen = groups.select("winner.doc_id", "winner.text_key").unionByName(

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from disputeflow.llm import hashing
-from disputeflow.llm.frames import raw, rows, staged
+from disputeflow.llm.frames import kept, raw, rows, scratch, staged
 from disputeflow.llm.runs import NO_ID, PLACE, runs
 
 WORDS = 50
@@ -159,9 +159,14 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> Dat
     Null and empty texts, and texts of fewer than ``words`` words, have none. Rows repeated as
     they are count as one document. Only doc_id and text are read.
     """
-    kept = staged(suffixes(docs, words, seed), "suffixes")
-    same_seed = runs(kept, ["seed"], ["span"]).select("seed", *PLACE).distinct()
-    reach = kept.join(same_seed, ["seed", *PLACE], "left_semi")
+    with scratch(docs.sparkSession):
+        return kept(_repeated_spans(docs, words, seed), "repeated-spans")
+
+
+def _repeated_spans(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    chosen = staged(suffixes(docs, words, seed), "suffixes")
+    same_seed = runs(chosen, ["seed"], ["span"]).select("seed", *PLACE).distinct()
+    reach = chosen.join(same_seed, ["seed", *PLACE], "left_semi")
     known = staged(runs(staged(reach, "reaches"), ["reach_a", "reach_b"], ["span"], singles=True), "reaches")
     whole = known.where("again").select(
         "doc", "part", F.col("at").alias("start"), (F.col("at") + F.col("span")).cast("int").alias("end"), "first_doc"

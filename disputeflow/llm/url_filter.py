@@ -12,7 +12,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from disputeflow.llm.frames import staged
+from disputeflow.llm.frames import kept, scratch, staged
 
 #: (verdict, host and path)
 RULES = [
@@ -103,6 +103,11 @@ def _level(tree: DataFrame, level: int) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """``(host, shape, template, purity, rejected)`` from pages with host, shape and verdict."""
+    with scratch(pages.sparkSession):
+        return kept(_templates(pages), "templates")
+
+
+def _templates(pages: DataFrame) -> DataFrame:
     blocked = F.coalesce((F.col("verdict") == "block").cast("bigint"), F.lit(0))
     tree = pages.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"),

@@ -51,7 +51,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, ids = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.staged(stage(spark, docs, SF), name)
+        docs = corpus_pipeline.kept(stage(spark, docs, SF), name)
         assert docs.columns == columns
         left = {r["doc_id"] for r in docs.select("doc_id").collect()}
         assert left <= ids and len(left) > 0.7 * len(ids)
