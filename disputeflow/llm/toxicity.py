@@ -28,6 +28,8 @@ SMOOTHING = 0.001
 PENALTY = 1e-6
 STEPS = 80
 RATE = 1.0
+#: Rows of the sample that a gradient step takes together.
+BATCH = 200
 PARTS, PART = 5, 0
 
 
@@ -82,24 +84,28 @@ def fit_rows(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, sha
         share = float(labels.mean()) if len(labels) else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    index = np.concatenate([numbers for numbers, _ in found])
-    value = np.concatenate([values for _, values in found])
-    owner = np.repeat(np.arange(len(found)), [len(numbers) for numbers, _ in found])
-    toxic = labels[owner] == 1
+    toxic = labels == 1
     p, q = (
-        np.bincount(index[side], value[side], BUCKETS) / size + SMOOTHING  # unseen: a ratio of 0
-        for side, size in ((toxic, (labels == 1).sum()), (~toxic, (labels == 0).sum()))
+        _sums([f for f, own in zip(found, side) if own]) / side.sum() + SMOOTHING  # unseen: a ratio of 0
+        for side in (toxic, ~toxic)
     )
     ratio = np.log(p / q)
-    value = value * ratio[index]
     weights, bias = np.ones(BUCKETS), 0.0
     first, second = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     shares = shares / shares.sum()
     for step in range(1, STEPS + 1):
-        total = np.bincount(owner, value * weights[index], len(found)) + bias
-        error = (1 / (1 + np.exp(-np.clip(total, -35, 35))) - labels) * shares
-        slope = np.bincount(index, value * error[owner], BUCKETS) + PENALTY * (weights - 1)
-        slope = np.append(slope, error.sum())
+        scaled = weights * ratio
+        slope = np.zeros(BUCKETS + 1)
+        for start in range(0, len(found), BATCH):
+            rows_ = slice(start, start + BATCH)
+            index = np.concatenate([numbers for numbers, _ in found[rows_]])
+            value = np.concatenate([values for _, values in found[rows_]])
+            owner = np.repeat(np.arange(len(found[rows_])), [len(numbers) for numbers, _ in found[rows_]])
+            total = np.bincount(owner, value * scaled[index], len(found[rows_])) + bias
+            error = (1 / (1 + np.exp(-np.clip(total, -35, 35))) - labels[rows_]) * shares[rows_]
+            slope[:-1] += np.bincount(index, value * error[owner], BUCKETS)
+            slope[-1] += error.sum()
+        slope[:-1] = slope[:-1] * ratio + PENALTY * (weights - 1)
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -107,6 +113,13 @@ def fit_rows(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, sha
     return Model((weights * ratio).astype(np.float32), float(bias))
 
 
+def _sums(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    total = np.zeros(BUCKETS)
+    for numbers, values in found:
+        total[numbers] += values
+    return total
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = PER_LABEL) -> Model:
     """Fits on a bounded sample of labelled documents outside the held-out part.
 
@@ -134,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     values = np.array([r["label"] for r in sample], np.int64)
     taken = np.maximum(np.bincount(values, minlength=2), 1)
     shares = np.array([n[v] / taken[v] for v in values], float)
-    found = [(np.frombuffer(r["found"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32)) for r in sample]
+    found = [(np.frombuffer(r["found"], np.int32), np.frombuffer(r["value"], np.float32)) for r in sample]
     return fit_rows(found, values, shares)
 
 
