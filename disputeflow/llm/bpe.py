@@ -25,8 +25,8 @@ from disputeflow.llm.frames import raw
 
 #: A vocabulary file above this size is refused, since every task holds its ranks.
 VOCABULARY_BYTES = 64 << 20
-#: Remembered pre-tokens of one task, and the longest of them in characters.
-REMEMBERED, REMEMBERED_CHARS = 1 << 19, 64
+#: Remembered pre-tokens of one task (twice as many at most), and the longest in characters.
+REMEMBERED, REMEMBERED_CHARS = 1 << 18, 64
 #: Characters of a text that are split into pre-tokens at once.
 PIECE = 1 << 20
 #: Ranks in a word of the lower bitmap, as a power of two; one word of the upper one has the rest.
@@ -46,12 +46,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder(dict):
     """Pre-token to its token ids, packed as little-endian unsigned 32-bit integers.
 
-    As a dict it remembers short pre-tokens; it forgets all when full, which changes no id.
+    As a dict it remembers short pre-tokens. When full it forgets those not asked for since it
+    was full before, which changes no id.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
         self.ranks = ranks
+        self.earlier: dict[str, bytes] = {}
         self.longest = max(map(len, ranks), default=0)
         self.buckets: dict[int, list[int]] = {}
         self.low = [0] * ((max(ranks.values(), default=0) >> WORD) + 1)
@@ -61,9 +63,10 @@ class Encoder(dict):
         self.cut = regex.compile(r"\S(?=\s)")
 
     def __missing__(self, token: str) -> bytes:
-        found = self.merge(token.encode())
+        found = self.earlier.get(token) or self.merge(token.encode())
         if len(token) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.earlier = dict(self)
                 self.clear()
             self[token] = found
         return found
@@ -109,19 +112,27 @@ class Encoder(dict):
             if pair[gone] >= 0:
                 live -= 1
                 pair[gone] = -1
-            for place in (before[position], position):
-                if place < 0:
-                    continue
-                middle = after[place]
-                new = None
-                if middle < n and after[middle] - place <= longest:
-                    new = rank_of(token[place : after[middle]])
+            if end < n and after[end] - position <= longest:
+                new = rank_of(token[position : after[end]])
+                if new is not None:
+                    live += 1
+                    pair[position] = new
+                    if new in buckets:
+                        heappush(buckets[new], position)
+                    else:
+                        buckets[new] = [position]
+                        low[new >> WORD] |= 1 << (new & mask)
+                        high |= 1 << (new >> WORD)
+            if position:
+                place = before[position]
+                new = rank_of(token[place:end]) if end - place <= longest else None
+                old = pair[place]
                 if new is None:
-                    if pair[place] >= 0:
+                    if old >= 0:
                         live -= 1
                         pair[place] = -1
-                elif new != pair[place]:
-                    live += pair[place] < 0
+                elif new != old:
+                    live += old < 0
                     pair[place] = new
                     if new in buckets:
                         heappush(buckets[new], place)
