@@ -7,11 +7,11 @@ similarity, and the full sets decide.
 A list holds the documents that retain the same few values, one after another in the order of
 the hash (``list_keys``): single values would list all documents with a common shingle, and
 ever more of them as the corpus grows. Two sets that are 80 % alike have about half of their
-62 runs of three values in common, and none with a probability below 1e-9; lists of small
+62 runs of three values in common, and none with a probability of about 1e-10; lists of small
 sets are made so that alike ones meet for certain, or but for about 1 in 10,000 of those that
-are barely alike. Within a list all members meet one centre instead of each other. Pairs of
-members that are still in different components afterwards are settled in blocks
-(``settle``), so no pair within a centre's lists is left out.
+are barely alike. Within a list all members meet one centre instead of each other, be they like
+it or not. Pairs of members that are still in different components afterwards are settled in
+blocks (``settle``), so no pair that shares a list is left out.
 
 At k = 64 a pair of similarity 0.8 has an estimate below 0.5 with a probability of about
 2e-7; sets of up to k shingles are compared in whole.
@@ -34,8 +34,8 @@ from disputeflow.llm.frames import ROWS, batches, kept, raw, rows, scratch, stag
 K = 64
 LEAST = 0.5
 PERCENT = 80
-#: Retained values of a list's key, and lists of such keys in which a pair has to meet.
-RUN, MEETINGS = 3, 3
+#: Retained values of a list's key.
+RUN = 3
 #: Sizes up to which sets are tiny and small, and from which they are large.
 TINY, SMALL, LARGE = 10, 60, 48
 #: Shingles, and values of sketches, on either side of a block in ``settle``.
@@ -137,15 +137,12 @@ def postings(reps: DataFrame) -> DataFrame:
 def stars(listed: DataFrame) -> DataFrame:
     """``(a, b)``: the centre of a list, its heaviest member, and every other member, each once.
 
-    Two sets of 80 % have about half of their runs in common; a pair that meets in fewer than
-    MEETINGS lists of runs is left out.
+    A single common list is enough: two similar members may each meet an unlike centre only
+    once, and come together in ``settle`` through that row alone.
     """
     centre = listed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"))
     pairs = listed.join(centre.select("key", F.col("top.node").alias("a")), "key").where("node <> a")
-    met = pairs.groupBy("a", F.col("node").alias("b")).agg(
-        F.count(F.lit(1)).alias("meetings"), F.bool_or("sure").alias("sure")
-    )
-    return met.where((F.col("meetings") >= MEETINGS) | F.col("sure")).select("a", "b")
+    return pairs.select("a", F.col("node").alias("b")).distinct()
 
 
 def union_estimate(a: bytes, b: bytes, k: int) -> float:

@@ -8,7 +8,7 @@ from itertools import combinations
 
 import pytest
 
-from disputeflow.llm import chaining, near_dedup, suffix_dedup
+from disputeflow.llm import chaining, hashing, near_dedup, suffix_dedup
 from disputeflow.llm.runs import runs
 
 DOCS = "doc_id bigint, text string"
@@ -88,6 +88,20 @@ def test_large_group_is_settled_in_blocks(spark, monkeypatch):
     assert got == {i: c for i, (_, c, _) in brute_components(docs, 2).items()}
 
 
+def test_copies_that_meet_under_unlike_centres_only(spark):
+    """Each list that two near copies share has another, heavier, unlike centre."""
+    value = lambda word: int(hashing.shingles(hashing.word_hashes(word.encode()), 1)[0])
+    fresh = sorted((f"w{i}" for i in range(40_000)), key=value)
+    x, tail = fresh[:6_400:80], fresh[-67:]
+    y = x[:12] + [fresh[961]] + x[13:30] + [fresh[2401]] + x[31:47] + [fresh[3761]] + x[48:]
+    # the smallest values of the others are one run of x, and their tails make them heavier
+    docs = [x, y] + [x[i : i + 3] + tail for i in range(len(x) - 2)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), 1).collect()}
+    assert got == {i: c for i, (_, c, _) in brute_components(rows, 1).items()}
+    assert got[1] == 0
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (1, "other words here now"), (None, "a b c d"), (None, None), (2, None)]
     frame = spark.createDataFrame([(*r, "x", 9) for r in rows], DOCS + ", node string, kept int")
