@@ -197,6 +197,29 @@ def test_fenwick_chains():
     assert tree.upto(2) == (1.0, 8) and tree.upto(5) == (2.0, 7) and tree.upto(1)[1] == -1
 
 
+@pytest.mark.parametrize("size,apart", [(60, 100), (60, 60), (150, 120)])
+def test_exact_passages_with_unlike_text_between(size, apart):
+    for trial in range(20):
+        rng = random.Random(trial)
+        fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+        first, second = fresh(size), fresh(size)
+        texts = [fresh(10) + first + fresh(apart) + second + fresh(10) for _ in range(2)]
+        x, y = (hashing.word_hashes(" ".join(t).encode()) for t in texts)
+        kmers = [hashing.window_hashes(h, chaining.SEED) for h in (x, y)]
+        at, of = (suffix_dedup.minimisers(k, chaining.SPACING)[0].tolist() for k in kmers)
+        matches = [(i, j) for i in at for j in of if kmers[0][i] == kmers[1][j]]
+        found = sorted(f[:2] for f in chaining.compare(x, y, matches))
+        assert found == [(10, 10 + size), (10 + size + apart, 10 + 2 * size + apart)]
+
+
+def test_parts_keep_edited_stretches_whole():
+    # 40 equal words, 15 others, 40 equal words: each side alone is too short
+    assert chaining._parts([[0, 40, 0, 40], [55, 95, 55, 95]], [0]) == [[0, 95, 0, 95, 80]]
+    three = [[0, 100, 0, 100], [150, 250, 150, 250], [300, 400, 300, 400]]
+    assert sorted(chaining._parts(three, [0, 0])) in (
+        [[0, 100, 0, 100, 100], [150, 400, 150, 400, 200]], [[0, 250, 0, 250, 200], [300, 400, 300, 400, 100]])
+
+
 def test_fuzzy_passages(spark):
     rng = random.Random(11)
     passage = [f"p{i}" for i in range(90)]
