@@ -240,6 +240,19 @@ def test_fuzzy_passages(spark):
     assert chaining.passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_every_copy_within_a_text_is_found(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    footer, long = fresh(60), []
+    for _ in range(10):
+        long += fresh(300) + footer
+    rows = [(1, " ".join(fresh(30) + footer + fresh(30))), (2, " ".join(long))]
+    got = chaining.passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r["doc_id"], r["start"], r["end"]) for r in got if r["other_id"] == 1} == {
+        (2, 300 + 360 * i, 360 + 360 * i) for i in range(10)
+    }
+
+
 def test_fuzzy_passages_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(80))
     frame = spark.createDataFrame([(1, text, 0), (1, text, 0), (None, text, 0), (2, "a " * 500, 0)], DOCS + ", seed int")
