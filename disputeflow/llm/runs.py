@@ -14,14 +14,14 @@ PLACE = ["doc", "part", "at"]
 ROW, FIRST_RUN, LAST_RUN, LAST_ROW = 0, 1, 2, 3
 
 
-def runs(rows: DataFrame, keys: list[str], extra: list[str] = (), singles: bool = False) -> DataFrame:
+def runs(rows: DataFrame, keys: list[str], extra: list[str] = (), singles: bool = False, earliest: bool = False) -> DataFrame:
     """Rows whose keys occur twice or more, with an earlier place of the key.
 
     ``rows`` has bigint ``keys``, ``doc`` bigint, ``part`` int, ``at`` int and int ``extra``
     columns. The result adds ``again``, true for all but the first place of a key, and
     ``first_doc``, ``first_part``, ``first_at``: the key's first place, or where a key's rows fill
-    several partitions, for most of its rows the first in the same partition. ``singles``
-    keeps rows of other keys too, not ``again``.
+    several partitions, for most of its rows the first in the same partition, unless
+    ``earliest``. ``singles`` keeps rows of other keys too, not ``again``.
 
     Rows are dealt by ranges of key and place, so that a key with a third of all rows is cut
     into many partitions, and sorted there. One pass compares neighbours. Only a
@@ -91,6 +91,15 @@ def runs(rows: DataFrame, keys: list[str], extra: list[str] = (), singles: bool
         *columns, F.col("e_doc").alias("first_doc"), F.col("e_part").alias("first_part"), F.col("e_at").alias("first_at"),
         F.greatest("size", F.least(F.col("n"), F.lit(2)).cast("int")).alias("size"),
     )
+    if earliest:  # a key that fills several partitions has its first place among the edges
+        true = sure.join(F.broadcast(edges.drop("n")), keys, "left")
+        known, edge = F.struct("first_doc", "first_part", "first_at"), F.struct(
+            F.col("e_doc").alias("first_doc"), F.col("e_part").alias("first_part"), F.col("e_at").alias("first_at")
+        )
+        place = F.when(F.col("e_doc").isNotNull() & (edge < known), edge).otherwise(known)
+        sure = true.withColumn("place", place).select(
+            *columns, *(F.col(f"place.{c}").alias(c) for c, _ in firsts), "size"
+        )
     every = sure.select(*settled.columns).unionByName(settled)
     again = ~((F.col("doc") == F.col("first_doc")) & (F.col("part") == F.col("first_part")) & (F.col("at") == F.col("first_at")))
     result = every.select("*", ((F.col("size") > 1) & again).alias("again"))

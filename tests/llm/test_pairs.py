@@ -185,6 +185,18 @@ def test_runs_across_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_runs_know_the_earliest_place_across_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(k, doc, 0, at) for k in (1, 2, 3) for doc in range(3) for at in range(300 if k == 2 else 2)]
+        frame = spark.createDataFrame(rows, "key bigint, doc bigint, part int, at int")
+        got = runs(frame, ["key"], earliest=True).collect()
+        assert len(got) == len(rows)
+        assert {(r["first_doc"], r["first_part"], r["first_at"]) for r in got} == {(0, 0, 0)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_fenwick_chains():
     exact = [(i * 7, 100 + i * 7) for i in range(10)]
     noise = [(3, 900), (40, 2), (65, 500)]
@@ -240,6 +252,17 @@ def test_fuzzy_passages(spark):
     assert chaining.passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_passage_of_seeds_first_seen_in_different_texts(spark):
+    rng = random.Random(9)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(60)
+    docs = [fresh(30) + passage[k : k + 8] + fresh(30) for k in range(0, 53) for _ in range(6)]
+    docs += [fresh(40) + passage + fresh(40), fresh(70) + passage + fresh(10)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    got = [(r["doc_id"], r["start"], r["end"], r["other_id"]) for r in chaining.passages(spark.createDataFrame(rows, DOCS)).collect()]
+    assert got == [(len(docs) - 1, 70, 130, len(docs) - 2)]
+
+
 def test_every_copy_within_a_text_is_found(spark):
     rng = random.Random(5)
     fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
