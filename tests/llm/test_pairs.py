@@ -263,6 +263,23 @@ def test_passage_of_seeds_first_seen_in_different_texts(spark):
     assert got == [(len(docs) - 1, 70, 130, len(docs) - 2)]
 
 
+def test_recall_at_the_declared_identity(spark):
+    """60 words of which 12 are others."""
+    rng = random.Random(13)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for _ in range(60):
+        passage = fresh(60)
+        copy = list(passage)
+        for at in rng.sample(range(60), 12):
+            copy[at] = fresh(1)[0]
+        docs += [fresh(40) + passage + fresh(40), fresh(70) + copy + fresh(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    got = {(r["doc_id"], r["other_id"]) for r in chaining.passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got <= {(i + 1, i) for i in range(0, 120, 2)}
+    assert len(got) >= 54
+
+
 def test_every_copy_within_a_text_is_found(spark):
     rng = random.Random(5)
     fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
