@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from disputeflow.llm import bpe, chaining, decontamination, near_dedup, quality, quality_rules, suffix_dedup, toxicity, url_filter, warc
+from disputeflow.llm import (
+    bpe,
+    chaining,
+    decontamination,
+    hard_negatives,
+    near_dedup,
+    quality,
+    quality_rules,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,11 +78,40 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(quality_rules.ledger(docs))
 
 
+def op11_four_russians_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, label=label)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 ORACLES = {
+    "op11_four_russians_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike,
+                   CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT * FROM p WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+        )
+        SELECT p.anchor_id, q.other AS positive_id,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, q.other ORDER BY p.score DESC, p.other) AS INTEGER) AS rank,
+               p.other AS negative_id, q.score AS positive_score, p.score AS negative_score
+        FROM p JOIN positives q USING (anchor_id)
+        WHERE NOT p.alike AND 30 * q.score <= 100 * p.score AND 100 * p.score <= 90 * q.score
+        QUALIFY rank <= 10
+    """,
     "op1_warc_chunked_records": """
         WITH p AS (
             SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
