@@ -10,6 +10,7 @@ from disputeflow.llm import (
     bpe,
     chaining,
     decontamination,
+    fingerprints,
     hard_negatives,
     near_dedup,
     quality,
@@ -84,6 +85,10 @@ def op11_four_russians_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, label=label)
 
 
+def op13_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
