@@ -16,6 +16,7 @@ from disputeflow.llm import (
     quality,
     quality_rules,
     suffix_dedup,
+    tokenizer_alignment,
     toxicity,
     url_filter,
     warc,
@@ -85,6 +86,10 @@ def op11_four_russians_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, label=label)
 
 
+def op12_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 def op13_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 

@@ -27,6 +27,7 @@ COLUMNS = {
     "op8_": ["doc_id", "held_out", "score", "predicted"],
     "op9_": ["doc_id", "held_out", "score", "predicted"],
     "op10_": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+    "op12_": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
     "op13_": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op11_": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
