@@ -12,8 +12,15 @@ def trim_space(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def money_text(amount: Column) -> Column:
-    return F.call_function("format_number", amount.cast("double"), F.lit("#,##0.##"))
+def money_text(amount: Column, whole: Column | None = None) -> Column:
+    """Thousands separated by commas and all digits of the fraction, at least one: 1,249.0.
+
+    Where ``whole`` is true the number was written without a fraction and stays so: 1,249.
+    """
+    text = F.call_function("format_number", amount.cast("double"), F.lit(C.MONEY_FORMAT))
+    if whole is None:
+        return text
+    return F.when(whole, F.format_number(amount, 0)).otherwise(text)
 
 
 def decimal_text(value: Column, digits: int) -> Column:

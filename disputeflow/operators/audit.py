@@ -3,8 +3,9 @@
 A review request row holds: review_id, reviewed_at, decision, reviewer_note,
 risk_probability, risk_percentage, risk_level, ai_recommendation, ai_reasoning
 (text, or array of text), policy_evidence (text, or array of {policy, score}) and a
-``transaction`` struct that may repeat the risk and investigation values. A
-``request_id``, if there, is its identity; otherwise ``review_id`` is.
+``transaction``, a struct or a VARIANT, that may repeat the risk and investigation values,
+there too as text or lists. A ``request_id``, if there, is its identity; otherwise
+``review_id`` is.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from disputeflow import constants as C
 from disputeflow.functions.numbers import first_number, normalise_probability, risk_level
 from disputeflow.functions.texts import decimal_text, first_text, percent_text
+from disputeflow.functions.variants import float_of, items, nothing, part, shown
 
 AUDIT_COLUMNS = [
     "audit_key",
@@ -50,11 +52,18 @@ def reviewer_note(decision: Column, transaction_id: Column) -> Column:
     )
 
 
-def _inside(requests: DataFrame, field: str, default: Column) -> Column:
-    """A field of the transaction struct, or the default if the struct lacks it."""
-    if field not in requests.schema["transaction"].dataType.names:
-        return default
-    return F.col(f"transaction.{field}")
+def _inside(requests: DataFrame, field: str, kind: str, read=None) -> Column:
+    """A field of the transaction as ``kind``; NULL if the transaction lacks it.
+
+    ``read`` gives the text of a VARIANT value; text and numbers are read by default.
+    """
+    transaction = requests.schema["transaction"].dataType
+    if transaction.typeName() == "variant":
+        value = part(F.col("transaction"), field)
+        return float_of(value) if kind == "double" else (read or shown)(value)
+    if field not in transaction.names:
+        return F.lit(None).cast(kind)
+    return F.col(f"transaction.{field}").cast(kind)
 
 
 def resolve_risk(requests: DataFrame) -> DataFrame:
@@ -64,12 +73,11 @@ def resolve_risk(requests: DataFrame) -> DataFrame:
     one of probability and percentage fills the other; the band follows from the
     probability only if nobody named one.
     """
-    none = F.lit(None).cast("double")
-    p = first_number(F.col("risk_probability"), _inside(requests, "risk_probability", none))
-    q = first_number(F.col("risk_percentage"), _inside(requests, "risk_percentage", none))
+    p = first_number(F.col("risk_probability"), _inside(requests, "risk_probability", "double"))
+    q = first_number(F.col("risk_percentage"), _inside(requests, "risk_percentage", "double"))
     named = F.coalesce(
         F.nullif(F.nullif(F.col("risk_level"), F.lit("")), F.lit(C.UNKNOWN_LEVEL)),
-        _inside(requests, "risk_level", F.lit(None).cast("string")),
+        _inside(requests, "risk_level", "string"),
         F.lit(C.UNKNOWN_LEVEL),
     )
     return (
@@ -106,32 +114,23 @@ def policy_text(hits: Column) -> Column:
     return F.array_join(F.transform(hits, one), "\n\n")
 
 
-def _items(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
-
-
-def _as_text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
-
-
 def variant_reasoning(value: Column) -> Column:
-    """Text as it is, the items of a list on lines, anything else as its JSON; null is empty."""
-    lines = F.array_join(F.transform(_items(value), _as_text), "\n")
-    return F.coalesce(lines, _as_text(value), F.lit(""))
+    """Text as it is, the items of a list on lines, any other value as text; nothing given is empty."""
+    lines = F.array_join(F.transform(items(value), shown), "\n")
+    return F.when(nothing(value), F.lit("")).otherwise(F.coalesce(lines, shown(value)))
 
 
 def variant_policies(value: Column) -> Column:
     """Text as it is, or the items of a list, with their relevance, as paragraphs."""
 
     def one(item: Column) -> Column:
-        policy = F.coalesce(F.try_variant_get(item, "$.policy", "string"), _as_text(item))
-        score = F.try_variant_get(item, "$.score", "double")
-        return F.when(
-            score.isNotNull(), F.format_string(C.RELEVANCE, policy, decimal_text(score, 4))
-        ).otherwise(policy)
+        policy = F.coalesce(shown(part(item, "policy")), shown(item))
+        score = part(item, "score")
+        relevance = F.format_string(C.RELEVANCE, policy, shown(score))
+        return F.when(F.is_variant_null(score) | score.isNull(), policy).otherwise(relevance)
 
-    paragraphs = F.array_join(F.transform(_items(value), one), "\n\n")
-    return F.coalesce(paragraphs, _as_text(value), F.lit(""))
+    paragraphs = F.array_join(F.transform(items(value), one), "\n\n")
+    return F.when(nothing(value), F.lit("")).otherwise(F.coalesce(paragraphs, shown(value)))
 
 
 def _text_of(rows: DataFrame, column: str, from_list) -> Column:
@@ -147,10 +146,9 @@ def audit_records(accepted: DataFrame) -> DataFrame:
     ``id`` is the request's own sequence number: a counter would need one task.
     """
     rows = resolve_risk(accepted)
-    text = lambda field: _inside(rows, field, F.lit(None).cast("string"))
-    transaction_id = F.coalesce(
-        _inside(rows, "transaction_id", F.lit(None).cast("string")), F.lit(C.DEFAULT_TRANSACTION_ID)
-    )
+    text = lambda field: _inside(rows, field, "string", variant_reasoning)
+    policies = lambda field: _inside(rows, field, "string", variant_policies)
+    transaction_id = F.coalesce(_inside(rows, "transaction_id", "string"), F.lit(C.DEFAULT_TRANSACTION_ID))
     identity = F.col("request_id" if "request_id" in rows.columns else "review_id")
     part = lambda c: F.coalesce(c.cast("string"), F.lit("\u0000"))
     moment = F.date_trunc("second", F.col("reviewed_at").cast("timestamp"))
@@ -164,9 +162,7 @@ def audit_records(accepted: DataFrame) -> DataFrame:
         ).alias("audit_key"),
         F.col("review_id").alias("id"),
         transaction_id.alias("transaction_id"),
-        F.coalesce(
-            _inside(rows, "amount", F.lit(None).cast("double")).cast("double"), F.lit(0.0)
-        ).alias("amount"),
+        F.coalesce(_inside(rows, "amount", "double"), F.lit(0.0)).alias("amount"),
         "risk_probability",
         "risk_percentage",
         "risk_level",
@@ -188,8 +184,8 @@ def audit_records(accepted: DataFrame) -> DataFrame:
         F.coalesce(
             first_text(
                 _text_of(rows, "policy_evidence", policy_text),
-                text("policy_evidence"),
-                text("supporting_policy_evidence"),
+                policies("policy_evidence"),
+                policies("supporting_policy_evidence"),
             ),
             F.lit(""),
         ).alias("policy_evidence"),

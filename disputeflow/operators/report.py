@@ -11,6 +11,11 @@ from disputeflow.operators.review import financial_impact, review_action, signal
 from disputeflow.operators.signals import signal_texts, with_signals
 from disputeflow.operators.skew import join_dimension
 
+DISCLAIMER = (
+    "Mandatory human review. This engine gives merchant defence decision support only; "
+    "the final financial decision rests with the human analyst."
+)
+
 
 def score_records(scored: DataFrame, model: str = C.RANDOM_FOREST) -> DataFrame:
     """transaction_id, rounded probability and percentage, band, model name."""
@@ -111,9 +116,14 @@ def investigate(requests: DataFrame, model: str = C.RANDOM_FOREST) -> DataFrame:
     ).drop("_p")
 
 
-def report_documents(investigated: DataFrame, summary: list[str]) -> DataFrame:
-    """One JSON report per transaction; published alias keys appear only here."""
+def report_documents(investigated: DataFrame, summary: list[str] | None = None) -> DataFrame:
+    """One JSON report per transaction; published alias keys appear only here.
+
+    The report repeats the whole ``transaction`` as it was sent, with keys that no schema
+    names, or the columns in ``summary`` for rows that come from tables.
+    """
     review = F.col("human_review")
+    whole = F.col("transaction") if summary is None else F.struct(*summary)
     report = F.struct(
         F.struct("risk_probability", "risk_percentage", "risk_level", "ml_signal").alias(
             "risk_assessment"
@@ -130,10 +140,10 @@ def report_documents(investigated: DataFrame, summary: list[str]) -> DataFrame:
             review["human_required"].alias("human_required"),
             review["action"].alias("action"),
             F.lit(True).alias("defense_only"),
-            F.lit(C.DISCLAIMER).alias("disclaimer"),
+            F.lit(DISCLAIMER).alias("disclaimer"),
         ).alias("human_review_requirement"),
         "human_review",
-        F.struct(*summary).alias("transaction_summary"),
+        whole.alias("transaction_summary"),
         F.lit(C.EVIDENCE_WARNING).alias("evidence_warning"),
     )
     return investigated.select("transaction_id", F.to_json(report).alias("report"))

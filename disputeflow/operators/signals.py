@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from disputeflow import constants as C
 from disputeflow.functions.numbers import percent_over
 from disputeflow.functions.texts import money_text
+from disputeflow.functions.variants import kind_of, part
 
 NO_AGE = 999
 
@@ -21,6 +22,14 @@ def _column(rows: DataFrame, name: str, default) -> Column:
     return F.coalesce(F.col(name), F.lit(default))
 
 
+def _money(rows: DataFrame, name: str, amount: Column) -> Column:
+    """An amount as text; one that a request sent as a whole number has no fraction."""
+    if "transaction" in rows.columns and rows.schema["transaction"].dataType.typeName() == "variant":
+        sent = part(F.col("transaction"), name)
+        return money_text(amount, F.coalesce(kind_of(sent) == "BIGINT", F.lit(False)))
+    return money_text(amount)
+
+
 def _signal(condition: Column, code: str, value: Column, text: Column) -> Column:
     return F.when(
         condition,
@@ -50,7 +59,10 @@ def risk_signals(rows: DataFrame) -> Column:
                 over.isNotNull(),
                 "amount_over_average",
                 over_text,
-                F.format_string(C.SIGNAL_AMOUNT, money_text(amount), money_text(average), over_text),
+                F.format_string(
+                    C.SIGNAL_AMOUNT, _money(rows, "amount", amount),
+                    _money(rows, "average_order_value", average), over_text,
+                ),
             ),
             _counted(
                 (age < C.NEW_CUSTOMER_DAYS) | (new == 1), "new_account", age, C.SIGNAL_NEW_ACCOUNT

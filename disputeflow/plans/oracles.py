@@ -37,7 +37,7 @@ def _ratio(top: str, bottom: str, test: str = "<> 0") -> str:
 
 
 def _money(x: str) -> str:
-    return f"regexp_replace(regexp_replace(format('{{:,.2f}}', CAST({x} AS DOUBLE)), '0+$', ''), '\\.$', '')"
+    return f"format('{{:,}}', CAST({x} AS DOUBLE))"
 
 
 def _digits(x: str, digits: int) -> str:
@@ -286,6 +286,19 @@ CTES: dict[str, str] = {
                {_signal_list(MITIGATING_SIGNALS, 0)} AS mitigating_codes,
                {_signal_list(MITIGATING_SIGNALS, 1)} AS mitigating_texts
         FROM scored""",
+    "sent_scores": """
+        SELECT *, number % 8 AS kind, number % 11 = 5 OR number % 13 = 7 AS broken FROM features""",
+    "sent_investigations": f"""
+        SELECT * REPLACE (CASE WHEN kind = 0 THEN floor(amount) ELSE amount END AS amount),
+               CASE WHEN kind = 0 THEN format('{{:,}}', CAST(floor(amount) AS BIGINT))
+                    ELSE {_money('amount')} END AS amount_text
+        FROM (SELECT * REPLACE (CASE WHEN number % 8 <> 2 THEN score WHEN score * 100 > 1 THEN (score * 100) / 100
+                                ELSE score * 100 END AS score),
+                     number % 8 AS kind FROM scored)""",
+    "investigated": f"""
+        SELECT *, {_signal_list(RISK_SIGNALS, 1).replace(_money("amount"), "amount_text")} AS risk_texts,
+               {_signal_list(MITIGATING_SIGNALS, 1)} AS mitigating_texts
+        FROM sent_investigations WHERE kind < 4""",
     "doc_terms": """
         SELECT chunk_id, term, count(*) AS tf FROM (
             SELECT doc_id AS chunk_id,
@@ -397,6 +410,11 @@ REQUIRED = [
     "delivery_status", "refund_status", "device_id", "transaction_day_of_week",
     "product_value", "transaction_hour", "is_weekend",
 ]
+MISSING = ", ".join(
+    f"CASE WHEN ({c} IS NULL{' OR kind = 6' if c == 'amount' else ''})"
+    f"{' AND kind <> 7' if c == 'payment_method' else ' AND kind <> 5' if c == 'known_devices' else ''} THEN '{c}' END"
+    for c in REQUIRED
+)
 
 
 def _union(parts: list[str]) -> str:
@@ -673,6 +691,50 @@ BODIES: dict[str, str] = {
                round(score * 100, 2) AS risk_percentage, {_band('score')} AS risk_level,
                'Random Forest' AS model FROM scored WHERE """
     + " AND ".join(f"{c} IS NOT NULL" for c in REQUIRED),
+    "coerced_requests": """
+        SELECT number AS request_id,
+               CASE WHEN kind = 3 THEN 'DEFAULT_ID' ELSE transaction_id END AS transaction_id,
+               amount, payment_method, previous_transactions, account_age_days, known_devices, product_value,
+               is_weekend
+        FROM sent_scores WHERE NOT broken AND kind < 5 AND """.replace("DEFAULT_ID", C.DEFAULT_TRANSACTION_ID)
+    + " AND ".join(f"{c} IS NOT NULL" for c in REQUIRED),
+    "request_rejects": f"""
+        SELECT number AS request_id,
+               CASE WHEN broken THEN 'malformed request' ELSE concat_ws('; ',
+                   CASE WHEN len(missing) > 0 THEN 'missing: ' || array_to_string(missing, ', ') END,
+                   CASE WHEN len(malformed) > 0 THEN 'malformed: ' || array_to_string(malformed, ', ') END) END AS error
+        FROM (SELECT *, list_filter([{MISSING}], lambda x: x IS NOT NULL) AS missing,
+                     CASE kind WHEN 5 THEN ['known_devices']
+                               WHEN 6 THEN CASE WHEN account_age_days IS NULL THEN [] ELSE ['account_age_days'] END
+                               WHEN 7 THEN ['transaction_id', 'payment_method'] ELSE [] END AS malformed
+              FROM sent_scores)
+        WHERE broken OR len(missing) + len(malformed) > 0""",
+    "investigation_requests": f"""
+        SELECT number AS request_id, transaction_id, 'rules for ' || payment_method AS query,
+               round(score, 4) AS risk_probability, {_band('score')} AS risk_level,
+               array_to_string(risk_texts, chr(10)) AS risk_texts,
+               array_to_string(mitigating_texts, chr(10)) AS mitigating_texts,
+               {_routing('number % 3 <> 0', CONFLICT, IMPACT, 'action')} AS action
+        FROM investigated""",
+    "investigation_rejects": """
+        SELECT number AS request_id,
+               CASE number % 8 WHEN 4 THEN 'malformed: transaction.amount' WHEN 5 THEN 'malformed: transaction'
+                    WHEN 6 THEN 'missing: query' ELSE 'malformed: risk_probability' END AS error
+        FROM features WHERE number % 8 >= 4""",
+    "report_fields": f"""
+        SELECT transaction_id, round(score * 100, 2) AS risk_percentage,
+               {_sentence(C.ML_SIGNAL, "'Random Forest'", _band('score'), _digits('round(score * 100, 2)', 2))}
+                   AS ml_signal,
+               CAST(len(risk_texts) AS INTEGER) AS risk_count,
+               CASE WHEN score >= 0.7 THEN {_text(C.ACTION_HIGH)} WHEN score >= 0.4 THEN {_text(C.ACTION_MEDIUM)}
+                    ELSE {_text(C.ACTION_LOW)} END AS recommendation,
+               {_routing('number % 3 <> 0', CONFLICT, IMPACT, 'human_required')} AS human_required,
+               {_routing('number % 3 <> 0', CONFLICT, IMPACT, 'action')} AS action,
+               true AS defense_only,
+               {_routing('number % 3 <> 0', CONFLICT, IMPACT, 'reason')} AS reason,
+               amount, CAST(number % 5 AS INTEGER) AS channel_code, 'b' AS second_tag,
+               {_text(C.EVIDENCE_WARNING)} AS evidence_warning
+        FROM investigated""",
     "rejected_reviews": """
         SELECT event_id AS review_id, decision,
                'Invalid review decision. Use APPROVED, REJECTED, or ESCALATED.' AS error
@@ -700,15 +762,20 @@ BODIES: dict[str, str] = {
         SELECT sha256(printf('TXN_%06d', event_id) || '|' || decision || '|' || event_id || '-' || copy
                       || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')) AS audit_key,
                printf('TXN_%06d', event_id) AS transaction_id, 10.5::DOUBLE AS amount,
-               CASE event_id % 4 WHEN 0 THEN 'first' || chr(10) || event_type
-                    WHEN 1 THEN 'plain ' || event_type ELSE NO_REASONING END AS ai_reasoning,
-               CASE WHEN event_id % 4 = 0
-                    THEN 'P1 (Relevance: 0.5)' || chr(10) || chr(10) || 'P2' || chr(10) || chr(10) || 'P3'
+               CASE kind WHEN 0 THEN 'first' || chr(10) || event_type WHEN 1 THEN 'plain ' || event_type
+                    WHEN 2 THEN concat_ws(chr(10), 'x', event_type, '7', 'True', 'None')
+                    ELSE '{"why":1}' END AS ai_reasoning,
+               CASE kind WHEN 0 THEN concat_ws(chr(10) || chr(10), 'P1 (Relevance: 0.5)', 'P2', 'P3')
+                    WHEN 2 THEN concat_ws(chr(10) || chr(10), 'N1 (Relevance: 0.25)', 'N2')
                     ELSE 'policy text' END AS policy_evidence,
-               decision AS human_decision, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp
-        FROM (SELECT *, CASE WHEN event_type = 'error' THEN 'REJECTED' ELSE 'APPROVED' END AS decision,
+               decision AS human_decision, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp,
+               CASE kind WHEN 2 THEN 0.45::DOUBLE WHEN 3 THEN 0.8::DOUBLE ELSE 0::DOUBLE END AS risk_probability,
+               CASE kind WHEN 2 THEN 45::DOUBLE WHEN 3 THEN 80::DOUBLE ELSE 0::DOUBLE END AS risk_percentage,
+               CASE kind WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' ELSE 'UNKNOWN' END AS risk_level
+        FROM (SELECT *, event_id % 4 AS kind,
+                     CASE WHEN event_type = 'error' THEN 'REJECTED' ELSE 'APPROVED' END AS decision,
                      unnest(['a', 'b']) AS copy FROM events)
-        WHERE event_id % 11 <> 5 AND event_id % 13 <> 7""".replace("NO_REASONING", _text(C.DEFAULT_REASONING)),
+        WHERE event_id % 11 <> 5 AND event_id % 13 <> 7""",
     "json_review_rejects": """
         SELECT CASE WHEN event_id % 13 = 7 THEN 'request has no identity' ELSE 'malformed request' END
                    AS error, CAST(2 * count(*) AS BIGINT) AS n

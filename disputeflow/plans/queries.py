@@ -69,7 +69,7 @@ def _investigated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     hits = retrieval.retrieve(corpus, queries, pad=False, min_score=0.05)
     packed = stored(retrieval.pack_hits(hits, titled, "title"), "policy-hits")
-    number = F.regexp_extract("transaction_id", r"(\d+)$", 1).cast("bigint")
+    number = given.number_of()
     n_queries = queries.agg(F.count(F.lit(1)).alias("n")).scalar()
     query_id = F.pmod(number, n_queries).alias("query_id")
     rows = _scored(spark, sf_dir, "delivery_status").select(
@@ -443,7 +443,7 @@ def normalised_probabilities(spark, sf_dir):
 def review_routing(spark, sf_dir):
     """Evidence counts as missing for every seventh transaction."""
     rows = signals.with_signals(_scored(spark, sf_dir, "delivery_status"))
-    number = F.regexp_extract("transaction_id", r"(\d+)$", 1).cast("bigint")
+    number = given.number_of()
     decided = rows.select(
         "transaction_id",
         review.review_action(
@@ -503,6 +503,77 @@ def incomplete_requests(spark, sf_dir):
     )
 
 
+def coerced_requests(spark, sf_dir):
+    """Scoring requests with numbers as text, booleans as numbers and the like, made typed."""
+    sent = given.sent_score_requests(_features(spark, sf_dir, "delivery_status", "refund_status"))
+    valid, _ = requests.score_requests(sent)
+    return valid.select(
+        "request_id", "transaction_id", "amount", "payment_method", "previous_transactions",
+        "account_age_days", "known_devices", "product_value", "is_weekend",
+    )
+
+
+def request_rejects(spark, sf_dir):
+    """The same requests, those turned away, with what is missing and what is malformed."""
+    sent = given.sent_score_requests(_features(spark, sf_dir, "delivery_status", "refund_status"))
+    _, rejected = requests.score_requests(sent)
+    return rejected.select("request_id", "error")
+
+
+def _requested(spark, sf_dir):
+    return requests.investigation_requests(
+        given.sent_investigations(_scored(spark, sf_dir, "delivery_status"))
+    )
+
+
+def _reported(spark, sf_dir):
+    valid, _ = _requested(spark, sf_dir)
+    hit = F.array(F.struct(F.lit("P1").alias("policy"), F.lit(0.5).alias("score")))
+    found = F.when(F.pmod("request_id", F.lit(3)) != 0, hit).otherwise(
+        F.array().cast("array<struct<policy:string,score:double>>")
+    )
+    return report.investigate(valid.withColumn("policy_evidence", found))
+
+
+def investigation_requests(spark, sf_dir):
+    """Investigation requests as JSON, parsed, with their signals and routing.
+
+    Every third one has no policy evidence.
+    """
+    return _reported(spark, sf_dir).select(
+        "request_id", "transaction_id", "query", "risk_probability", "risk_level",
+        F.array_join("key_risk_signals", "\n").alias("risk_texts"),
+        F.array_join("key_mitigating_signals", "\n").alias("mitigating_texts"),
+        F.col("human_review.action").alias("action"),
+    )
+
+
+def investigation_rejects(spark, sf_dir):
+    _, rejected = _requested(spark, sf_dir)
+    return rejected.select("request_id", "error")
+
+
+def report_fields(spark, sf_dir):
+    """Fields read back from the JSON reports, some of keys that no schema names."""
+    written = report.report_documents(_reported(spark, sf_dir))
+    field = lambda path: F.get_json_object("report", f"$.{path}")
+    return written.select(
+        "transaction_id",
+        field("risk_assessment.risk_percentage").cast("double").alias("risk_percentage"),
+        field("risk_assessment.ml_signal").alias("ml_signal"),
+        F.size(F.from_json(field("key_risk_signals"), "array<string>")).alias("risk_count"),
+        field("recommendation").alias("recommendation"),
+        field("human_review_requirement.human_required").cast("boolean").alias("human_required"),
+        field("human_review_requirement.action").alias("action"),
+        field("human_review_requirement.defense_only").cast("boolean").alias("defense_only"),
+        field("human_review.reason").alias("reason"),
+        field("transaction_summary.amount").cast("double").alias("amount"),
+        field("transaction_summary.channel.code").cast("int").alias("channel_code"),
+        field("transaction_summary.channel.tags[1]").alias("second_tag"),
+        field("evidence_warning").alias("evidence_warning"),
+    )
+
+
 # --- audit ---------------------------------------------------------------------------------------------
 def rejected_reviews(spark, sf_dir):
     _, rejected = audit.split_by_decision(given.reviews(spark, sf_dir))
@@ -547,22 +618,35 @@ def audit_display(spark, sf_dir):
 
 def _json_reviews(spark, sf_dir):
     """Events as JSON review requests: each is sent twice, with equal content but another
-    identity; reasoning is text, a list or absent, and some requests are broken."""
+    identity; reasoning and evidence are text, lists or absent, also within the transaction, and
+    some requests are broken."""
     events = given.read(spark, sf_dir, "events")
     n = F.col("event_id")
     case = F.pmod(n, F.lit(4))
+    text = lambda before, after: F.concat(F.lit(before), F.col("event_type"), F.lit(after))
     reasoning = (
         F.when(case == 0, F.to_json(F.array(F.lit("first"), F.col("event_type"))))
-        .when(case == 1, F.concat(F.lit('"plain '), F.col("event_type"), F.lit('"')))
-        .otherwise(F.lit("null"))
+        .when(case == 1, text('"plain ', '"'))
+        .when(case == 2, "null")
+        .otherwise("[]")
+    )
+    evidence_ = (
+        F.when(case == 0, '[{"policy": "P1", "score": 0.5}, {"policy": "P2"}, "P3"]')
+        .when(case == 2, '""')
+        .otherwise('"policy text"')
+    )
+    inner = (
+        F.when(case == 1, ', "reasoning": ["not used"]')
+        .when(case == 2, text(', "reasoning": ["x", "', '", 7, true, null], "supporting_policy_evidence": '
+                              '[{"policy": "N1", "score": 0.25}, "N2"], "risk_probability": "0.45"'))
+        .when(case == 3, ', "ai_reasoning": {}, "investigation_reasoning": {"why": 1}, "risk_percentage": 80')
+        .otherwise("")
     )
-    evidence_ = F.when(
-        case == 0, F.lit('[{"policy": "P1", "score": 0.5}, {"policy": "P2"}, "P3"]')
-    ).otherwise(F.lit('"policy text"'))
     decision = F.when(F.col("event_type") == "error", "REJECTED").otherwise("APPROVED")
     whole = F.concat(
         F.lit('{"transaction": {"transaction_id": "'), given.transaction_id(n),
-        F.lit('", "amount": 10.5}, "decision": "'), decision, F.lit('", "ai_reasoning": '),
+        F.lit('", "amount": '), F.when(case == 1, '"10.5"').otherwise("10.5"), inner,
+        F.lit('}, "decision": "'), decision, F.lit('", "ai_reasoning": '),
         reasoning, F.lit(', "policy_evidence": '), evidence_, F.lit("}"),
     )
     value = F.when(F.pmod(n, F.lit(11)) == 5, "{broken").otherwise(whole)
@@ -583,7 +667,7 @@ def json_reviews(spark, sf_dir):
     done = audit.audit_records(accepted).dropDuplicates(["audit_key"])
     return _shown(done).select(
         "audit_key", "transaction_id", "amount", "ai_reasoning", "policy_evidence",
-        "human_decision", "timestamp",
+        "human_decision", "timestamp", "risk_probability", "risk_percentage", "risk_level",
     )
 
 
@@ -677,7 +761,7 @@ def streamed_investigations(spark, sf_dir):
     enriched = _enriched_stream(spark, sf_dir)
     questions = stored(given.questions(spark, sf_dir), "questions")
     n_questions = questions.count()
-    number = F.regexp_extract("transaction_id", r"(\d+)$", 1).cast("bigint")
+    number = given.number_of()
     asked = enriched.withColumns(
         {
             "risk_probability": given.fixture_score(),
@@ -711,7 +795,8 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     question_weights, retrieval_top_k, retrieval_padded,
     retrieval_lists, risk_signals, mitigating_signals, amount_over_average,
     normalised_probabilities, review_routing, investigation_reports,
-    report_documents, request_scores, incomplete_requests, rejected_reviews, resolved_reviews,
+    report_documents, request_scores, incomplete_requests, coerced_requests,
+    request_rejects, investigation_requests, investigation_rejects, report_fields, rejected_reviews, resolved_reviews,
     audit_records, review_acknowledgements, audit_history, audit_count,
     audit_display, json_reviews, json_review_rejects,
     logistic_regression, random_forest, boosted_trees, streamed_features,

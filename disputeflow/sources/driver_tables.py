@@ -285,3 +285,76 @@ def score_request_fields(rows: DataFrame) -> DataFrame:
     ]
     return rows.select(*fields)
 
+
+
+def number_of(transaction: str = "transaction_id") -> Column:
+    return F.regexp_extract(transaction, r"(\d+)$", 1).cast("bigint")
+
+
+def _object(fields: dict[str, Column]) -> Column:
+    """A JSON object of raw JSON values; a NULL one is left out."""
+    pairs = [F.concat(F.lit(f'"{name}": '), value) for name, value in fields.items()]
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*pairs)), ", "), F.lit("}"))
+
+
+def _json(rows: DataFrame, name: str) -> Column:
+    value = F.col(name).cast("string")
+    return F.concat(F.lit('"'), value, F.lit('"')) if rows.schema[name].dataType.typeName() == "string" else value
+
+
+def _quoted(value: Column) -> Column:
+    return F.concat(F.lit('"'), value, F.lit('"'))
+
+
+def sent_score_requests(rows: DataFrame) -> DataFrame:
+    """``(request_id, value)``: feature rows as the JSON of scoring requests in many forms.
+
+    By the remainder of the id: 1 sends the amount as text, 2 a count as 5.0, 3 a flag as a
+    boolean and no id, 4 a count as text; 5 to 7 are wrong in one field or more. Some are no JSON objects.
+    """
+    asked = score_request_fields(rows).withColumn("request_id", number_of())
+    n = F.col("request_id")
+    case = F.pmod(n, F.lit(8))
+    raw = {c: _json(asked, c) for c in asked.columns if c != "request_id"}
+    none = F.lit(None).cast("string")
+    raw["transaction_id"] = F.when(case == 7, "null").when(case != 3, raw["transaction_id"])
+    raw["amount"] = F.when(case == 1, F.concat(F.lit('" '), raw["amount"], F.lit(' "'))).when(case != 6, raw["amount"])
+    raw["payment_method"] = F.when(case == 7, "5").otherwise(raw["payment_method"])
+    raw["previous_transactions"] = F.concat(raw["previous_transactions"], F.when(case == 2, ".0").otherwise(""))
+    raw["account_age_days"] = F.concat(raw["account_age_days"], F.when(case == 6, ".5").otherwise(""))
+    raw["known_devices"] = (
+        F.when(case == 5, '"many"').when(case == 4, _quoted(raw["known_devices"])).otherwise(raw["known_devices"])
+    )
+    raw["is_weekend"] = F.when(case == 3, (F.col("is_weekend") == 1).cast("string")).otherwise(raw["is_weekend"])
+    raw["coupon"] = F.when(case == 0, '["unknown", "field"]').otherwise(none)
+    value = F.when(n % 11 == 5, "{broken").when(n % 13 == 7, "[1, 2]").otherwise(_object(raw))
+    return asked.select("request_id", value.alias("value"))
+
+
+def sent_investigations(scored: DataFrame) -> DataFrame:
+    """``(request_id, value)``: scored rows as the JSON of investigation requests.
+
+    By the remainder of the id: 0 sends a whole amount, 1 the probability as text, 2 as a
+    percentage; 4 to 7 are wrong: an amount as text, a transaction that is none, no query, a null
+    probability. Each transaction has a key that no schema names.
+    """
+    rows = scored.withColumn("request_id", number_of())
+    n = F.col("request_id")
+    case = F.pmod(n, F.lit(8))
+    names = [
+        "transaction_id", "amount", "average_order_value", "previous_chargebacks", "previous_refunds", "account_age_days",
+        "successful_transactions", "known_devices", "authentication_status", "delivery_status",
+    ]
+    raw = {c: _json(rows, c) for c in names}
+    whole = F.floor("amount").cast("string")
+    raw["amount"] = F.when(case == 0, whole).when(case == 4, _quoted(raw["amount"])).otherwise(raw["amount"])
+    raw["is_new_customer"] = (F.col("is_new_customer") == 1).cast("string")
+    raw["channel"] = F.concat(F.lit('{"code": '), (n % 5).cast("string"), F.lit(', "tags": ["a", "b"]}'))
+    score = F.col("score").cast("string")
+    percent = (F.col("score") * 100).cast("string")
+    value = _object({
+        "risk_probability": F.when(case == 1, _quoted(score)).when(case == 2, percent).when(case == 7, "null").otherwise(score),
+        "query": F.when(case != 6, F.concat(F.lit('"rules for '), F.col("payment_method"), F.lit('"'))),
+        "transaction": F.when(case == 5, '"none"').otherwise(_object(raw)),
+    })
+    return rows.select("request_id", value.alias("value"))

@@ -47,19 +47,6 @@ SCORE_REQUEST = """
     transaction_day_of_week int, product_value double, transaction_hour int,
     is_weekend int
 """
-REVIEW_TRANSACTION = """
-    struct<transaction_id:string,amount:double,risk_probability:double,
-    risk_percentage:double,risk_level:string,ai_recommendation:string,
-    recommendation:string,ai_reasoning:string,reasoning:string,
-    investigation_reasoning:string,policy_evidence:string,
-    supporting_policy_evidence:string>
-"""
-REVIEW_REQUEST = f"""
-    review_id bigint, reviewed_at timestamp, transaction {REVIEW_TRANSACTION},
-    decision string, reviewer_note string, risk_probability double,
-    risk_percentage double, risk_level string, ai_recommendation string,
-    ai_reasoning variant, policy_evidence variant
-"""
 AUDIT = """
     audit_key string NOT NULL, id bigint, transaction_id string NOT NULL, amount double,
     risk_probability double, risk_percentage double, risk_level string,

@@ -28,9 +28,14 @@ BASE = {
 def requests(spark, *changes):
     from pyspark.sql.types import StructType
 
-    lists = "ai_reasoning array<string>, policy_evidence array<struct<policy:string,score:double>>"
-    text = schemas.REVIEW_REQUEST.replace("ai_reasoning variant, policy_evidence variant", lists)
-    schema = StructType.fromDDL(text)
+    schema = StructType.fromDDL("""
+        review_id bigint, reviewed_at timestamp, transaction struct<transaction_id:string,amount:double,
+        risk_probability:double,risk_percentage:double,risk_level:string,ai_recommendation:string,
+        recommendation:string,ai_reasoning:string,reasoning:string,policy_evidence:string>,
+        decision string, reviewer_note string, risk_probability double, risk_percentage double,
+        risk_level string, ai_recommendation string, ai_reasoning array<string>,
+        policy_evidence array<struct<policy:string,score:double>>
+    """)
     inner = schema["transaction"].dataType.names
     data = []
     for i, change in enumerate(changes):

@@ -42,7 +42,7 @@ def test_signals_of_the_demo_cases(spark):
     assert [len(got[t]["mitigating_signals"]) for t in ("low", "medium", "high")] == [5, 5, 0]
     texts = {s["code"]: s["text"] for s in got["high"]["risk_signals"]}
     assert texts["amount_over_average"] == (
-        "Transaction amount (₹45,000) exceeds customer average order value (₹300) by 14900.0%."
+        "Transaction amount (₹45,000.0) exceeds customer average order value (₹300.0) by 14900.0%."
     )
     assert got["medium"]["risk_signals"][2]["value"] == "46.9"
 

@@ -7,8 +7,10 @@ from conftest import one, rows
 from pyspark.sql import functions as F
 
 from disputeflow import constants as C
-from disputeflow.operators import audit, metrics
-from disputeflow.sources import requests, scans, sinks
+from disputeflow.functions.texts import money_text
+from disputeflow.operators import audit, metrics, report, signals
+from disputeflow.sources import coercion, requests, scans, sinks
+from disputeflow.sources.coercion import Field
 
 REQUEST = {
     "transaction_id": "T1", "amount": 250, "payment_method": "card", "ip_country": "IN",
@@ -34,10 +36,82 @@ def test_score_requests(spark):
         texts(spark, REQUEST, nameless, partial, wrong, "{broken")
     )
     assert sorted(r["transaction_id"] for r in rows(valid)) == ["T1", C.DEFAULT_TRANSACTION_ID]
-    missing = sorted((r["missing_fields"] for r in rows(rejected)), key=len)
-    assert missing[0] == ["known_devices"]
-    assert missing[1] == ["amount", "is_weekend"]
-    assert len(missing[2]) == 19
+    found = sorted((r["error"], r["missing_fields"], r["malformed_fields"]) for r in rows(rejected))
+    assert found == [
+        ("malformed request", [], []),
+        ("malformed: known_devices", [], ["known_devices"]),
+        ("missing: amount, is_weekend", ["amount", "is_weekend"], []),
+    ]
+
+
+BAD = "bad"
+FLOATS = [
+    (12, 12.0), (5.5, 5.5), (1e300, 1e300), (True, 1.0), ("12.5", 12.5), (" -1_000.25 ", -1000.25), ("1e3", 1000.0),
+    (".5", 0.5), ("5.", 5.0), ("Infinity", float("inf")), ("-inf", float("-inf")), ("12.5d", BAD), ("1__0", BAD), ("", BAD),
+    ("many", BAD), (None, BAD), ([1], BAD), ({}, BAD),
+]
+INTS = [
+    (12, 12), (5.0, 5), (5.5, BAD), (True, 1), (False, 0), ("7", 7), (" +7 ", 7), ("7.0", 7), ("1_000", 1000), ("7.5", BAD),
+    ("7e0", BAD), ("", BAD), (None, BAD), (2**40, BAD), ("99999999999", BAD), ([], BAD),
+]
+TEXTS = [("a", "a"), ("", ""), (5, BAD), (True, BAD), (None, BAD), (["a"], BAD)]
+
+
+@pytest.mark.parametrize("kind, cases", [("float", FLOATS), ("int", INTS), ("text", TEXTS)])
+def test_coercion_of_one_field(spark, kind, cases):
+    documents = [json.dumps({"n": i, "x": value}) for i, (value, _) in enumerate(cases)]
+    frame = spark.createDataFrame([(d, "old") for d in [*documents, '{"n": -1}']], "value string, x string")
+    got = {r["n"]: r for r in rows(coercion.coerced(frame, "value", [Field("n", "int"), Field("x", kind)]))}
+    for i, (value, want) in enumerate(cases):
+        assert got[i]["x"] == (None if want is BAD else want), value
+        assert got[i]["malformed_fields"] == (["x"] if want is BAD else []), value
+        assert got[i]["missing_fields"] == []
+    assert got[-1]["missing_fields"] == ["x"] and got[-1]["malformed_fields"] == []
+
+
+def test_one_wrong_field_costs_no_other(spark):
+    fields = [Field("a", "float"), Field("b", "text", "default"), Field("c", "any", None), Field("d", "object", None)]
+    frame = texts(spark, {"a": "x", "c": [1, "y"], "d": 5, "e": 0}, "[1]", "", "null", {"a": 1, "b": None}).unionByName(
+        spark.createDataFrame([(None,)], "value string")
+    )
+    got = [
+        (r["a"], r["b"], r["unreadable"], r["malformed_fields"])
+        for r in coercion.coerced(frame, "value", fields).orderBy("unreadable", "b").collect()
+    ]
+    assert got == [
+        (1.0, None, False, ["b"]), (None, "default", False, ["a", "d"]), *[(None, "default", True, [])] * 4
+    ]
+
+
+def test_investigation_requests(spark):
+    transaction = {"transaction_id": 7, "amount": 1249, "previous_chargebacks": 2.0, "authentication_status": None, "extra": {"k": [1]}}
+    asked = {"risk_probability": "0.5", "query": "q", "transaction": transaction}
+    frame = texts(
+        spark, asked, asked | {"transaction": []}, asked | {"transaction": {"amount": "5"}}, {"query": "q"}, "{", asked | {"transaction": {}}
+    ).withColumn("request_id", F.monotonically_increasing_id())
+    good, rejected = requests.investigation_requests(frame)
+    first, empty = sorted(rows(good), key=lambda r: r["amount"] is None)
+    assert (first["transaction_id"], first["amount"], first["previous_chargebacks"]) == ("7", 1249.0, 2)
+    assert first["authentication_status"] == "None" and first["risk_probability"] == 0.5
+    assert json.loads(str(first["transaction"].toJson())) == transaction | {"previous_chargebacks": 2}
+    assert empty["account_age_days"] is None
+    assert sorted(r["error"] for r in rows(rejected)) == [
+        "malformed request", "malformed: transaction", "malformed: transaction.amount", "missing: risk_probability, transaction"
+    ]
+    none = F.array().cast("array<struct<policy:string,score:double>>")
+    reported = report.report_documents(report.investigate(good.withColumn("policy_evidence", none)))
+    written = {r["transaction_id"]: json.loads(r["report"]) for r in rows(reported)}
+    assert written["7"]["transaction_summary"]["extra"] == {"k": [1]}
+
+
+def test_amounts_keep_the_form_they_were_sent_in(spark):
+    sent = [{"amount": 91249, "average_order_value": 1000.5}, {"amount": 2345.25, "average_order_value": 7}]
+    asked = [{"risk_probability": 0.5, "query": "q", "transaction": t} for t in sent]
+    good, _ = requests.investigation_requests(texts(spark, *asked))
+    shown = sorted(r["t"] for r in rows(good.select(F.explode(signals.signal_texts(signals.risk_signals(good))).alias("t"))))
+    assert "91,249)" in shown[1] and "1,000.5)" in shown[1] and "2,345.25)" in shown[0] and "7)" in shown[0]
+    table = spark.sql("SELECT 5000D AS a, 1234567.891D AS b, 0.1D AS c")
+    assert list(one(table.select(*(money_text(F.col(c)).alias(c) for c in "abc"))).values()) == ["5,000.0", "1,234,567.891", "0.1"]
 
 
 def test_review_requests_take_defaults(spark):
@@ -46,7 +120,7 @@ def test_review_requests_take_defaults(spark):
     good, rejected = requests.review_requests(text)
     r = one(good)
     assert (r["risk_level"], r["risk_probability"], r["reviewer_note"]) == ("UNKNOWN", 0.0, "")
-    assert r["transaction"]["risk_probability"] == 0.9
+    assert json.loads(r["transaction"].toJson())["risk_probability"] == 0.9
     assert r["reviewed_at"] is not None and r["ai_reasoning"] == ""
     assert rows(rejected) == []
 
@@ -70,7 +144,7 @@ def test_review_rejects(spark):
     good, rejected = requests.review_requests(text)
     assert rows(good) == []
     assert sorted(r["error"] for r in rows(rejected)) == [
-        "malformed request", "missing decision", "request has no identity"
+        "malformed request", "missing: decision", "request has no identity"
     ]
 
 
