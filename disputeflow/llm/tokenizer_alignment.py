@@ -18,6 +18,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from disputeflow.llm.frames import kept, raw, scratch, staged
 
 #: Parts of texts remembered by a worker (twice as many at most), and the longest in characters.
-REMEMBERED, REMEMBERED_CHARS = 1 << 17, 48
+REMEMBERED, REMEMBERED_CHARS = 1 << 18, 48
 #: Rows and bytes of text aligned at once; one text is never cut.
 ROWS, BYTES = 128, 1 << 18
 #: Links expanded at once; the links of one id of the first tokenizer may be more.
@@ -41,6 +42,7 @@ ID_BITS = 24
 
 #: A space after a letter, digit or ASCII punctuation, which is never within a token.
 CUT = re.compile(r"(?<=[\w!-/:-@\[-`{-~])(?= )")
+BEFORE_CUT = re.compile(r"[\w!-/:-@\[-`{-~]\Z")
 
 
 def _byte_of() -> dict[str, int]:
@@ -78,44 +80,70 @@ class Tokenizers:
         self.b_lengths = np.array([len(t) for t in self.b_bytes], np.int64)
         self.shown = [b"%d%s" % (i, end) for i in range(size) for end in (b",", b"|")]
         self.shown += [b"%d%s" % (i, end) for i in range(len(pieces)) for end in (b",", b";")]
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.earlier: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.earlier: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.unlike: set[str] = set()  # parts whose tokens do not give back their bytes
 
     def learn(self, parts: list[str]) -> None:
-        """Encodes ``parts``, each with its leading space; None where the bytes differ."""
-        a_found = self.a.encode_batch_fast(parts, add_special_tokens=False)
-        b_found = self.b.encode([part[1:] for part in parts], num_threads=1)
-        # the model adds no space to an empty text; a space alone is a part at the end of a text
-        b_found = [b or [self.space] for b in b_found]
-        for part, a, b in zip(parts, a_found, b_found):
-            ids, data = a.ids, part.encode()
-            fit = b"".join(map(self.a_bytes.__getitem__, ids)) == data == b"".join(map(self.b_bytes.__getitem__, b))
-            self.known[part] = (np.array(ids, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if fit else None
+        """Encodes ``parts``, each with its leading space; those that may stand together at once."""
+        together = [part for part in parts if BEFORE_CUT.search(part)] if self.cut is CUT else []
+        if together and not self.at_once(together):
+            together = []
+        alone = [part for part in parts if not together or part not in self.known[0]]
+        a_found = [e.ids for e in self.a.encode_batch_fast(alone, add_special_tokens=False)]
+        b_found = self.b.encode([part[1:] for part in alone], num_threads=1)
+        for part, a, b in zip(alone, a_found, b_found):
+            # the model adds no space to an empty text; a space alone is a part at the end of a text
+            both = a, b or [self.space]
+            for known, ids, data in zip(self.known, both, (self.a_bytes, self.b_bytes)):
+                known[part] = np.array(ids, np.int32).tobytes()
+                if b"".join(map(data.__getitem__, ids)) != part.encode():
+                    self.unlike.add(part)
+
+    def at_once(self, parts: list[str]) -> bool:
+        """Encodes parts as one text, cut again where they end; false if bytes differ."""
+        joined = "".join(parts)
+        ends = np.cumsum([len(part.encode()) for part in parts])
+        a = self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+        b = self.b.encode(joined[1:], num_threads=1)
+        found = []
+        for ids, data, lengths in ((a, self.a_bytes, self.a_lengths), (b, self.b_bytes, self.b_lengths)):
+            if b"".join(map(data.__getitem__, ids)) != joined.encode():
+                return False
+            ids = np.array(ids, np.int32)
+            at = np.cumsum(lengths[ids])
+            stops = np.searchsorted(at, ends) + 1
+            if (at[stops - 1] != ends).any():
+                return False
+            packed, stops = ids.tobytes(), (4 * stops).tolist()
+            found.append([packed[i:j] for i, j in zip([0, *stops], stops)])
+        for known, each in zip(self.known, found):
+            known.update(zip(parts, each))
+        return True
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Packed ids of each text by both tokenizers; None where there are none."""
-        if len(self.known) > REMEMBERED:
-            self.earlier = {k: v for k, v in self.known.items() if len(k) <= REMEMBERED_CHARS}
-            self.known = {}
+        if len(self.known[0]) > REMEMBERED:
+            self.earlier, self.known = self.known, ({}, {})
         split = [self.cut.split(" " + text) if text else [] for text in texts]
-        known, earlier, new = self.known, self.earlier, []
-        for part in {part for parts in split for part in parts if part not in known}:
-            if part in earlier:
-                known[part] = earlier[part]
-            else:
-                new.append(part)
+        a_known, b_known = self.known
+        missing = set(chain.from_iterable(split)).difference(a_known)
+        again = missing.intersection(self.earlier[0])
+        for known, earlier in zip(self.known, self.earlier):
+            known.update((part, earlier[part]) for part in again)
+        new = list(missing.difference(again))
         for start in range(0, len(new), 4096):
             self.learn(new[start : start + 4096])
-        out = []
-        for parts in split:
-            found = [known[part] for part in parts]
-            if not found or None in found:
-                out.append(None)
-            else:
-                out.append((b"".join([a for a, _ in found]), b"".join([b for _, b in found])))
+        out = [
+            (b"".join(map(a_known.__getitem__, parts)), b"".join(map(b_known.__getitem__, parts)))
+            if parts and (not self.unlike or self.unlike.isdisjoint(parts)) else None
+            for parts in split
+        ]
+        # what is too long or unlike is not remembered, so that nothing forgotten is taken for like
         for part in new:
-            if len(part) > REMEMBERED_CHARS:
-                del known[part]
+            if len(part) > REMEMBERED_CHARS or part in self.unlike:
+                del a_known[part], b_known[part]
+        self.unlike.clear()
         return out
 
 
