@@ -27,7 +27,7 @@ WINDOW, RUN, POINTS = 16, 32, 8
 BINS, LEAST = 1001, 100
 NEVER = 1023
 #: A filter's bits, the bits of a feature, and the features of a filter.
-BITS, HASHES, FEATURES = 2048, 5, 128
+BITS, HASHES, FEATURES = 2048, 5, 160
 #: Common bits count as chance up to so many standard deviations above their expected number.
 NOISE = 2.0
 #: Bytes whose windows are ranked at once; a longer text is taken in pieces.

@@ -62,14 +62,15 @@ def test_features_equal_the_plain_version(monkeypatch, piece):
 
 def test_likeness():
     rng = np.random.default_rng(2)
-    many = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
-    a, b = fp.filters(many[:500]), fp.filters(many[500:])
+    n = fp.FEATURES
+    many = rng.integers(0, 1 << 63, 8 * n).astype(np.uint64)
+    a, b = fp.filters(many[: 4 * n]), fp.filters(many[4 * n :])
     empty = fp.filters(many[:0])
     assert fp.likeness(a, a) == fp.likeness(empty, empty) == 1 and fp.likeness(a, empty) == fp.likeness(empty, a) == 0
     assert fp.likeness(a, b) < 0.1
-    half = fp.filters(np.concatenate([many[:256], many[500:744]]))
+    half = fp.filters(np.concatenate([many[: 2 * n], many[4 * n : 6 * n]]))
     assert fp.likeness(a, half) == fp.likeness(half, a) and 0.45 < fp.likeness(a, half) < 0.6
-    contained = fp.filters(many[128:256])
+    contained = fp.filters(many[n : 2 * n])
     assert fp.likeness(contained, a) == fp.likeness(a, contained) == 1
 
 
