@@ -6,10 +6,10 @@ for, ``amount``; ``prediction`` is 0/1.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from disputeflow import constants as C
+from disputeflow.operators.selection import BITS, DIGIT, with_ordered_bits
 
 COUNTS = ["true_negative", "false_positive", "false_negative", "true_positive"]
 
@@ -127,52 +127,28 @@ def score_counts(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def roc_auc(counts: DataFrame, by: list[str] | None = None, pieces: int = 200) -> DataFrame:
+def roc_auc(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Exact area under the ROC curve of ``score_counts``, ties counting one half.
 
-    The distinct scores are cut into ``pieces`` value ranges by a quantile sketch (a
-    bounded list of bounds on the driver), ranked within a piece, and shifted by the
-    totals of the earlier pieces, so no task sees more than about 1 / pieces of them.
-    Labels of one class only give NULL.  ``counts`` is read twice: store it first.
+    Scores are put in order as 64-bit integers of four digits. On each level, from the last digit
+    to the first, every node adds the negatives of earlier nodes of its parent to its wins, and
+    all of a parent's nodes become one. A parent has at most 65,536 nodes and the number of
+    parents follows the data, so no task ranks more than that at once, and no sketch is needed.
+    Labels of one class only give NULL, NULL scores do not count.
     """
     by = by or []
-    shares = [(i + 1) / pieces for i in range(pieces - 1)]
-    bounds = counts.agg(F.percentile_approx("score", shares, 10_000).alias("b")).first()["b"] or []
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
-    if len(splits) > 2:
-        pieced = Bucketizer(splits=splits, inputCol="score", outputCol="piece").transform(counts)
-    else:
-        pieced = counts.withColumn("piece", F.lit(0.0))
-
-    before = Window.partitionBy(*by).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        pieced.groupBy(*by, "piece")
-        .agg(F.sum("neg").alias("piece_neg"))
-        .withColumn("earlier", F.coalesce(F.sum("piece_neg").over(before), F.lit(0)))
-        .drop("piece_neg")
-    )
-    inside = (
-        Window.partitionBy(*by, "piece")
-        .orderBy("score")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ranked = pieced.withColumn("neg_inside", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
-    joined = ranked.join(offsets, [*by, "piece"])
-    # Twice the Mann-Whitney count, kept in whole numbers.
-    wins = F.col("pos").cast("decimal(19,0)") * (
-        (F.col("neg_inside") + F.col("earlier")) * 2 + F.col("neg")
-    ).cast("decimal(19,0)")
-    return (
-        joined.groupBy(*by)
-        .agg(
-            F.sum(wins).cast("double").alias("twice_wins"),
-            F.sum("pos").cast("double").alias("positives"),
-            F.sum("neg").cast("double").alias("negatives"),
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    level = with_ordered_bits(counts, "score", "node").select(*by, "node", "pos", "neg").where("node is not null")
+    # twice the Mann-Whitney count, kept in whole numbers
+    level = level.withColumn("wins", (whole("pos") * whole("neg")).cast("decimal(38,0)"))
+    for digit in range(BITS // DIGIT, 0, -1):
+        parent = F.shiftright("node", DIGIT) if digit > 1 else F.lit(0).cast("bigint")
+        level = level.withColumn("parent", parent)
+        earlier = Window.partitionBy(*by, "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+        level = level.withColumn("earlier", F.coalesce(F.sum("neg").over(earlier), F.lit(0)))
+        gained = (whole("pos") * whole("earlier") * 2).cast("decimal(38,0)")
+        level = level.groupBy(*by, F.col("parent").alias("node")).agg(
+            F.sum(F.col("wins") + gained).cast("decimal(38,0)").alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
         )
-        .select(
-            *by,
-            F.try_divide(
-                F.col("twice_wins"), F.lit(2.0) * F.col("positives") * F.col("negatives")
-            ).alias("roc_auc"),
-        )
-    )
+    pairs = F.lit(2.0) * F.col("pos").cast("double") * F.col("neg").cast("double")
+    return level.select(*by, F.try_divide(F.col("wins").cast("double"), pairs).alias("roc_auc"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from disputeflow import constants as C
-
-MEDIAN_ACCURACY = 20_000
+from disputeflow.operators.selection import select_ranks
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -72,68 +71,18 @@ def _long(rows: DataFrame, columns: list[str], kind: str) -> DataFrame:
     return rows.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
 
 
-def exact_medians(
-    rows: DataFrame, columns: list[str], accuracy: int = MEDIAN_ACCURACY
-) -> DataFrame:
+def exact_medians(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, median) with the exact, interpolated median of each column.
 
-    ``percentile`` would hold every distinct value of a column in one task.  Here a
-    quantile sketch first brackets the middle (one bounded row to the driver);
-    then all values below a bracket collapse map-side into one count, values
-    above it are dropped, and only the few inside are ranked.  The two middle
-    ranks are looked up exactly, so the sketch's error never reaches the result.
+    The two middle ranks are found digit by digit, so that no task holds or sorts a column and
+    no sketch decides. ``rows`` is read once a round, two or three times mostly: store it first.
+    NULL and NaN do not count; a column without values has a NULL median.
     """
-    slack = 2.0 / accuracy
-    sketch = rows.agg(
-        *[
-            F.percentile_approx(
-                F.col(c).cast("double"), [0.5 - slack, 0.5 + slack], accuracy
-            ).alias(c)
-            for c in columns
-        ],
-    ).first()
-    known = [c for c in columns if sketch[c] is not None]
-    below = float("-inf")
-    cells = []
-    for c in known:
-        low, high = sketch[c]
-        value = F.col(c).cast("double")
-        spot = (
-            F.when(value < low, F.lit(below)).when(value <= high, value).otherwise(
-                F.lit(float("inf"))
-            )
-        )
-        cells.append(
-            F.struct(F.lit(c).alias("column_name"), F.when(value.isNotNull(), spot).alias("value"))
-        )
-    spark = rows.sparkSession
-    empty = spark.createDataFrame(
-        [(c,) for c in columns if c not in known], "column_name string"
-    ).withColumn("median", F.lit(None).cast("double"))
-    if not known:
-        return empty
-    counts = (
-        rows.select(F.inline(F.array(*cells)))
-        .where(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # At most about 4 / accuracy of a column's values are left in its window.
-    by_value = Window.partitionBy("column_name").orderBy("value")
-    ranked = counts.withColumns(
-        {
-            "upto": F.sum("n").over(by_value),
-            "total": F.sum("n").over(Window.partitionBy("column_name")),
-        }
-    )
-    lower = F.floor((F.col("total") + 1) / 2)
-    upper = F.floor(F.col("total") / 2) + 1
-    found = ranked.groupBy("column_name").agg(
-        F.min(F.when(F.col("upto") >= lower, F.col("value"))).alias("low"),
-        F.min(F.when(F.col("upto") >= upper, F.col("value"))).alias("high"),
-    )
-    exact = found.select("column_name", ((F.col("low") + F.col("high")) / 2).alias("median"))
-    return exact.unionByName(empty)
+    cells = [F.struct(F.lit(c).alias("group"), F.col(c).cast("double").alias("value")) for c in columns]
+    middle = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor(n / 2) + 1}
+    found = select_ranks(rows.select(F.inline(F.array(*cells))), middle) if columns else {}
+    medians = [(c, (found[c, "low"] + found[c, "high"]) / 2 if (c, "low") in found else None) for c in columns]
+    return rows.sparkSession.createDataFrame(medians, "column_name string, median double")
 
 
 def median_map(rows: DataFrame, columns: list[str]) -> dict[str, float]:

@@ -259,14 +259,14 @@ def imputed_scaled(spark, sf_dir):
 
 # --- split -------------------------------------------------------------------------------------
 def split_70_30(spark, sf_dir):
-    parts = split.stratified_split(_labels(spark, sf_dir), [0.7, 0.3], ["train", "test"])
+    labels = stored(_labels(spark, sf_dir), "labels")
+    parts = split.stratified_split(labels, [0.7, 0.3], ["train", "test"])
     return parts.select("transaction_id", C.TARGET, "part")
 
 
 def split_70_15_15(spark, sf_dir):
-    parts = split.stratified_split(
-        _labels(spark, sf_dir), [0.7, 0.15, 0.15], ["train", "validation", "test"]
-    )
+    labels = stored(_labels(spark, sf_dir), "labels")
+    parts = split.stratified_split(labels, [0.7, 0.15, 0.15], ["train", "validation", "test"])
     return parts.select("transaction_id", C.TARGET, "part")
 
 
@@ -289,7 +289,7 @@ def classification_metrics(spark, sf_dir):
 
 
 def roc_auc(spark, sf_dir):
-    counts = stored(metrics.score_counts(_scored(spark, sf_dir)), "score-counts")
+    counts = metrics.score_counts(_scored(spark, sf_dir))
     return metrics.rounded(metrics.roc_auc(counts), 6, "roc_auc")
 
 
@@ -679,7 +679,7 @@ def json_review_rejects(spark, sf_dir):
 # --- models --------------------------------------------------------------------------------------------
 def _evaluated(spark, sf_dir, names, **settings):
     rows = _features(spark, sf_dir)
-    keys = _labels(spark, sf_dir)
+    keys = stored(_labels(spark, sf_dir), "labels")
     parts = stored(
         split.stratified_split(rows, [0.7, 0.3], ["train", "test"], keys=keys), "model-table"
     )

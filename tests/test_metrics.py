@@ -4,9 +4,10 @@ import random
 
 import pytest
 from conftest import one, rows
+from pyspark.sql import functions as F
 
 from disputeflow import constants as C
-from disputeflow.operators import metrics
+from disputeflow.operators import metrics, selection
 from disputeflow.plans import evaluation
 
 # Published counts and what follows from them: tn, fp, fn, tp.
@@ -86,19 +87,45 @@ def brute_auc(data):
     return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("digits, pieces", [(1, 200), (6, 200), (6, 3), (2, 1)])
-def test_auc(spark, digits, pieces):
+@pytest.mark.parametrize("digits", [1, 2, 6, 17])
+def test_auc(spark, digits):
     generator = random.Random(11)
     data = [(generator.randint(0, 1), round(generator.random() ** 3, digits))
             for _ in range(500)]
     frame = spark.createDataFrame(data, "chargeback_label int, score double")
-    got = metrics.roc_auc(metrics.score_counts(frame), pieces=pieces).first()["roc_auc"]
+    got = metrics.roc_auc(metrics.score_counts(frame)).first()["roc_auc"]
     assert got == pytest.approx(brute_auc(data), abs=1e-12)
     turned = frame.withColumn("score", -frame["score"])
     back = metrics.roc_auc(metrics.score_counts(turned)).first()["roc_auc"]
     assert back == pytest.approx(1 - got, abs=1e-12)
 
 
+@pytest.mark.parametrize("n", [2_000, 40_000])
+def test_no_task_ranks_more_than_a_digit_holds(spark, n):
+    """However many scores there are, a parent on any level has at most 65,536 nodes."""
+    frame = spark.range(n).select(
+        (F.col("id") % 3 == 0).cast("int").alias("chargeback_label"), (F.col("id") / n).alias("score")
+    )
+    scored_bits = selection.with_ordered_bits(frame, "score")
+    for digit in range(1, 5):
+        parents = scored_bits.select(F.shiftright("bits", 16 * (digit - 1)).alias("node")).distinct()
+        most = parents.groupBy(F.shiftright("node", 16)).count().agg(F.max("count")).first()[0]
+        assert most <= selection.BINS
+    counts = metrics.score_counts(frame)
+    got = metrics.roc_auc(counts).first()["roc_auc"]
+    pos = [i for i in range(n) if i % 3 == 0]
+    wins = sum(i - k for k, i in enumerate(pos))  # negatives below each positive
+    assert got == pytest.approx(wins / (len(pos) * (n - len(pos))), abs=1e-12)
+    assert "percentile" not in metrics.roc_auc(counts)._jdf.queryExecution().toString()
+
+
+def test_auc_by_group_without_scores(spark):
+    data = [("a", 1, 0.5), ("a", 0, 0.5), ("a", 0, None), ("b", 1, 0.9), ("b", 0, -0.0), ("b", 0, 0.0), ("c", 0, None)]
+    frame = spark.createDataFrame(data, "model string, chargeback_label int, score double")
+    got = {r["model"]: r["roc_auc"] for r in metrics.roc_auc(metrics.score_counts(frame, ["model"]), ["model"]).collect()}
+    assert got == {"a": 0.5, "b": 1.0}
+
+
 def test_auc_of_one_class(spark):
     counts = metrics.score_counts(scored(spark, [(1, 0.2, 4)]))
     assert metrics.roc_auc(counts).first()["roc_auc"] is None

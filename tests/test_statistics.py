@@ -5,12 +5,14 @@ import pytest
 from conftest import one, rows
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from disputeflow.operators import statistics
+from pyspark.sql import functions as F
 
+from disputeflow.operators import selection, statistics
 
-def medians(spark, values, **options):
+
+def medians(spark, values):
     frame = spark.createDataFrame([(v,) for v in values], "v double")
-    return statistics.exact_medians(frame, ["v"], **options).first()["median"]
+    return statistics.exact_medians(frame, ["v"]).first()["median"]
 
 
 @pytest.mark.parametrize(
@@ -32,11 +34,71 @@ def test_median_any(spark, values):
     assert medians(spark, values) == pytest.approx(np.median(values), abs=1e-12)
 
 
-def test_median_beyond_the_sketch(spark):
-    """A coarse sketch brackets only roughly; the result stays exact."""
+ODD = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308,
+       -1.7976931348623157e308, 1.0, 0.9999999999999999, 1.0000000000000002, 2.0, 8.0, 7.999999999999999, -3.5,
+       float("inf"), float("-inf"), 0.1, 1e-300, 1e300]
+
+
+def test_ordered_bits_are_the_bits(spark):
+    generator = np.random.default_rng(1)
+    random = generator.integers(0, 2**64, 4000, dtype=np.uint64).view(np.float64)
+    powers = np.ldexp(1.0, np.arange(-1074, 1024))
+    near = np.concatenate([powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), -powers])
+    values = np.concatenate([ODD, random[np.isfinite(random)], near])
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = np.array([r["b"] for r in selection.with_ordered_bits(frame, "v", "b").collect()])
+    want = np.abs(values).view(np.int64) * np.where(values < 0, -1, 1)
+    assert (got == want).all()
+    nothing = spark.sql("SELECT double('NaN') AS v UNION ALL SELECT NULL")
+    assert [r["bits"] for r in selection.with_ordered_bits(nothing, "v").collect()] == [None, None]
+
+
+@pytest.mark.parametrize("bins", [selection.BINS, 3])
+def test_ranks_of_many_values(spark, monkeypatch, bins):
+    """All values distinct, a third of them equal, and odd ones; every round is needed when bins are few."""
+    monkeypatch.setattr(selection, "BINS", bins)
     generator = np.random.default_rng(5)
-    values = np.concatenate([generator.normal(size=30_001), np.full(15_000, 0.25)])
-    assert medians(spark, values.tolist(), accuracy=100) == np.median(values)
+    groups = {
+        "distinct": generator.normal(size=30_001), "close": 1.0 + np.arange(20_000) * 2.0**-52,
+        "hot": np.concatenate([generator.normal(size=3_000), np.full(1_500, 0.25)]), "odd": np.array(ODD), "one": np.array([7.0]),
+    }
+    frame = spark.createDataFrame([(g, float(v)) for g, values in groups.items() for v in values], "group string, value double")
+    shares = {share: (lambda n, share=share: F.ceil(n * share)) for share in (0.001, 0.3, 0.5, 1.0)}
+    shares["beyond"] = lambda n: n + 1
+    got = selection.select_ranks(frame, shares)
+    assert set(got) == {(g, s) for g in groups for s in shares if s != "beyond"}
+    for (group, share), value in got.items():
+        values = np.sort(groups[group])
+        assert value == values[int(np.ceil(len(values) * share)) - 1], (group, share)
+
+
+def test_equal_bits_are_told_apart_by_value(spark):
+    frame = spark.createDataFrame([("g", v) for v in "cabbbd"], "group string, value string")
+    ranks = {i: (lambda n, i=i: F.lit(i)) for i in range(1, 7)}
+    got = selection.select_ranks(frame, ranks, lambda cells, _: cells.withColumn("bits", F.lit(5).cast("bigint")))
+    assert [got["g", i] for i in range(1, 7)] == list("abbbcd")
+
+
+def test_medians_sort_no_values(spark, monkeypatch):
+    plans = []
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    collect = Frame.collect
+    def seen(self):
+        plans.append(self._jdf.queryExecution().toString())
+        return collect(self)
+
+    monkeypatch.setattr(Frame, "collect", seen)
+    frame = spark.range(100_000).select((F.col("id") * 1.5).alias("v"), F.rand(1).alias("w"))
+    got = {r["column_name"]: r["median"] for r in statistics.exact_medians(frame, ["v", "w"]).collect()}
+    assert got["v"] == 99_999 * 0.75
+    assert len(plans) >= 2
+    for plan in plans:
+        assert "percentile" not in plan and "Window [" not in plan.split("HashAggregate")[-1]
+        # windows are over counts of digits, above the aggregation
+        for at, line in enumerate(lines := plan.split("== Physical Plan ==")[-1].splitlines()):
+            if "Window" in line:
+                assert any("HashAggregate" in below for below in lines[at:])
 
 
 def test_modes_take_the_smallest_on_a_tie(spark):
