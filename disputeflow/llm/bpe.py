@@ -11,6 +11,7 @@ O(n log n) in the length of a pre-token, so a text without a break costs little
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -26,7 +27,7 @@ from disputeflow.llm.frames import raw
 #: A vocabulary file above this size is refused, since every task holds its ranks.
 VOCABULARY_BYTES = 64 << 20
 #: Remembered pre-tokens of one task (twice as many at most), and the longest in characters.
-REMEMBERED, REMEMBERED_CHARS = 1 << 18, 64
+REMEMBERED, REMEMBERED_CHARS = 1 << 19, 64
 #: Characters of a text that are split into pre-tokens at once.
 PIECE = 1 << 20
 #: Ranks in a word of the lower bitmap, as a power of two; one word of the upper one has the rest.
@@ -57,6 +58,8 @@ class Encoder(dict):
         self.longest = max(map(len, ranks), default=0)
         self.buckets: dict[int, list[int]] = {}
         self.low = [0] * ((max(ranks.values(), default=0) >> WORD) + 1)
+        #: The rank of each pair of bytes, -1 where they do not merge.
+        self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.packed = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self.split = regex.compile(pattern)
         # a cut before white space that follows something else parts no pre-token
@@ -75,14 +78,13 @@ class Encoder(dict):
         whole = self.packed.get(token)
         if whole is not None:
             return whole
-        rank_of, longest, buckets, low = self.ranks.get, self.longest, self.buckets, self.low
+        rank_of, longest, buckets, low, pairs = self.ranks.get, self.longest, self.buckets, self.low, self.pairs
         n, high, live = len(token), 0, 0
-        after, before, pair = list(range(1, n + 1)), list(range(-1, n)), [-1] * n
+        after, before = list(range(1, n + 1)), list(range(-1, n))
         mask = (1 << WORD) - 1
-        for position in range(n - 1):
-            rank = rank_of(token[position : position + 2])
-            if rank is not None:
-                pair[position] = rank
+        pair = [pairs[a << 8 | b] for a, b in zip(token, token[1:])]
+        for position, rank in enumerate(pair):
+            if rank >= 0:
                 live += 1
                 if rank in buckets:
                     buckets[rank].append(position)
@@ -90,6 +92,7 @@ class Encoder(dict):
                     buckets[rank] = [position]
                     low[rank >> WORD] |= 1 << (rank & mask)
                     high |= 1 << (rank >> WORD)
+        pair.append(-1)
         while live:
             word = (high & -high).bit_length() - 1
             bits = low[word]
@@ -165,6 +168,17 @@ class Encoder(dict):
         yield text[start:]
 
 
+_HELD: dict[str, Encoder] = {}
+
+
+def held_encoder(key: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """The worker's encoder for a vocabulary, with what it remembers from earlier tasks."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Encoder(ranks, pattern)
+    return _HELD[key]
+
+
 class Decoder:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.tokens = {rank: token for token, rank in ranks.items()}
@@ -217,13 +231,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN, tex
     the new ones are replaced; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    listed = b"".join(len(t).to_bytes(4, "little") + t + r.to_bytes(4, "little") for t, r in sorted(ranks.items()))
+    key = hashlib.sha256(listed + pattern.encode()).hexdigest()
 
     def make(encoder: Encoder, value) -> tuple[int, bytes]:
         ids = encoder.encode(value.to_pybytes().decode())
         return len(ids) // 4, ids
 
     fields = [("n_tokens", pa.int64()), ("token_ids", pa.binary())]
-    return _extended(docs, raw(text), fields, make, lambda: Encoder(shared.value, pattern))
+    return _extended(docs, raw(text), fields, make, lambda: held_encoder(key, shared.value, pattern))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> DataFrame:
