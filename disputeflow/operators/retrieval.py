@@ -5,6 +5,7 @@ A corpus is (chunk_id, text), the questions are (query_id, query).
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -13,7 +14,13 @@ from disputeflow import constants as C
 from disputeflow.functions.stopwords import english_stop_words
 from disputeflow.functions.texts import tokens, trim_space
 from disputeflow.operators.skew import SALTS, add_salt, copy_per_salt, keys_over_share
-from disputeflow.session import shared_folder
+from disputeflow.session import shared_folder, stored
+
+#: Chunks of a shard, and the shards of a query that are scored to find its threshold.
+SHARD_SIZE, FIRST_SHARDS = 256, 2
+#: Scores are ranked by nine digits.
+ROUNDING = 2e-9
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def split_chunks(
@@ -31,29 +38,33 @@ def split_chunks(
 def term_counts(
     texts: DataFrame, key: str, text: str, stop_words: list[str] | None = None
 ) -> DataFrame:
-    """(key, term, tf) without stop words.
+    """(key, term, tf) without stop words; ``key`` is unique.
 
-    Texts are hashed by key before they are taken apart: the one shuffle moves plain
-    text, and both the counting and a later grouping by key need no other.
+    Counted within the row: equal terms are neighbours once sorted, and the lengths of their
+    runs are the counts. So (key, term, tf) leaves the row, and no text is shuffled. ``inline``
+    holds the sorted terms as a column, which the lambdas would else sort again for each term.
     """
     stopped = english_stop_words() if stop_words is None else stop_words
-    terms = (
-        texts.select(key, text)
-        .repartition(F.col(key))
-        .select(key, F.explode(tokens(F.col(text))).alias("term"))
+    found = texts.select(key, F.inline(F.array(F.struct(F.array_sort(tokens(F.col(text))).alias("sorted")))))
+    term = lambda i: F.get("sorted", i)
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("sorted") - 1), lambda i: (i == 0) | (term(i) != term(i - 1))
     )
-    if stopped:
-        terms = terms.where(~F.col("term").isin(stopped))
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = found.where(F.size("sorted") > 0).select(key, "sorted", F.inline(F.array(F.struct(starts.alias("starts")))))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("sorted")))
+    runs = F.zip_with("starts", ends, lambda start, end: F.struct(
+        term(start).alias("term"), (end - start).cast("bigint").alias("tf")
+    ))
+    terms = found.select(key, F.inline(runs))
+    return terms.where(~F.col("term").isin(stopped)) if stopped else terms
 
 
-def inverse_frequencies(counts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
-    n = corpus.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+def inverse_frequencies(counts: DataFrame, n: int) -> DataFrame:
+    """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1 for a corpus of ``n`` chunks."""
     return (
         counts.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
+        .withColumn("idf", F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1)
     )
 
 
@@ -61,10 +72,11 @@ def inverse_frequencies(counts: DataFrame, corpus: DataFrame) -> DataFrame:
 class Index:
     """A fitted corpus as stored tables."""
 
-    counts: DataFrame  # chunk_id, term, tf
+    postings: DataFrame  # shard, chunk_id, term, weight; a chunk's weights have length 1
     vocabulary: DataFrame  # term, df, idf
     frequent: DataFrame  # term; those with a large share of all counts, so they are few
     norms: DataFrame  # chunk_id, norm
+    bounds: DataFrame  # shard, term, most; the largest weight of the term in the shard
 
 
 def _write(rows: DataFrame, path: str) -> DataFrame:
@@ -73,9 +85,9 @@ def _write(rows: DataFrame, path: str) -> DataFrame:
 
 
 def build_index(
-    corpus: DataFrame, stop_words: list[str] | None = None, folder: str | None = None
+    corpus: DataFrame, stop_words: list[str] | None = None, folder: str | None = None, shard_size: int = SHARD_SIZE
 ) -> Index:
-    """Term counts, idf, frequent terms and vector lengths, written to ``folder``.
+    """Postings in shards of about ``shard_size`` chunks, idf, lengths and bounds, written to ``folder``.
 
     A frequent term may own a third of all term rows; those terms (bounded in number
     by their share) are salted by chunk in the join on the term.
@@ -84,7 +96,8 @@ def build_index(
     counts = _write(
         term_counts(corpus, "chunk_id", "text", stop_words), f"{folder}/counts"
     )
-    vocabulary = _write(inverse_frequencies(counts, corpus), f"{folder}/vocabulary")
+    n = corpus.count()
+    vocabulary = _write(inverse_frequencies(counts, n), f"{folder}/vocabulary")
     frequent = _write(keys_over_share(vocabulary, "term", "df"), f"{folder}/frequent")
     weights = (
         add_salt(counts, "term", frequent, F.col("chunk_id"), SALTS)
@@ -92,21 +105,24 @@ def build_index(
             copy_per_salt(vocabulary.select("term", "idf"), "term", frequent, SALTS),
             ["term", "_salt"],
         )
-        .select("chunk_id", (F.col("tf") * F.col("idf")).alias("weight"))
+        .select("chunk_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
     )
-    norms = _write(vector_norms(weights, "chunk_id"), f"{folder}/norms")
-    return Index(counts, vocabulary, frequent, norms)
+    # one shuffle by shard serves the lengths, the postings and the bounds
+    shard = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n // shard_size)))).cast("int")
+    dealt = weights.withColumn("shard", shard).repartition("shard")
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("shard", "chunk_id")))
+    postings = _write(dealt.withColumn("norm", length), f"{folder}/postings")
+    norms = postings.groupBy("chunk_id").agg(F.max("norm").alias("norm"))
+    postings = postings.withColumn("weight", F.col("weight") / F.col("norm")).drop("norm")
+    most = postings.groupBy("shard", "term").agg(F.max("weight").alias("most"))
+    return Index(postings, vocabulary, frequent, norms, _write(most, f"{folder}/bounds"))
 
 
 def load_index(spark: SparkSession, folder: str) -> Index:
-    names = ("counts", "vocabulary", "frequent", "norms")
-    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in names])
-
-
-def vector_norms(weights: DataFrame, key: str) -> DataFrame:
-    return weights.groupBy(key).agg(
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")
-    )
+    stored = {name: spark.read.parquet(f"{folder}/{name}") for name in ("postings", "vocabulary", "frequent", "bounds")}
+    postings = stored["postings"].withColumn("weight", F.col("weight") / F.col("norm")).drop("norm")
+    norms = stored["postings"].groupBy("chunk_id").agg(F.max("norm").alias("norm"))
+    return Index(postings, stored["vocabulary"], stored["frequent"], norms, stored["bounds"])
 
 
 def query_weights(
@@ -123,25 +139,59 @@ def query_weights(
     return known.withColumn("weight", F.col("weight") / length)
 
 
-def cosine_scores(
-    index: Index, queries: DataFrame, stop_words: list[str] | None = None
-) -> DataFrame:
-    """(query_id, chunk_id, score) for pairs that share a term; all others score 0.
+def shard_bounds(index: Index, asked: DataFrame) -> DataFrame:
+    """(query_id, shard, bound) for shards with a term of the query: no chunk there scores more."""
+    salted = copy_per_salt(asked, "term", index.frequent, SALTS)
+    met = add_salt(index.bounds, "term", index.frequent, F.col("shard"), SALTS).join(salted, ["term", "_salt"])
+    return met.groupBy("query_id", "shard").agg(F.sum(F.col("weight") * F.col("most")).alias("bound"))
+
+
+@contextmanager
+def shared_partitioning(spark: SparkSession):
+    """Joins on (shard, term) may use a partitioning by the shard alone, which the sums then keep."""
+    before = spark.conf.get(CO_PARTITION)
+    spark.conf.set(CO_PARTITION, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(CO_PARTITION, before)
+
 
-    The stored counts meet only the terms that are asked for, which carry their idf.
+def shard_scores(index: Index, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of the chunks in the given (query_id, shard) pairs.
+
+    The terms of a query go to its shards, where its postings are: both sides are dealt by shard,
+    and a chunk has all its terms there, so the sums by query and chunk need no further shuffle.
     """
-    asked = copy_per_salt(
-        query_weights(index, queries, stop_words), "term", index.frequent, SALTS
-    )
-    dots = (
-        add_salt(index.counts, "term", index.frequent, F.col("chunk_id"), SALTS)
-        .join(asked, ["term", "_salt"])
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("weight") * F.col("tf") * F.col("idf")).alias("dot"))
-    )
-    return dots.join(index.norms, "chunk_id").select(
-        "query_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score")
-    )
+    wanted = pairs.join(asked.select("query_id", "term", F.col("weight").alias("asked")), "query_id")
+    dealt = wanted.repartition("shard")
+    postings = index.postings.repartition("shard")
+    met = postings.join(dealt, ["shard", "term"])
+    sums = met.groupBy("shard", "query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("asked")).alias("score"))
+    return sums.select("query_id", "chunk_id", "score")
+
+
+def best_chunks(index: Index, queries: DataFrame, k: int = C.TOP_K, stop_words: list[str] | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): exactly the best k of all chunks that share a term.
+
+    Each query is first scored in the ``FIRST_SHARDS`` shards with its highest bounds. Its kth
+    best score there is a threshold, and only shards whose bound reaches it are scored as well
+    (max-score); a query with fewer than k hits so far has none. Bounds are sums of products like
+    the scores, so a small allowance covers their rounding.
+    """
+    spark = index.postings.sparkSession
+    asked = stored(query_weights(index, queries, stop_words), "query-weights")
+    bounds = stored(shard_bounds(index, asked), "shard-bounds")
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "shard")
+    first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST_SHARDS)
+    first = first.select("query_id", "shard")
+    with shared_partitioning(spark):
+        opening = stored(top_k(shard_scores(index, asked, first), k), "first-hits")
+        least = opening.where(F.col("rank") == k).select("query_id", (F.col("score") - ROUNDING).alias("least"))
+        left = bounds.join(first, ["query_id", "shard"], "left_anti").join(least, "query_id", "left")
+        reach = left.where(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).select("query_id", "shard")
+        rest = top_k(shard_scores(index, asked, reach), k)
+        return stored(top_k(opening.unionByName(rest).drop("rank"), k), "hits")
 
 
 def top_k(scores: DataFrame, k: int = C.TOP_K) -> DataFrame:
@@ -204,7 +254,7 @@ def retrieve(
     """
     if index is None:
         index = build_index(corpus, stop_words)
-    hits = top_k(cosine_scores(index, queries, stop_words), k)
+    hits = best_chunks(index, queries, k, stop_words)
     if pad:
         hits = pad_hits(hits, queries, corpus, k)
     if min_score is not None:

@@ -369,7 +369,7 @@ def document_chunks(spark, sf_dir):
 def term_statistics(spark, sf_dir):
     corpus = given.corpus(spark, sf_dir)
     counts = retrieval.term_counts(corpus, "chunk_id", "text")
-    return metrics.rounded(retrieval.inverse_frequencies(counts, corpus), 6, "idf")
+    return metrics.rounded(retrieval.inverse_frequencies(counts, corpus.count()), 6, "idf")
 
 
 def document_norms(spark, sf_dir):

@@ -147,5 +147,66 @@ def test_index_is_reusable(spark, tmp_path):
     index = retrieval.load_index(spark, str(tmp_path / "index"))
     assert index.vocabulary.where("term = 'beta'").first()["df"] == 2
     assert abs(index.vocabulary.where("term = 'beta'").first()["idf"] - 1.0) < 1e-12
-    scores = retrieval.cosine_scores(index, queries_of(spark, ["beta"]))
+    scores = retrieval.best_chunks(index, queries_of(spark, ["beta"]))
     assert scores.where(F.col("score").between(0, 1)).count() == 2
+
+
+def test_counts_leave_the_row(spark, capsys):
+    """Terms are counted without a shuffle, whatever texts hold."""
+    texts = [None, "", "the of", "b a b b c a", "ONE one two", "x " * 5000 + "yy zz yy"]
+    counts = retrieval.term_counts(corpus_of(spark, texts), "chunk_id", "text", ["the", "of"])
+    got = {(r["chunk_id"], r["term"]): r["tf"] for r in counts.collect()}
+    assert got == {(4, "one"): 2, (4, "two"): 1, (5, "yy"): 2, (5, "zz"): 1}
+    words = retrieval.term_counts(corpus_of(spark, ["bb aa bb bb cc aa"]), "chunk_id", "text")
+    assert {r["term"]: r["tf"] for r in words.collect()} == {"aa": 2, "bb": 3, "cc": 1}
+    counts.explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("shard_size, k", [(3, 2), (5, 3), (1, 1), (1000, 4)])
+def test_shards_change_no_ranking(spark, shard_size, k):
+    """Exact top k with many ties, repeated chunks, frequent terms and shards that are skipped."""
+    generator = __import__("random").Random(shard_size)
+    vocabulary = [f"w{i}" for i in range(60)]
+    chunks = [" ".join(generator.choices(vocabulary, k=generator.choice([1, 4, 12]))) for _ in range(80)]
+    chunks = [c + " common" * (i % 3 == 0) for i, c in enumerate(chunks)] + chunks[:5]
+    asked = [" ".join(generator.choices(vocabulary, k=5)) for _ in range(10)] + ["common", "unheard", chunks[7]]
+    index = retrieval.build_index(corpus_of(spark, chunks), shard_size=shard_size)
+    hits = retrieval.retrieve(corpus_of(spark, chunks), queries_of(spark, asked), k=k, index=index)
+    got = {}
+    for r in rows(hits.orderBy("query_id", "rank")):
+        got.setdefault(r["query_id"] - 100, []).append((r["chunk_id"], r["score"]))
+    stopped = set(english_stop_words())
+    assert got == {i: brute(chunks, q, stopped, k) for i, q in enumerate(asked)}
+
+
+def test_bounds_hold_and_skip_shards(spark):
+    generator = __import__("random").Random(2)
+    chunks = [" ".join(generator.choices([f"w{i}" for i in range(200)], k=8)) for _ in range(300)]
+    index = retrieval.build_index(corpus_of(spark, chunks), shard_size=4)
+    asked = retrieval.query_weights(index, queries_of(spark, [chunks[3], chunks[90]]))
+    bounds = retrieval.shard_bounds(index, asked)
+    scores = retrieval.shard_scores(index, asked, bounds.select("query_id", "shard"))
+    shards = index.postings.select("chunk_id", "shard").distinct()
+    best = scores.join(shards, "chunk_id").groupBy("query_id", "shard").agg(F.max("score").alias("score"))
+    joined = rows(bounds.join(best, ["query_id", "shard"], "full"))
+    assert all(r["bound"] >= r["score"] - 1e-12 for r in joined)
+    third = {q: sorted((r["score"] for r in rows(scores.where(F.col("query_id") == q))), reverse=True)[2] for q in (100, 101)}
+    skipped = sum(r["bound"] < third[r["query_id"]] for r in joined)
+    assert skipped > len(joined) / 3
+
+
+def test_sums_need_no_shuffle_by_query_and_chunk(spark, capsys):
+    chunks = [f"w{i % 7} w{i % 5} common" for i in range(50)]
+    index = retrieval.build_index(corpus_of(spark, chunks), shard_size=5)
+    asked = retrieval.query_weights(index, queries_of(spark, ["w1 common"]))
+    pairs = retrieval.shard_bounds(index, asked).select("query_id", "shard")
+    with retrieval.shared_partitioning(spark):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            retrieval.shard_scores(index, asked, pairs).explain()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    exchanges = [x for x in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and not any("chunk_id" in x.split("hashpartitioning")[1].split(")")[0] for x in exchanges)
