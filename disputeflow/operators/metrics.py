@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from disputeflow import constants as C
-from disputeflow.operators.selection import BITS, DIGIT, with_ordered_bits
+from disputeflow.operators.selection import BITS, DIGIT, known, with_ordered_bits
 
 COUNTS = ["true_negative", "false_positive", "false_negative", "true_positive"]
 
@@ -138,7 +138,7 @@ def roc_auc(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     by = by or []
     whole = lambda c: F.col(c).cast("decimal(19,0)")
-    level = with_ordered_bits(counts, "score", "node").select(*by, "node", "pos", "neg").where("node is not null")
+    level = with_ordered_bits(counts.where(known("score", counts)), "score", "node").select(*by, "node", "pos", "neg")
     # twice the Mann-Whitney count, kept in whole numbers
     level = level.withColumn("wins", (whole("pos") * whole("neg")).cast("decimal(38,0)"))
     for digit in range(BITS // DIGIT, 0, -1):

@@ -18,6 +18,8 @@ from disputeflow.session import shared_folder, stored
 
 #: Chunks of a shard, and the shards of a query that are scored to find its threshold.
 SHARD_SIZE, FIRST_SHARDS = 256, 2
+#: Different terms of all queries that are broadcast; more are not.
+BROADCAST_TERMS = 1 << 20
 #: Scores are ranked by nine digits.
 ROUNDING = 2e-9
 CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
@@ -72,10 +74,10 @@ def inverse_frequencies(counts: DataFrame, n: int) -> DataFrame:
 class Index:
     """A fitted corpus as stored tables."""
 
-    postings: DataFrame  # shard, chunk_id, term, weight; a chunk's weights have length 1
+    counts: DataFrame  # shard, chunk_id, term, tf
     vocabulary: DataFrame  # term, df, idf
     frequent: DataFrame  # term; those with a large share of all counts, so they are few
-    norms: DataFrame  # chunk_id, norm
+    norms: DataFrame  # shard, chunk_id, norm
     bounds: DataFrame  # shard, term, most; the largest weight of the term in the shard
 
 
@@ -87,16 +89,17 @@ def _write(rows: DataFrame, path: str) -> DataFrame:
 def build_index(
     corpus: DataFrame, stop_words: list[str] | None = None, folder: str | None = None, shard_size: int = SHARD_SIZE
 ) -> Index:
-    """Postings in shards of about ``shard_size`` chunks, idf, lengths and bounds, written to ``folder``.
+    """Term counts in shards of about ``shard_size`` chunks, idf, lengths and bounds, written to ``folder``.
 
     A frequent term may own a third of all term rows; those terms (bounded in number
     by their share) are salted by chunk in the join on the term.
     """
     folder = folder or shared_folder(corpus.sparkSession, "index")
-    counts = _write(
-        term_counts(corpus, "chunk_id", "text", stop_words), f"{folder}/counts"
-    )
     n = corpus.count()
+    shard = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n // shard_size)))).cast("int")
+    # the texts are as uneven as their files; their counts are dealt evenly
+    counts = term_counts(corpus, "chunk_id", "text", stop_words).withColumn("shard", shard)
+    counts = _write(counts.repartition("shard"), f"{folder}/counts")
     vocabulary = _write(inverse_frequencies(counts, n), f"{folder}/vocabulary")
     frequent = _write(keys_over_share(vocabulary, "term", "df"), f"{folder}/frequent")
     weights = (
@@ -105,24 +108,19 @@ def build_index(
             copy_per_salt(vocabulary.select("term", "idf"), "term", frequent, SALTS),
             ["term", "_salt"],
         )
-        .select("chunk_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+        .select("shard", "chunk_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
     )
-    # one shuffle by shard serves the lengths, the postings and the bounds
-    shard = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n // shard_size)))).cast("int")
-    dealt = weights.withColumn("shard", shard).repartition("shard")
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("shard", "chunk_id")))
-    postings = _write(dealt.withColumn("norm", length), f"{folder}/postings")
-    norms = postings.groupBy("chunk_id").agg(F.max("norm").alias("norm"))
-    postings = postings.withColumn("weight", F.col("weight") / F.col("norm")).drop("norm")
-    most = postings.groupBy("shard", "term").agg(F.max("weight").alias("most"))
-    return Index(postings, vocabulary, frequent, norms, _write(most, f"{folder}/bounds"))
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")))
+    norms = _write(weights.groupBy("shard", "chunk_id").agg(length.alias("norm")), f"{folder}/norms")
+    most = weights.join(norms, ["shard", "chunk_id"]).groupBy("shard", "term").agg(
+        F.max(F.col("weight") / F.col("norm")).alias("most")
+    )
+    return Index(counts, vocabulary, frequent, norms, _write(most, f"{folder}/bounds"))
 
 
 def load_index(spark: SparkSession, folder: str) -> Index:
-    stored = {name: spark.read.parquet(f"{folder}/{name}") for name in ("postings", "vocabulary", "frequent", "bounds")}
-    postings = stored["postings"].withColumn("weight", F.col("weight") / F.col("norm")).drop("norm")
-    norms = stored["postings"].groupBy("chunk_id").agg(F.max("norm").alias("norm"))
-    return Index(postings, stored["vocabulary"], stored["frequent"], norms, stored["bounds"])
+    names = ("counts", "vocabulary", "frequent", "norms", "bounds")
+    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in names])
 
 
 def query_weights(
@@ -157,18 +155,27 @@ def shared_partitioning(spark: SparkSession):
         spark.conf.set(CO_PARTITION, before)
 
 
-def shard_scores(index: Index, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+def asked_postings(index: Index, asked: DataFrame) -> DataFrame:
+    """The counts of terms that are asked for, where these are few enough to be sent to all tasks."""
+    terms = asked.select("term").distinct()
+    if terms.count() > BROADCAST_TERMS:
+        return index.counts
+    return index.counts.join(F.broadcast(terms), "term", "left_semi")
+
+
+def shard_scores(index: Index, postings: DataFrame, asked: DataFrame, pairs: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of the chunks in the given (query_id, shard) pairs.
 
-    The terms of a query go to its shards, where its postings are: both sides are dealt by shard,
-    and a chunk has all its terms there, so the sums by query and chunk need no further shuffle.
+    The terms of a query, which carry their idf, go to its shards, where the counts are: all
+    sides are dealt by shard, and a chunk has all its terms there, so the sums by query and chunk
+    need no further shuffle.
     """
-    wanted = pairs.join(asked.select("query_id", "term", F.col("weight").alias("asked")), "query_id")
-    dealt = wanted.repartition("shard")
-    postings = index.postings.repartition("shard")
-    met = postings.join(dealt, ["shard", "term"])
-    sums = met.groupBy("shard", "query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("asked")).alias("score"))
-    return sums.select("query_id", "chunk_id", "score")
+    product = (F.col("weight") * F.col("idf")).alias("asked")
+    dealt = pairs.join(asked.select("query_id", "term", product), "query_id").repartition("shard")
+    met = postings.repartition("shard").join(dealt, ["shard", "term"])
+    dots = met.groupBy("shard", "query_id", "chunk_id").agg(F.sum(F.col("tf") * F.col("asked")).alias("dot"))
+    scored = dots.join(index.norms.repartition("shard"), ["shard", "chunk_id"])
+    return scored.select("query_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score"))
 
 
 def best_chunks(index: Index, queries: DataFrame, k: int = C.TOP_K, stop_words: list[str] | None = None) -> DataFrame:
@@ -179,18 +186,19 @@ def best_chunks(index: Index, queries: DataFrame, k: int = C.TOP_K, stop_words:
     (max-score); a query with fewer than k hits so far has none. Bounds are sums of products like
     the scores, so a small allowance covers their rounding.
     """
-    spark = index.postings.sparkSession
+    spark = index.counts.sparkSession
     asked = stored(query_weights(index, queries, stop_words), "query-weights")
+    postings = asked_postings(index, asked)
     bounds = stored(shard_bounds(index, asked), "shard-bounds")
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "shard")
     first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST_SHARDS)
     first = first.select("query_id", "shard")
     with shared_partitioning(spark):
-        opening = stored(top_k(shard_scores(index, asked, first), k), "first-hits")
+        opening = stored(top_k(shard_scores(index, postings, asked, first), k), "first-hits")
         least = opening.where(F.col("rank") == k).select("query_id", (F.col("score") - ROUNDING).alias("least"))
         left = bounds.join(first, ["query_id", "shard"], "left_anti").join(least, "query_id", "left")
         reach = left.where(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).select("query_id", "shard")
-        rest = top_k(shard_scores(index, asked, reach), k)
+        rest = top_k(shard_scores(index, postings, asked, reach), k)
         return stored(top_k(opening.unionByName(rest).drop("rank"), k), "hits")
 
 

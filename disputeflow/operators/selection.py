@@ -23,7 +23,8 @@ def with_ordered_bits(rows: DataFrame, value: str, name: str = "bits") -> DataFr
     """``rows`` with a double as a 64-bit integer of the same order: its IEEE bits, negated below zero.
 
     Zero and minus zero are equal; NaN and NULL give NULL. Built from arithmetic on powers of two,
-    which is exact, in steps that each use the one before more than once: generated code stays small.
+    which is exact, in steps that each use the one before more than once: generated code stays small
+    as long as no filter on the bits is pushed below them.
     """
     size, rough, scaled, by = "size of the value", "rough exponent", "scaled value", "exponent correction"
     half = F.floor(F.col(rough) / 2)
@@ -48,6 +49,12 @@ def with_ordered_bits(rows: DataFrame, value: str, name: str = "bits") -> DataFr
     return steps.withColumn(name, signed).drop(size, rough, scaled, by)
 
 
+def known(value: str, rows: DataFrame) -> Column:
+    """Whether a value counts: it is neither NULL nor NaN."""
+    there = F.col(value).isNotNull()
+    return there & ~F.isnan(value) if rows.schema[value].dataType.typeName() in ("double", "float") else there
+
+
 class Slot(NamedTuple):
     """A rank among the ``left`` values of ``group`` from low to high, whose first ``done`` bits are equal."""
 
@@ -74,10 +81,11 @@ def select_ranks(
     ``cells`` holds ``group``, of which there are few, and ``value``; it is read once a round.
     ``with_bits`` adds ``bits``, a bigint in the order of the values, which may be equal for different
     ones. ``wanted`` gives each name a rank, beginning with 1, by the number of a group's values.
-    Ranks that a group does not have are left out; values whose bits are NULL do not count.
+    Ranks that a group does not have are left out; NULL and NaN do not count.
     """
-    cells = cells.select("group", "value")
-    bits = with_bits(cells, "value").where("bits is not null")
+    # a filter on the bits would be pushed below their steps and written out as one expression
+    cells = cells.select("group", "value").where(known("value", cells))
+    bits = with_bits(cells, "value")
     first = _counted(bits.select("group", "value", F.shiftright("bits", BITS - DIGIT).alias("digit")), "group")
     total = F.sum("n").over(Window.partitionBy("group"))
     asked = F.array(*[F.struct(F.lit(i).alias("name"), rank(F.col("total")).cast("bigint").alias("rank"))

@@ -374,7 +374,7 @@ def term_statistics(spark, sf_dir):
 
 def document_norms(spark, sf_dir):
     index = retrieval.build_index(given.corpus(spark, sf_dir))
-    return metrics.rounded(index.norms, 5, "norm")
+    return metrics.rounded(index.norms.drop("shard"), 5, "norm")
 
 
 def question_weights(spark, sf_dir):

@@ -186,8 +186,8 @@ def test_bounds_hold_and_skip_shards(spark):
     index = retrieval.build_index(corpus_of(spark, chunks), shard_size=4)
     asked = retrieval.query_weights(index, queries_of(spark, [chunks[3], chunks[90]]))
     bounds = retrieval.shard_bounds(index, asked)
-    scores = retrieval.shard_scores(index, asked, bounds.select("query_id", "shard"))
-    shards = index.postings.select("chunk_id", "shard").distinct()
+    scores = retrieval.shard_scores(index, index.counts, asked, bounds.select("query_id", "shard"))
+    shards = index.norms.select("chunk_id", "shard")
     best = scores.join(shards, "chunk_id").groupBy("query_id", "shard").agg(F.max("score").alias("score"))
     joined = rows(bounds.join(best, ["query_id", "shard"], "full"))
     assert all(r["bound"] >= r["score"] - 1e-12 for r in joined)
@@ -205,7 +205,7 @@ def test_sums_need_no_shuffle_by_query_and_chunk(spark, capsys):
         before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         try:
-            retrieval.shard_scores(index, asked, pairs).explain()
+            retrieval.shard_scores(index, index.counts, asked, pairs).explain()
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     exchanges = [x for x in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in x]
