@@ -21,6 +21,14 @@ def raw(text: str | Column) -> Column:
     return F.coalesce(column, F.lit("")).cast("binary")
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, made longer until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of ``batches``, a slice at a time."""
     for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from disputeflow.llm import hashing
 from disputeflow.llm.components import components
-from disputeflow.llm.frames import ROWS, batches, kept, raw, rows, scratch, staged
+from disputeflow.llm.frames import ROWS, batches, kept, raw, rows, scratch, staged, unused
 
 K = 64
 LEAST = 0.5
@@ -393,7 +393,7 @@ def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest doc_id.
 
     Texts without words all stay. Of rows that share that doc_id, the one with the smallest
-    text digest stays; a row repeated as it is stays once.
+    text digest stays; a row repeated as it is stays once. All columns stay, whatever their names.
     """
     found = near_duplicates(docs, width)
     winner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("winner")
@@ -401,9 +401,8 @@ def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     chosen = groups.select("winner.doc_id", "winner.text_key").unionByName(
         found.where("component is null").select("doc_id", "text_key")
     ).distinct()
+    digest = unused("chosen_text", docs.columns)
     chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("text_key").alias("chosen_key"))
-    keyed = docs.withColumn("chosen_text", text_key())
-    match = keyed["doc_id"].cast("bigint").eqNullSafe(chosen["chosen_id"]) & (
-        keyed["chosen_text"] == chosen["chosen_key"]
-    )
-    return keyed.join(chosen, match, "left_semi").dropDuplicates(["doc_id", "chosen_text"]).select(*docs.columns)
+    keyed = docs.withColumn(digest, text_key())
+    match = keyed["doc_id"].cast("bigint").eqNullSafe(chosen["chosen_id"]) & (keyed[digest] == chosen["chosen_key"])
+    return keyed.join(chosen, match, "left_semi").dropDuplicates(["doc_id", digest]).select(*docs.columns)

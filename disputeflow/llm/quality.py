@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from disputeflow.llm import labelled
 from disputeflow.llm.frames import batches, raw, rows
@@ -22,9 +22,9 @@ CHUNK = 512
 LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
 #: At most so many documents of either label are learnt from: half of them for the
-#: dictionaries, at most CHUNKS blocks of each, and half for the calibration.
+#: dictionaries, of which at most so many bytes of whole texts, and half for the calibration.
 PER_LABEL = 3_000
-CHUNKS = 32
+DICTIONARY_TEXT = 16 << 20
 #: Added to a text's size, so that a few bytes of a very short text do not decide.
 SLACK = 32
 THRESHOLD = 0.7
@@ -103,17 +103,23 @@ class Model:
         return score
 
 
-def _spread(text: bytes) -> list[bytes]:
-    """At most CHUNKS blocks, evenly from the whole text."""
-    found = blocks(text)
-    return [found[i * len(found) // CHUNKS] for i in range(CHUNKS)] if len(found) > CHUNKS else found
+def _within(chosen: DataFrame, limit: int) -> DataFrame:
+    """The documents that are taken, by rank, while their texts make no more than ``limit`` bytes a label.
+
+    Texts are taken whole or not at all. There are at most ``per_label`` rows of either label, of
+    which sizes alone are looked at.
+    """
+    sizes = chosen.groupBy("doc_id", "label", "rank").agg(F.max(F.octet_length("text")).cast("bigint").alias("size"))
+    order = Window.partitionBy("label").orderBy("rank", "doc_id")
+    upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return sizes.where(F.col("size") <= limit).withColumn("upto", upto).where(F.col("upto") <= limit).select("doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL) -> Model:
     """Fits on a bounded sample of labelled documents outside the held-out part.
 
-    The driver gets at most ``per_label * CHUNKS`` blocks and ``per_label`` differences. Without
-    labels every score is 0.5; a label without documents leaves its dictionary empty.
+    The driver gets at most ``2 * DICTIONARY_TEXT`` bytes of whole texts and ``per_label`` differences.
+    Without labels every score is 0.5; a label without documents leaves its dictionary empty.
     """
     training = labelled.training_labels(labels, label, labelled.held_out(PARTS, PART)).cache()
     chosen = labelled.sample(docs, training, per_label).select("doc_id", "label", "rank", raw("text").alias("text"))
@@ -121,9 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
     block_schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("blocks", pa.list_(pa.binary()))])
 
     def cut(parts):
-        return batches(((i, v, _spread(text)) for i, v, text in rows(parts)), block_schema)
+        return batches(((i, v, blocks(text)) for i, v, text in rows(parts)), block_schema, 64)
 
-    cuts = chosen.where(first).select("doc_id", "label", "text").mapInArrow(
+    taken = chosen.where(first).join(F.broadcast(_within(chosen.where(first), DICTIONARY_TEXT)), "doc_id", "left_semi")
+    cuts = taken.select("doc_id", "label", "text").mapInArrow(
         cut, "doc_id bigint, label int, blocks array<binary>"
     ).dropDuplicates(["doc_id"])
     found: dict[int, list[bytes]] = {0: [], 1: []}
@@ -142,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
     n = labelled.totals(training)
     training.unpersist()
     y = np.array([r["label"] for r in points], np.int64)
-    taken = np.maximum(np.bincount(y, minlength=2), 1)
-    shares = np.array([n[v] / taken[v] for v in y], float)
+    counted = np.maximum(np.bincount(y, minlength=2), 1)
+    shares = np.array([n[v] / counted[v] for v in y], float)
     slope, intercept = calibrate(np.array([r["x"] for r in points], float), y, shares)
     return Model(dictionaries, slope, intercept)
 

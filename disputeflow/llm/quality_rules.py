@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from disputeflow.llm.frames import unused
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -81,20 +83,22 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with MEASURES (bigint); null counts as empty. Columns so named are replaced."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda line: _without(line, SPACES) != "")
+    kept = [c for c in docs.columns if c not in MEASURES]
+    found_words, found_lines = unused("found words", docs.columns), unused("found lines", docs.columns)
     inner = docs.select(
-        *(docs[c] for c in docs.columns if c not in MEASURES),
-        words(whole).alias("found words"),
-        lines.alias("found lines"),
+        *(docs[c] for c in kept),
+        words(whole).alias(found_words),
+        lines.alias(found_lines),
         F.length(_without(whole, SPACES)).cast("bigint").alias("word_chars"),
         (F.length(whole) - F.length(_without(whole, SYMBOLS))).cast("bigint").alias("n_symbols"),
     )
     number = lambda column: column.cast("bigint")
     return inner.select(
-        *(c for c in inner.columns if not c.startswith("found ")),
-        number(F.size("found words")).alias("n_words"),
-        number(F.size("found lines")).alias("n_lines"),
-        number(F.size("found lines") - F.size(F.array_distinct("found lines"))).alias("n_dup_lines"),
-        number(repeated_words(F.col("found words"))).alias("n_repeat_words"),
+        *(inner[c] for c in inner.columns if c not in (found_words, found_lines)),
+        number(F.size(found_words)).alias("n_words"),
+        number(F.size(found_lines)).alias("n_lines"),
+        number(F.size(found_lines) - F.size(F.array_distinct(found_lines))).alias("n_dup_lines"),
+        number(repeated_words(F.col(f"`{found_words}`"))).alias("n_repeat_words"),
     )
 
 
@@ -112,7 +116,10 @@ def failures() -> dict[str, Column]:
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with MEASURES and ``failure_bits``, one bit a failed rule."""
+    """``docs`` without the text, with MEASURES and ``failure_bits``, one bit a failed rule.
+
+    Columns so named are replaced, all others stay.
+    """
     bits = [F.when(condition, F.lit(BITS[rule])).otherwise(F.lit(0)) for rule, condition in failures().items()]
     rows = measured(docs, text)
     kept = [c for c in rows.columns if c not in (text, "failure_bits")]
@@ -129,10 +136,10 @@ def judged(rows: DataFrame, version: int = CURRENT) -> DataFrame:
     """The ledger with ``base_failed``, ``kept`` and the policy's version.
 
     A null or empty text has no words and fails; rows stay as they are, with repeated ones;
-    an empty table stays empty.
+    columns named like the new ones are replaced; an empty table stays empty.
     """
     return rows.select(
-        "*",
+        *(rows[c] for c in rows.columns if c not in ("base_failed", "kept", "policy_version")),
         (~passes(BASE)).alias("base_failed"),
         (passes(BASE) & passes(version)).alias("kept"),
         F.lit(version).alias("policy_version"),

@@ -2,8 +2,9 @@
 
 All in DataFrame functions. Paths collapse to their shapes (numbers and long identifiers
 become wildcards) before anything is counted, so a host with a third of all pages is a few
-rows when the tree is built. Pages that a rule decides are the labels of the tree: a branch
-is rejected where its smoothed share of blocked pages is high.
+rows when the tree is built. Pages that a rule decides are the labels of the tree: a template
+is rejected where its share of blocked pages is high, smoothed towards its parent's, and so on
+up to its host's, which is smoothed towards that of the same template on other hosts.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ RULES = [
     ("block", "net/es/"),
     ("block", "net/fr/"),
 ]
-#: Levels of the tree; what lies deeper is one wildcard.
-DEPTH = 4
+#: Levels of the tree; what lies deeper stays together, whole, as one segment more.
+DEPTH = 8
 #: A node with more children than this has its rare ones (below 1 in MANY) in one wildcard.
 MANY = 16
 #: Branches whose shares differ by fewer standard errors are merged.
 SIMILAR = 1.96
-#: Smoothing: pages of either label that every template is taken to have besides its own.
-#: A template without labelled pages has a share of 0.5, below REJECT.
-PRIOR_BLOCKED, PRIOR_ALLOWED = 2.0, 2.0
+#: Smoothing: as many labelled pages, with the share of the node above, every node is taken to have
+#: besides its own. Where no page at all is labelled the share is 0.5, below REJECT.
+STRENGTH = 4.0
 REJECT = 0.75
 
 
@@ -72,7 +73,8 @@ def shape(path: Column) -> Column:
         return F.concat(kind, lower(dot))
 
     segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), one)
-    deeper = F.concat(F.slice(segments, 1, DEPTH), F.array(F.lit("**")))
+    rest = F.array_join(F.slice(segments, F.lit(DEPTH + 1), F.greatest(F.size(segments), F.lit(1))), "\\")
+    deeper = F.concat(F.slice(segments, 1, DEPTH), F.array(rest))
     return F.when(F.size(segments) > DEPTH, deeper).otherwise(segments)
 
 
@@ -86,7 +88,6 @@ def _level(tree: DataFrame, level: int) -> DataFrame:
     parent = child.groupBy("host", "template").agg(
         F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"),
         F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"),
-        F.max(F.when(F.col("labelled") == 0, F.lit(0)).otherwise(1)).alias("any"),
     )
     compared = child.join(parent, ["host", "template"])
     rare = (F.col("children") > MANY) & (F.col("n") * MANY < F.col("all_n"))
@@ -118,20 +119,46 @@ def _templates(pages: DataFrame) -> DataFrame:
     levels = tree.agg(F.max(F.size("shape")).alias("n")).first()["n"] or 0
     for level in range(levels):
         tree = staged(_level(tree, level), "paths")
-    counted = tree.groupBy("host", "template").agg(
-        F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")
-    )
-    purity = (F.col("blocked") + PRIOR_BLOCKED) / (F.col("labelled") + PRIOR_BLOCKED + PRIOR_ALLOWED)
-    scored = counted.select("host", "template", purity.alias("purity"), (purity >= REJECT).alias("rejected"))
+    scored = purities(tree).withColumn("rejected", F.col("purity") >= REJECT)
     return tree.select("host", "shape", "template").join(scored, ["host", "template"])
 
 
+def purities(tree: DataFrame) -> DataFrame:
+    """``(host, template, purity)`` from ``(host, template, blocked, labelled)``.
+
+    The nodes of a template are its beginnings, from the host itself to the whole template. The
+    share begins with that of the template on other hosts, found from the same nodes there, and
+    is smoothed once more by each node of its own host on the way down.
+    """
+    leaves = tree.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+    parts = F.split("template", "/")
+    beginnings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    placed = leaves.select("host", "template", "blocked", "labelled", F.posexplode(beginnings).alias("place", "node"))
+    sums = [F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")]
+    own = placed.groupBy("host", "node").agg(*sums)
+    every = own.groupBy("node").agg(F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"))
+    met = placed.select("host", "template", "place", "node").join(own, ["host", "node"]).join(every, "node")
+    step = F.struct(
+        "place", "blocked", "labelled", (F.col("all_blocked") - F.col("blocked")).alias("other_blocked"),
+        (F.col("all_labelled") - F.col("labelled")).alias("other_labelled"),
+    )
+    chains = met.groupBy("host", "template").agg(F.sort_array(F.collect_list(step)).alias("chain"))
+
+    def smoothed(start: Column, blocked: str, labelled: str) -> Column:
+        return F.aggregate(
+            "chain", start, lambda share, node: (node[blocked] + share * STRENGTH) / (node[labelled] + F.lit(STRENGTH))
+        )
+
+    elsewhere = smoothed(F.lit(0.5), "other_blocked", "other_labelled")
+    return chains.select("host", "template", smoothed(elsewhere, "blocked", "labelled").alias("purity"))
+
+
 def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """``(page_id, host, path, rule, verdict, template, purity)``, a row for each page.
 
     A null url, or one without ``://``, has an empty host and path; no rule fits it and its
     template is the empty one of the empty host. Pages that a rule decides have no template.
-    Without labels the tree allows all. Repeated rows stay; an empty table stays empty; other
+    Without any label the tree allows all. Repeated rows stay; an empty table stays empty; other
     columns are not read.
     """
     host, path = host_and_path(url)

@@ -19,9 +19,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from disputeflow.llm.frames import batches, raw, rows, staged
+from disputeflow.operators.skew import join_dimension
 from disputeflow.session import shared_folder
 
 CHUNK = 64 << 10
@@ -29,6 +30,8 @@ CHUNK = 64 << 10
 REVISIT_BYTES = 100
 #: A task begins another archive beyond this many compressed bytes.
 ARCHIVE_BYTES = 256 << 20
+#: Tasks that read archives, at most.
+READERS = 50_000
 LEVEL = 5
 URN = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,22 +49,20 @@ def marked(pages: DataFrame, key: str = "page_id", url: str = "url", payload: st
     """``(record_id, url, payload, payload_bytes, payload_digest, refers_to)`` for each page.
 
     ``refers_to`` is set where an equal payload of at least REVISIT_BYTES belongs to a
-    smaller id. Only ids and digests are grouped, combined before the shuffle, and only
-    payloads that occur twice are joined back.
+    smaller id. Revisits are found among ids and digests alone; a digest that a third of
+    all pages have is salted, and payloads are dealt by id and digest.
     """
     named = pages.select(
         F.col(key).cast("bigint").alias("record_id"), F.col(url).cast("string").alias("url"), raw(payload).alias("payload")
     ).select("*", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    large = F.col("payload_bytes") >= REVISIT_BYTES
-    first = (
-        named.where(large).groupBy("payload_digest")
-        .agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    )
-    joined = named.join(first.select("payload_digest", "first"), "payload_digest", "left")
-    return joined.select(
-        "record_id", "url", "payload", "payload_bytes", "payload_digest",
-        F.when(large & ~F.col("record_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"),
-    )
+    slim = staged(named.where(F.col("payload_bytes") >= REVISIT_BYTES).select("record_id", "payload_digest"), "digests")
+    first = slim.groupBy("payload_digest").agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    found = join_dimension(slim, first.where("n > 1").drop("n"), "payload_digest")
+    later = found.where(F.col("first").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first"))).distinct()
+    later = later.select(F.col("record_id").alias("later_id"), F.col("payload_digest").alias("later_digest"), "first")
+    same = named["record_id"].eqNullSafe(later["later_id"]) & (named["payload_digest"] == later["later_digest"])
+    joined = named.join(later, same, "left")
+    return joined.select("record_id", "url", "payload", "payload_bytes", "payload_digest", F.col("first").alias("refers_to"))
 
 
 def chunk_rows(records: DataFrame) -> DataFrame:
@@ -149,6 +150,13 @@ class _Archive:
         return self.uri, self.n_records, self.n_bytes
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its scheme: without one, executors would take it for their own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", whole)
+
+
 def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
     """Writes the rows of ``chunk_rows`` below ``folder``; returns the stored manifest."""
     schema = pa.schema([("archive", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
@@ -263,7 +271,7 @@ def read_records(stream, archive: str) -> Iterator[tuple]:
 
 
 def read_chunks(manifest: DataFrame) -> DataFrame:
-    """The chunked record table of the archives in ``manifest``, one task or more an archive.
+    """The chunked record table of the archives in ``manifest``, a task for each archive.
 
     ``payload_bytes`` and ``payload_digest`` cover the payload up to and with the chunk; for
     a revisit, which has no payload of its own, they are those of the payload it stands for.
@@ -284,7 +292,9 @@ def read_chunks(manifest: DataFrame) -> DataFrame:
 
         return batches(each(), pa.schema(fields), size=128)
 
-    return manifest.select("archive").repartition("archive").mapInArrow(read, CHUNKS)
+    # the manifest is small, so adaptive execution would merge its partitions; an explicit number stays
+    n = min(max(1, manifest.count()), READERS)
+    return manifest.select("archive").coalesce(1).repartition(n).mapInArrow(read, CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:
@@ -302,5 +312,5 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     payload count as the same page: if it is the smallest, each is a response. An empty table
     gives no rows; other columns are not read.
     """
-    folder = folder or shared_folder(pages.sparkSession, "archives")
+    folder = qualified(pages.sparkSession, folder or shared_folder(pages.sparkSession, "archives"))
     return records(read_chunks(write_archives(chunk_rows(marked(pages)), folder)))

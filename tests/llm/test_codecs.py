@@ -12,6 +12,7 @@ import zlib
 import pytest
 import tiktoken
 from public_tokenizers import PATTERN
+from pyspark.sql import functions as F
 
 from disputeflow.llm import bpe, warc
 from disputeflow.session import shared_folder
@@ -118,3 +119,30 @@ def test_broken_archives_are_told(spark):
     for cut in (gzip.compress(start + b"hel"), whole[:-20], gzip.compress(start[:40])):
         with pytest.raises((EOFError, zlib.error)):
             read(cut)
+
+
+def test_archives_are_read_by_as_many_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1)  # an archive for each record
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"text {i} " * 30) for i in range(12)], "page_id bigint, url string, html string")
+    manifest = warc.write_archives(warc.chunk_rows(warc.marked(pages)), warc.qualified(spark, str(tmp_path / "archives")))
+    assert manifest.count() == 12
+    chunks = warc.read_chunks(manifest).withColumn("task", F.spark_partition_id())
+    assert chunks.select("task").distinct().count() == 12
+    assert chunks.where("intact").count() == 12
+
+
+def test_revisits_of_a_hot_page_and_of_pages_without_id(spark):
+    copies = [(None if i % 50 == 0 else i, "u", "same page " * 20 if i % 3 == 0 else f"page {i} " * 20) for i in range(1, 400)]
+    pages = spark.createDataFrame(copies + copies[:5], "page_id bigint, url string, html string")
+    marked = warc.marked(pages)
+    got = {(r["record_id"], r["payload_digest"]): r["refers_to"] for r in marked.collect()}
+    first = min(i for i, _, text in copies if i is not None and text.startswith("same"))
+    for i, _, text in copies:
+        of = got[i, hashlib.sha256(text.encode()).hexdigest()]
+        assert of == (first if text.startswith("same") and i != first else None)
+    assert marked.count() == len(copies) + 5
+
+
+def test_folders_have_a_scheme(spark, tmp_path):
+    assert warc.qualified(spark, str(tmp_path)) == f"file://{tmp_path}"
+    assert warc.qualified(spark, f"file:{tmp_path}") == f"file://{tmp_path}"

@@ -99,7 +99,64 @@ def test_templates_follow_their_labels(spark):
             kind = u.split("/")[3]
             assert template == f"/{kind}/{{number}}"
             assert verdict == ("block" if kind == "bad" else "allow")
-    assert got[len(urls) - 1][1] == "allow"
+    assert got[len(urls) - 1][1] == "block"  # as the same template on another host
+    assert got[len(urls) - 2][1] == "allow"  # half of the host's labelled pages are blocked
+
+
+def brute_purity(tree):
+    """Shares of templates by plain recursion over ``{(host, template): (blocked, labelled)}``."""
+    def total(node, of):
+        found = [v for (h, t), v in tree.items() if of(h) and (t + "/").startswith(node + "/")]
+        return sum(b for b, _ in found), sum(n for _, n in found)
+
+    out = {}
+    for host, template in tree:
+        parts = template.split("/")
+        nodes = ["/".join(parts[:i]) for i in range(1, len(parts) + 1)]
+        share = 0.5
+        for of in (lambda h: h != host, lambda h: h == host):
+            for node in nodes:
+                blocked, labelled = total(node, of)
+                share = (blocked + 4 * share) / (labelled + 4)
+        out[host, template] = share
+    return out
+
+
+def test_purity_equals_brute_force(spark):
+    rng = random.Random(7)
+    tree = {}
+    for host in ("a.org", "b.net", "c.net", "d.com", ""):
+        for _ in range(12):
+            template = "".join("/" + rng.choice(["x", "y", "xy", "{number}"]) for _ in range(rng.randrange(4)))
+            labelled = rng.choice([0, 0, 1, 5, 40])
+            tree[host, template] = (rng.randrange(labelled + 1), labelled)
+    frame = spark.createDataFrame([(*k, *v) for k, v in tree.items()], "host string, template string, blocked bigint, labelled bigint")
+    got = {(r["host"], r["template"]): r["purity"] for r in url_filter.purities(frame).collect()}
+    want = brute_purity(tree)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_an_unlabelled_template_below_a_blocked_parent(spark):
+    """Most labelled pages below /bad are blocked, so its unlabelled template is too; /good's is not."""
+    rules = [("block", f"a.org/bad/{w}") for w in ("p", "q")] + [("allow", f"a.org/good/{w}") for w in ("p", "q")]
+    urls = [f"http://a.org/{k}/{w}{n % 3}" for k in ("bad", "good") for w in ("p", "q") for n in range(60)]
+    urls += ["http://a.org/bad/new/page", "http://a.org/good/new/page", "http://z.org/"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    got = {r["page_id"]: r for r in url_filter.judged(frame, rules).collect()}
+    bad, good, other = (got[len(urls) - k] for k in (3, 2, 1))
+    assert bad["rule"] is None and bad["verdict"] == "block" and bad["purity"] > 0.9
+    assert good["rule"] is None and good["verdict"] == "allow" and good["purity"] < 0.1
+    assert other["verdict"] == "allow" and 0.25 < other["purity"] < 0.75
+
+
+def test_deep_paths_are_kept_whole(spark):
+    tail = "/".join(f"d{chr(97 + i)}" for i in range(40))
+    urls = [f"http://a.org/{tail}/x", f"http://a.org/{tail}/y", "http://a.org/da"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    got = [r["template"] for r in url_filter.judged(frame, []).orderBy("page_id").collect()]
+    assert got[0] != got[1] and len(set(got)) == 3
+    assert got[0].replace("\\", "/") == f"/{tail}/x"
 
 
 def test_rare_segments_become_one_wildcard(spark):
@@ -109,6 +166,15 @@ def test_rare_segments_become_one_wildcard(spark):
     assert {got[i] for i in range(30, len(urls))} == {"/{*}"}
 
 
+def test_ledger_with_clashing_names(spark):
+    names = ["doc_id", "text", "found it", "found words", "kept", "base_failed", "policy_version", "failure_bits", "n_words"]
+    frame = spark.createDataFrame([tuple(["1", "a b", *"abcdefg"])], ", ".join(f"`{n}` string" for n in names))
+    found = quality_rules.judged(quality_rules.ledger(frame))
+    assert len(set(found.columns)) == len(found.columns)
+    r = found.collect()[0]
+    assert (r["found it"], r["found words"], r["n_words"], r["kept"], r["base_failed"]) == ("a", "b", 2, False, True)
+
+
 # --- decontamination ---------------------------------------------------------------------------
 def test_fm_index_finds_every_place():
     rng = np.random.default_rng(1)

@@ -131,6 +131,14 @@ def repeated_words(docs, width):
     return out
 
 
+def test_one_of_each_keeps_clashing_columns(spark):
+    rows = [(1, "same words here", "x", "c"), (2, "same words here", "y", "d"), (3, "", "z", "e")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, chosen_text string, Text_key string")
+    found = near_dedup.one_of_each(frame)
+    assert found.columns == frame.columns
+    assert sorted((r["doc_id"], r["chosen_text"], r["Text_key"]) for r in found.collect()) == [(1, "x", "c"), (3, "z", "e")]
+
+
 def test_removable_spans_equal_brute_force(spark):
     rng = random.Random(7)
     passages = [[f"p{k}_{i}" for i in range(rng.randrange(8, 30))] for k in range(5)]
