@@ -40,12 +40,13 @@ def label_disputes(transactions: DataFrame, chargebacks: DataFrame) -> DataFrame
     )
 
 
-def with_customers(transactions: DataFrame, customers: DataFrame) -> DataFrame:
-    """Customer history; the customer's ``previous_transactions`` wins."""
+def with_customers(transactions: DataFrame, customers: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Customer history; the customer's ``previous_transactions`` wins.
+
+    ``hot`` may be a stored ``skew.replication`` table of the customers.
+    """
     return join_dimension(
-        transactions.drop("previous_transactions"),
-        customers.select(*CUSTOMER_COLUMNS),
-        "customer_id",
+        transactions.drop("previous_transactions"), customers.select(*CUSTOMER_COLUMNS), "customer_id", hot=hot
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from disputeflow import constants as C
 from disputeflow.functions.stopwords import english_stop_words
 from disputeflow.functions.texts import tokens, trim_space
-from disputeflow.operators.skew import SALTS, add_salt, copy_per_salt, keys_over_share
+from disputeflow.operators.skew import add_salt, copy_per_salt, keys_over_share
 from disputeflow.session import shared_folder, stored
 
 #: Chunks of a shard, and the shards of a query that are scored to find its threshold.
@@ -76,7 +76,7 @@ class Index:
 
     counts: DataFrame  # shard, chunk_id, term, tf
     vocabulary: DataFrame  # term, df, idf
-    frequent: DataFrame  # term; those with a large share of all counts, so they are few
+    frequent: DataFrame  # term, copies; terms with a large share of all counts, so they are few
     norms: DataFrame  # shard, chunk_id, norm
     bounds: DataFrame  # shard, term, most; the largest weight of the term in the shard
 
@@ -103,9 +103,9 @@ def build_index(
     vocabulary = _write(inverse_frequencies(counts, n), f"{folder}/vocabulary")
     frequent = _write(keys_over_share(vocabulary, "term", "df"), f"{folder}/frequent")
     weights = (
-        add_salt(counts, "term", frequent, F.col("chunk_id"), SALTS)
+        add_salt(counts, "term", frequent, F.col("chunk_id"))
         .join(
-            copy_per_salt(vocabulary.select("term", "idf"), "term", frequent, SALTS),
+            copy_per_salt(vocabulary.select("term", "idf"), "term", frequent),
             ["term", "_salt"],
         )
         .select("shard", "chunk_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
@@ -139,8 +139,8 @@ def query_weights(
 
 def shard_bounds(index: Index, asked: DataFrame) -> DataFrame:
     """(query_id, shard, bound) for shards with a term of the query: no chunk there scores more."""
-    salted = copy_per_salt(asked, "term", index.frequent, SALTS)
-    met = add_salt(index.bounds, "term", index.frequent, F.col("shard"), SALTS).join(salted, ["term", "_salt"])
+    salted = copy_per_salt(asked, "term", index.frequent)
+    met = add_salt(index.bounds, "term", index.frequent, F.col("shard")).join(salted, ["term", "_salt"])
     return met.groupBy("query_id", "shard").agg(F.sum(F.col("weight") * F.col("most")).alias("bound"))
 
 

@@ -18,6 +18,7 @@ from disputeflow.operators import (
     retrieval,
     review,
     signals,
+    skew,
     split,
     statistics,
 )
@@ -713,6 +714,7 @@ def _enriched_stream(spark, sf_dir):
         _order_stream(spark, sf_dir),
         stored(given.customers(spark, sf_dir), "customers"),
         stored(given.orders(spark, sf_dir), "orders"),
+        hot=stored(skew.replication(given.transactions(spark, sf_dir), "customer_id"), "hot-customers"),
     )
 
 
@@ -744,7 +746,7 @@ def streamed_reviews(spark, sf_dir):
     folder = shared_folder(spark, "streamed-reviews")
     schema = given.read(spark, sf_dir, "events").schema
     events = jobs.read_stream(spark, sf_dir, schema, "events.parquet")
-    asked = given.review_events(events, given.transactions(spark, sf_dir))
+    asked = given.review_events(events, stored(given.transactions(spark, sf_dir), "transactions"))
     jobs.start_batches(
         asked, jobs.review_batches(folder), f"{folder}/checkpoint"
     ).awaitTermination()

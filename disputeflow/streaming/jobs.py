@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from disputeflow import constants as C
 from disputeflow.operators import audit, features, report, retrieval
+from disputeflow.operators.skew import COPIES
 from disputeflow.plans.modelling import score
 from disputeflow.sources.sinks import load_model, model_path
 
@@ -33,21 +34,25 @@ def read_stream(
 
 
 def enrich(
-    transactions: DataFrame, customers: DataFrame, orders: DataFrame, guard: str = "nonpositive"
+    transactions: DataFrame,
+    customers: DataFrame,
+    orders: DataFrame,
+    guard: str = "nonpositive",
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Stream-static left joins and the shared feature expressions.
 
     Each micro-batch is a small fact table; Spark broadcasts a static side only
-    when its measured size allows it.
+    when its measured size allows it. ``hot`` is the stored ``skew.replication`` table of the
+    customers in earlier transactions: a customer with a third of them is spread by it, since
+    a stream cannot be counted. Without it no customer is taken to be hot.
     """
-    rows = (
-        transactions.drop("previous_transactions")
-        .join(customers.select(*features.CUSTOMER_COLUMNS), "customer_id", "left")
-        .join(
-            orders.select(*features.ORDER_COLUMNS, "delivery_status", "refund_status"),
-            "transaction_id",
-            "left",
-        )
+    if hot is None:
+        hot = customers.select("customer_id", F.lit(1).alias(COPIES)).limit(0)
+    rows = features.with_customers(transactions, customers, hot).join(
+        orders.select(*features.ORDER_COLUMNS, "delivery_status", "refund_status"),
+        "transaction_id",
+        "left",
     )
     return features.derive_features(features.add_calendar(rows), guard)
 
@@ -128,8 +133,8 @@ def investigate_batches(
 ) -> Callable[[DataFrame, int], None]:
     """Retrieval for the batch's distinct queries, then signals, routing and report.
 
-    Requests hold transaction_id, query_id, query, risk_probability and the
-    transaction's columns.  Requests without a usable probability go to a side table.
+    Requests hold transaction_id, query, risk_probability and the transaction's columns.
+    Requests without a usable probability go to a side table.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -137,7 +142,9 @@ def investigate_batches(
             usable, rejected = report.reject_incomplete(
                 batch, ["transaction_id", "risk_probability"]
             )
-            queries = usable.select("query_id", "query").dropDuplicates(["query_id"])
+            # one id may carry several texts: the text itself is the key
+            usable = usable.withColumn("query_id", F.sha2("query", 256))
+            queries = usable.select("query_id", "query").distinct()
             hits = retrieval.retrieve(corpus, queries, index=index)
             write_batch(retrieval.pack_hits(hits, corpus), f"{folder}/policy-hits", batch_id)
             packed = batch.sparkSession.read.parquet(f"{folder}/policy-hits/batch_id={batch_id}")
