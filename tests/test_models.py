@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -51,6 +52,35 @@ def test_device_is_an_option(spark, table):
     assert modelling.preprocessor_for(table, False).categorical == ["kind", "device_id"]
 
 
+@pytest.mark.parametrize("limit", [0, 3])
+def test_categories_in_a_table_give_the_same_vectors(spark, table, monkeypatch, tmp_path, limit):
+    """Columns whose categories stay in a table, saved, loaded and used on unseen values."""
+    train = table.withColumn("device_id", F.concat(F.lit("d"), (F.col("b") * 50).cast("int").cast("string")))
+    plain = modelling.Preprocessor(["a", "b"], ["kind", "device_id"]).fit(train)
+    monkeypatch.setattr(modelling, "DRIVER_CATEGORIES", limit)
+    tabled = modelling.Preprocessor(["a", "b"], ["kind", "device_id"]).fit(train)
+    indexers = [s for s in tabled.stages if type(s).__name__ == "StringIndexerModel"]
+    assert len(indexers) == (limit > 0) and all(s.getInputCols() == ["kind__filled"] for s in indexers)
+    path = str(tmp_path / "model")
+    tabled.write().overwrite().save(path)
+    unseen = spark.createDataFrame([("new", 0.5, 0.5, "never", "seen")], "transaction_id string, a double, b double, kind string, device_id string")
+    rows_ = train.select("transaction_id", "a", "b", "kind", "device_id").unionByName(unseen)
+
+    def vectors(model):
+        return {r[0]: r[1] for r in model.transform(rows_).select("transaction_id", "features").collect()}
+
+    want, got = vectors(plain), vectors(PipelineModel.load(path))
+    assert want.keys() == got.keys() and all(want[k] == got[k] for k in want)
+    assert got["new"].numNonzeros() <= 2 and got["new"].size == got["T1"].size
+
+
+def test_dictionary_is_in_order(spark):
+    values = [f"v{i * 7919 % 5000}" for i in range(5000)] + ["", "é", "Z"]
+    found = modelling.dictionary(spark.createDataFrame([(v,) for v in values], "value string").repartition(5))
+    got = {r["value"]: r["index"] for r in found.collect()}
+    assert got == {v: i for i, v in enumerate(sorted(values, key=str.encode))}
+
+
 def newton(x, y, weight, c=1.0):
     """Minimum of c * sum(w * loss) + |b|^2 / 2 with a free intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
