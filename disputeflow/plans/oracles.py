@@ -751,6 +751,7 @@ BODIES: dict[str, str] = {
     "audit_history": """
         SELECT id, transaction_id, human_decision, risk_level, timestamp FROM audit
         ORDER BY id DESC""",
+    "audit_store": f"SELECT {AUDIT_LIST} FROM audit",
     "audit_count": "SELECT count(DISTINCT audit_key) AS record_count FROM audit",
     "audit_display": f"""
         SELECT id, transaction_id, printf('%.2f%%', risk_percentage) AS risk_score,

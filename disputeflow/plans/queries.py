@@ -26,7 +26,8 @@ from disputeflow.plans import evaluation, modelling
 from disputeflow.plans.risk_summary import risk_summary
 from disputeflow.session import shared_folder, stored
 from disputeflow.sources import driver_tables as given
-from disputeflow.sources import requests, schemas, sinks
+from disputeflow.sources import requests, sinks
+from disputeflow.sources.audit_store import AuditStore
 from disputeflow.streaming import jobs
 
 SENTENCE_START = r"\p{Lu}"
@@ -609,6 +610,16 @@ def audit_history(spark, sf_dir):
     )
 
 
+def audit_store(spark, sf_dir):
+    """The audit table declared twice, appended in two batches of which one is replayed, and read."""
+    folder = shared_folder(spark, "audit-store")
+    rows = stored(_audit(spark, sf_dir), "audit")
+    even = F.pmod("id", F.lit(2)) == 0
+    for batch, part in (("first", rows.where(even)), ("second", rows.where(~even)), ("first", rows)):
+        AuditStore(spark, folder).declare().append(part, batch)
+    return _shown(AuditStore(spark, folder).read())
+
+
 def audit_count(spark, sf_dir):
     return audit.record_count(_audit(spark, sf_dir))
 
@@ -747,11 +758,11 @@ def streamed_reviews(spark, sf_dir):
     schema = given.read(spark, sf_dir, "events").schema
     events = jobs.read_stream(spark, sf_dir, schema, "events.parquet")
     asked = given.review_events(events, stored(given.transactions(spark, sf_dir), "transactions"))
+    store = AuditStore(spark, f"{folder}/audit").declare()
     jobs.start_batches(
-        asked, jobs.review_batches(folder), f"{folder}/checkpoint"
+        asked, jobs.review_batches(store, folder), f"{folder}/checkpoint"
     ).awaitTermination()
-    stored = spark.read.schema(schemas.AUDIT).parquet(f"{folder}/audit")
-    return _shown(stored.select(*audit.AUDIT_COLUMNS))
+    return _shown(store.read())
 
 
 def streamed_investigations(spark, sf_dir):
@@ -799,7 +810,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     normalised_probabilities, review_routing, investigation_reports,
     report_documents, request_scores, incomplete_requests, coerced_requests,
     request_rejects, investigation_requests, investigation_rejects, report_fields, rejected_reviews, resolved_reviews,
-    audit_records, review_acknowledgements, audit_history, audit_count,
+    audit_records, review_acknowledgements, audit_history, audit_store, audit_count,
     audit_display, json_reviews, json_review_rejects,
     logistic_regression, random_forest, boosted_trees, streamed_features,
     streamed_scores, streamed_reviews, streamed_investigations,

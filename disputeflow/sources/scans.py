@@ -23,11 +23,18 @@ def require_column(rows: DataFrame, name: str = C.TARGET) -> DataFrame:
 
 
 def read_model_table(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    """The feature table; fails if the path or the target column is absent."""
-    reader = spark.read
-    if file_format == "csv":
-        reader = reader.option("header", True).option("inferSchema", True)
-    return require_column(reader.format(file_format).load(path))
+    """The feature table; fails if the path or the target column is absent.
+
+    A CSV file has its columns in any order; their types are those of the declared feature table, and
+    columns that it does not name are text. Nothing is inferred from the data.
+    """
+    if file_format != "csv":
+        return require_column(spark.read.format(file_format).load(path))
+    reader = spark.read.option("header", True)
+    declared = {f.name: f for f in spark.createDataFrame([], schemas.MODEL_TABLE).schema}
+    header = reader.option("enforceSchema", False).csv(path).columns
+    kinds = ", ".join(f"`{c}` {declared[c].dataType.simpleString() if c in declared else 'string'}" for c in header)
+    return require_column(reader.schema(kinds).csv(path))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -39,10 +46,3 @@ def read_text_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("path"), F.col("value").alias("text")
     )
-
-
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Audit rows below ``path``; partition columns of the layout are left out."""
-    from disputeflow.operators.audit import AUDIT_COLUMNS
-
-    return spark.read.schema(schemas.AUDIT).parquet(path).select(*AUDIT_COLUMNS)

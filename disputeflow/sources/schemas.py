@@ -30,6 +30,15 @@ TABLES = {
     "evidence": EVIDENCE,
 }
 
+MODEL_TABLE = """
+    transaction_id string, amount double, payment_method string, device_id string, ip_country string,
+    authentication_status string, account_age_days int, previous_transactions int,
+    successful_transactions int, previous_chargebacks int, previous_refunds int, known_devices int,
+    average_order_value double, product_category string, product_value double, transaction_hour int,
+    transaction_day_of_week int, is_weekend int, amount_to_avg_order_ratio double,
+    customer_success_rate double, customer_chargeback_rate double, customer_refund_rate double,
+    has_previous_chargeback int, is_new_customer int, chargeback_label int
+"""
 MODEL_RESULTS = "model string, accuracy double, precision double, recall double, f1 double"
 THRESHOLD_RESULTS = """
     threshold double, accuracy double, precision double, recall double, f1 double,

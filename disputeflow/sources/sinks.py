@@ -1,12 +1,11 @@
-"""Writers of the model table, result tables, documents, models and audit rows."""
+"""Writers of the model table, result tables, documents and models; audit rows have their own store."""
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame
 
 from disputeflow.functions.texts import slug
-from disputeflow.sources import schemas
 
 
 def write_table(rows: DataFrame, path: str, file_format: str = "parquet") -> None:
@@ -37,18 +36,3 @@ def save_model(model: PipelineModel, folder: str, name: str) -> str:
 
 def load_model(folder: str, name: str) -> PipelineModel:
     return PipelineModel.load(model_path(folder, name))
-
-
-def create_audit_table(spark: SparkSession, table: str) -> None:
-    """Declares the audit table once; partitioned by day, so recent rows prune."""
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({schemas.AUDIT}, review_date date) "
-        "USING parquet PARTITIONED BY (review_date)"
-    )
-
-
-def append_audit(audit: DataFrame, path: str) -> None:
-    """Appends audit rows below a folder, one sub-folder per day."""
-    audit.withColumn("review_date", F.to_date("timestamp")).write.mode("append").partitionBy(
-        "review_date"
-    ).parquet(path)

@@ -17,6 +17,7 @@ from disputeflow import constants as C
 from disputeflow.operators import audit, features, report, retrieval
 from disputeflow.operators.skew import COPIES
 from disputeflow.plans.modelling import score
+from disputeflow.sources.audit_store import AuditStore
 from disputeflow.sources.sinks import load_model, model_path
 
 
@@ -155,16 +156,13 @@ def investigate_batches(
     return each
 
 
-def review_batches(folder: str) -> Callable[[DataFrame, int], None]:
-    """Valid decisions to the audit table, the others to a side table."""
+def review_batches(store: AuditStore, folder: str) -> Callable[[DataFrame, int], None]:
+    """Valid decisions to the audit store, the others to a side table below ``folder``."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         with held(batch):
             accepted, rejected = audit.split_by_decision(batch)
-            rows = audit.audit_records(accepted).withColumn("review_date", F.to_date("timestamp"))
-            rows.write.mode("overwrite").partitionBy("review_date").parquet(
-                f"{folder}/audit/batch_id={batch_id}"
-            )
+            store.append(audit.audit_records(accepted), batch_id)
             write_batch(rejected, f"{folder}/rejects", batch_id)
 
     return each

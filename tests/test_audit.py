@@ -2,13 +2,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pytest
 from conftest import one, rows
-from pyspark.sql import Row
+from pyspark.sql import Row, functions as F
 
 from disputeflow import constants as C
 from disputeflow.operators import audit, evidence
-from disputeflow.sources import schemas, sinks
-from disputeflow.sources.scans import read_audit
+from disputeflow.sources import schemas
+from disputeflow.sources.audit_store import AuditStore
 
 BASE = {
     "review_id": 1,
@@ -90,10 +91,10 @@ def test_texts(spark):
 def test_history_and_display(spark, tmp_path):
     frame = requests(spark, {}, {"risk_probability": 0.45}, {"transaction": {"transaction_id": ""}})
     records = audit.audit_records(frame)
-    path = str(tmp_path / "audit")
-    sinks.append_audit(records, path)
-    sinks.append_audit(records.where("id = 1"), path)  # a replayed request
-    stored = read_audit(spark, path)
+    store = AuditStore(spark, str(tmp_path / "audit")).declare()
+    assert store.append(records, 0) == 3
+    assert store.append(records.where("id = 1"), 1) == 1  # a request sent again
+    stored = store.read()
     assert stored.count() == 4
     assert [r["id"] for r in rows(audit.history(stored))] == [2, 1, 0]
     shown = {r["id"]: r for r in rows(audit.display(audit.history(stored)))}
@@ -104,10 +105,37 @@ def test_history_and_display(spark, tmp_path):
     assert done[0]["message"] == "Human review successfully recorded as APPROVED."
 
 
-def test_audit_table_is_declared_once(spark):
-    sinks.create_audit_table(spark, "review_audit")
-    sinks.create_audit_table(spark, "review_audit")
-    assert spark.table("review_audit").columns == [*audit.AUDIT_COLUMNS, "review_date"]
+def test_audit_store(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    records = audit.audit_records(requests(spark, {}, {}, {})).persist()
+    store = AuditStore(spark, folder).declare()
+    assert store.read().columns == audit.AUDIT_COLUMNS and store.read().count() == 0
+    assert store.append(records, "a-1") == 3 and store.append(records, "a-1") == 0  # replayed
+    store._write(records.withColumn("review_date", F.to_date("timestamp")), "b")  # failed before its commit
+    assert AuditStore(spark, folder).declare().read().count() == 3
+    assert store.append(records.limit(2), "b") == 2
+    assert {r["batch"]: r["n_rows"] for r in store.batches().collect()} == {"a-1": 3, "b": 2}
+    assert store.read().count() == 5
+
+
+def test_audit_store_refuses_nulls(spark, tmp_path):
+    store = AuditStore(spark, str(tmp_path / "store")).declare()
+    records = audit.audit_records(requests(spark, {}, {}))
+    broken = records.withColumn("timestamp", F.when(F.col("id") == 0, F.col("timestamp")))
+    with pytest.raises(Exception, match="NULL in the audit column timestamp"):
+        store.append(broken, 1)
+    assert store.read().count() == 0 and store.batches().count() == 0
+    assert store.append(records.withColumn("amount", F.lit(None).cast("double")), 1) == 2
+    for name in ("declared", "", "a/b"):
+        with pytest.raises(ValueError):
+            store.append(records, name)
+
+
+def test_audit_store_keeps_its_declaration(spark, tmp_path, monkeypatch):
+    AuditStore(spark, str(tmp_path / "store")).declare()
+    monkeypatch.setattr(schemas, "AUDIT", "audit_key string NOT NULL")
+    with pytest.raises(ValueError, match="was declared as"):
+        AuditStore(spark, str(tmp_path / "store")).declare()
 
 
 def test_evidence(spark):

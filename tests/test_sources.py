@@ -169,6 +169,16 @@ def test_model_table_needs_its_target(spark, tmp_path):
         scans.read_model_table(spark, str(tmp_path / "absent"))
 
 
+def test_csv_model_table_is_not_inferred(spark, tmp_path):
+    path = str(tmp_path / "model")
+    frame = spark.createDataFrame(
+        [("T1", 5.0, "007", 1, "12")], "transaction_id string, amount double, payment_method string, chargeback_label int, extra string"
+    ).select("chargeback_label", "extra", "payment_method", "amount", "transaction_id")
+    sinks.write_table(frame, path, "csv")
+    back = scans.read_model_table(spark, path, "csv")
+    assert back.dtypes == frame.dtypes and rows(back) == rows(frame)
+
+
 def test_results_tables(spark, tmp_path):
     results = spark.createDataFrame(
         [("Random Forest", 0.5960, 0.0996, 0.3140, 0.1513, 0),

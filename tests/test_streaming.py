@@ -9,6 +9,7 @@ from disputeflow.operators import audit, report, retrieval
 from disputeflow.plans import modelling
 from disputeflow.plans.queries import _features
 from disputeflow.sources import driver_tables as given, sinks
+from disputeflow.sources.audit_store import AuditStore
 from disputeflow.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -69,10 +70,11 @@ def test_model_refresh(spark, tmp_path, order_files):
 def test_reviews_survive_a_repeated_batch(spark, tmp_path):
     folder = str(tmp_path / "reviews")
     batch = given.reviews(spark, SF)
-    each = jobs.review_batches(folder)
+    store = AuditStore(spark, f"{folder}/audit").declare()
+    each = jobs.review_batches(store, folder)
     each(batch, 0)
     each(batch, 0)  # the same batch again after a failure
-    stored = spark.read.parquet(f"{folder}/audit")
+    stored = store.read()
     accepted, rejected = audit.split_by_decision(batch)
     assert stored.count() == accepted.count() == stored.select("audit_key").distinct().count()
     assert spark.read.parquet(f"{folder}/rejects").count() == rejected.count()
@@ -102,7 +104,7 @@ def test_investigations(spark, order_files, tmp_path):
     rejected = spark.read.parquet(f"{folder}/rejects")
     total = given.read(spark, SF, "orders").count()
     assert done.count() + rejected.count() == total and rejected.count() == total / 10
-    best = {r["query_id"]: r["p"] for r in rows(
-        done.select("query_id", F.col("policy_evidence")[0]["policy"].alias("p")).distinct())}
-    assert best[0] == "delivery proof" and best[1] in ("refund rules", "device checks")
+    best = {r["query"]: r["p"] for r in rows(
+        done.select("query", F.col("policy_evidence")[0]["policy"].alias("p")).distinct())}
+    assert best["delivery"] == "delivery proof" and best["refund device"] in ("refund rules", "device checks")
     assert done.where(F.size("policy_evidence") != 3).count() == 0
