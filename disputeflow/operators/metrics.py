@@ -15,7 +15,11 @@ COUNTS = ["true_negative", "false_positive", "false_negative", "true_positive"]
 
 
 def predict(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    return scored.withColumn("prediction", (F.col("score") >= threshold).cast("int"))
+    """``prediction`` 0 or 1. A row without a score would be in no cell of the confusion matrix,
+    so that the four would not add up: it fails the job."""
+    known = F.col("score").isNotNull() & ~F.isnan("score")
+    decided = F.when(known, (F.col("score") >= threshold).cast("int"))
+    return scored.withColumn("prediction", F.coalesce(decided, F.raise_error(F.lit("a row has no score"))))
 
 
 def confusion_matrix(predicted: DataFrame, by: list[str] | None = None) -> DataFrame:

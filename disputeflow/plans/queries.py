@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,7 +28,7 @@ from disputeflow.plans import evaluation, modelling
 from disputeflow.plans.risk_summary import risk_summary
 from disputeflow.session import shared_folder, stored
 from disputeflow.sources import driver_tables as given
-from disputeflow.sources import requests, sinks
+from disputeflow.sources import requests, scans, sinks
 from disputeflow.sources.audit_store import AuditStore
 from disputeflow.streaming import jobs
 
@@ -361,6 +363,53 @@ def results_sizes(spark, sf_dir):
     )
 
 
+def results_fields(spark, sf_dir):
+    """The results document written as JSON and read back: each model's evaluation and the choice."""
+    path = shared_folder(spark, "results-document")
+    sinks.write_document(_results(spark, sf_dir), path)
+    document = spark.read.json(path)
+    each = document.select(F.explode("model_evaluations").alias("m"), "selected_production_model", "cost_assumptions")
+    cells = F.col("m.confusion_matrix")
+    return each.select(
+        "m.model_name", "m.accuracy", "m.precision", "m.recall", "m.f1_score", "m.roc_auc",
+        cells["true_negatives"].alias("true_negatives"), cells["false_positives"].alias("false_positives"),
+        cells["false_negatives"].alias("false_negatives"), cells["true_positives"].alias("true_positives"),
+        "m.fp_actual_affected_amount", "m.false_positive_friction_cost", "m.false_negative_dispute_cost",
+        "m.total_business_risk_cost",
+        (F.col("m.model_name") == F.col("selected_production_model.model_name")).alias("selected"),
+        F.col("cost_assumptions.false_negative_unit_dispute_cost").alias("unit_cost"),
+    )
+
+
+# --- stored tables -------------------------------------------------------------------------------
+def csv_customers(spark, sf_dir):
+    """A base table written as CSV and read with its declared schema."""
+    path = shared_folder(spark, "customers-csv")
+    sinks.write_table(given.customers(spark, sf_dir), path, "csv")
+    return scans.read_table(spark, path, "customers").select(*features.CUSTOMER_COLUMNS)
+
+
+def csv_model_table(spark, sf_dir):
+    """The feature table written as CSV and read with declared types."""
+    path = shared_folder(spark, "model-table-csv")
+    sinks.write_table(_features(spark, sf_dir), path, "csv")
+    return scans.read_model_table(spark, path, "csv")
+
+
+def results_table(spark, sf_dir):
+    """The model comparison written and read back, best first."""
+    path = shared_folder(spark, "results-table")
+    sinks.write_results(ranked_models(spark, sf_dir), path)
+    return scans.read_results(spark, path)
+
+
+def threshold_table(spark, sf_dir):
+    """The threshold sweep written and read back."""
+    path = shared_folder(spark, "threshold-table")
+    sinks.write_thresholds(threshold_sweep(spark, sf_dir), path)
+    return scans.read_thresholds(spark, path)
+
+
 # --- retrieval -----------------------------------------------------------------------------------
 def document_chunks(spark, sf_dir):
     return retrieval.split_chunks(
@@ -705,6 +754,27 @@ def logistic_regression(spark, sf_dir):
     return _evaluated(spark, sf_dir, [C.LOGISTIC_REGRESSION])
 
 
+def logistic_regression_check(spark, sf_dir):
+    """Cells of the fitted model on the test part, and whether its coefficients are at the minimum.
+
+    There the gradient of the weighted loss and the penalty is zero; the largest part left is looked at.
+    """
+    keys = stored(_labels(spark, sf_dir), "labels")
+    rows = _features(spark, sf_dir)
+    parts = stored(split.stratified_split(rows, [0.7, 0.3], ["train", "test"], keys=keys), "model-table")
+    train, test = [parts.where(F.col("part") == p).drop("part") for p in ("train", "test")]
+    name = C.LOGISTIC_REGRESSION
+    models = modelling.fit_models(train, [name])
+    cells = metrics.confusion_matrix(modelling.score_all(models, test), ["model"])
+    left = modelling.gradient(models[name], train)
+    return cells.select(
+        "model",
+        (F.col("true_negative") + F.col("false_positive")).alias("negatives"),
+        (F.col("false_negative") + F.col("true_positive")).alias("positives"),
+        (left.agg(F.max(F.abs("gradient"))).scalar() < 1e-3).alias("at_minimum"),
+    )
+
+
 def random_forest(spark, sf_dir):
     return _evaluated(spark, sf_dir, [C.RANDOM_FOREST])
 
@@ -739,17 +809,29 @@ def streamed_features(spark, sf_dir):
 
 
 def streamed_scores(spark, sf_dir):
-    """Orders as a stream, scored with a model that was saved and loaded again."""
+    """Orders as a stream, scored with a model that was fitted on the train part, saved and loaded
+    again, beside the scores of the same model over the table."""
     folder = shared_folder(spark, "streamed-scores")
-    rows = stored(_features(spark, sf_dir), "model-table")
-    model = modelling.fit_models(rows, [C.LOGISTIC_REGRESSION])
-    sinks.save_model(model[C.LOGISTIC_REGRESSION], f"{folder}/models", C.LOGISTIC_REGRESSION)
-    enriched = _enriched_stream(spark, sf_dir)
-    newest = jobs.ModelFile(spark, f"{folder}/models", C.LOGISTIC_REGRESSION)
+    rows = _features(spark, sf_dir)
+    keys = stored(_labels(spark, sf_dir), "labels")
+    parts = stored(split.stratified_split(rows, [0.7, 0.3], ["train", "test"], keys=keys), "model-table")
+    name = C.LOGISTIC_REGRESSION
+    model = modelling.fit_models(parts.where(F.col("part") == "train").drop("part"), [name])[name]
+    sinks.save_model(model, f"{folder}/models", name)
+    newest = jobs.ModelFile(spark, f"{folder}/models", name)
     jobs.start_batches(
-        enriched, jobs.score_batches(newest, f"{folder}/table"), f"{folder}/checkpoint"
+        _enriched_stream(spark, sf_dir), jobs.score_batches(newest, f"{folder}/table"), f"{folder}/checkpoint"
     ).awaitTermination()
-    return spark.read.parquet(f"{folder}/table").drop("batch_id")
+    streamed = spark.read.parquet(f"{folder}/table").drop("batch_id")
+    batch = report.score_records(modelling.score(model, parts.drop("part")), name)
+    both = streamed.join(batch.select("transaction_id", *(F.col(c).alias(f"_{c}") for c in batch.columns[1:])), "transaction_id", "full")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in batch.columns[1:]])
+    share = F.col("risk_probability")
+    return both.select(
+        "transaction_id", "model", same.alias("same_as_table"), share.between(0, 1).alias("is_probability"),
+        # the share is rounded, the band is not
+        F.col("risk_level").isin(risk_level(share - 5e-5), risk_level(share + 5e-5)).alias("in_its_band"),
+    )
 
 
 def streamed_reviews(spark, sf_dir):
@@ -804,7 +886,8 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     split_70_30, split_70_15_15, score_records, confusion_matrix,
     classification_metrics, roc_auc, threshold_sweep, best_threshold,
     false_positive_volume, model_evaluations, one_model_evaluation, ranked_models, selected_model,
-    results_document, results_sizes, document_chunks, term_statistics, document_norms,
+    results_document, results_sizes, results_fields, csv_customers, csv_model_table, results_table,
+    threshold_table, document_chunks, term_statistics, document_norms,
     question_weights, retrieval_top_k, retrieval_padded,
     retrieval_lists, risk_signals, mitigating_signals, amount_over_average,
     normalised_probabilities, review_routing, investigation_reports,
@@ -812,7 +895,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     request_rejects, investigation_requests, investigation_rejects, report_fields, rejected_reviews, resolved_reviews,
     audit_records, review_acknowledgements, audit_history, audit_store, audit_count,
     audit_display, json_reviews, json_review_rejects,
-    logistic_regression, random_forest, boosted_trees, streamed_features,
+    logistic_regression, logistic_regression_check, random_forest, boosted_trees, streamed_features,
     streamed_scores, streamed_reviews, streamed_investigations,
 ]
 

@@ -41,6 +41,10 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MODEL_RESULTS).option("header", True).csv(path)
 
 
+def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.THRESHOLD_RESULTS).option("header", True).csv(path)
+
+
 def read_text_document(spark: SparkSession, path: str) -> DataFrame:
     """(path, text), one row per whole UTF-8 file."""
     return spark.read.text(path, wholetext=True).select(

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from disputeflow.functions.texts import slug
+from disputeflow.sources import schemas
 
 
 def write_table(rows: DataFrame, path: str, file_format: str = "parquet") -> None:
@@ -20,6 +21,11 @@ def write_results(results: DataFrame, path: str) -> None:
     results.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_thresholds(sweep: DataFrame, path: str) -> None:
+    """The threshold table in its published column order."""
+    write_results(sweep.select(*[part.split()[0] for part in schemas.THRESHOLD_RESULTS.split(",")]), path)
+
+
 def write_document(document: DataFrame, path: str) -> None:
     document.write.mode("overwrite").json(path)
 

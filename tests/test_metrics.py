@@ -81,6 +81,13 @@ def test_one_class_still_gives_four_cells(spark):
     }
 
 
+@pytest.mark.parametrize("score", ["NULL", "double('NaN')"])
+def test_rows_without_a_score_are_not_lost(spark, score):
+    table = spark.sql(f"SELECT 1 AS chargeback_label, 0.5D AS score UNION ALL SELECT 0, {score}")
+    with pytest.raises(Exception, match="a row has no score"):
+        metrics.confusion_matrix(metrics.predict(table)).collect()
+
+
 def brute_auc(data):
     pos = [s for y, s in data if y == 1]
     neg = [s for y, s in data if y == 0]
