@@ -2,13 +2,18 @@
 
 Of all suffixes only those at content-selected positions are kept: the positions of the
 smallest hash of SEED words in each window of WORDS words (minimisers). Equal windows select
-equal positions, so every repeated window has its suffix in the array. The array is sorted
-and neighbours compared in three steps, each on what the step before has left:
+equal positions, so every repeated window has its suffix in the array. Rows are sorted by
+ranges and neighbours compared in three steps, each on what the step before has left:
 
 1. suffixes by their first SEED words: those without an equal neighbour cannot be repeated;
-2. suffixes with all that their windows reach to the left and right: equal neighbours make
+2. suffixes extended left and right to all that their windows reach: equal neighbours make
    the whole reach a repeat, and only the first place of each reach is looked at further;
-3. left and right extension of the rest, word by word: each window that a suffix reaches.
+3. the rest window by window: each of the WORDS words around a suffix that select it.
+
+What is sorted and compared are hashes of words (128 bits from step 2 on), not the words. The last
+step looks at every window since the neighbour with the longest common extension to the right may
+differ to the left, where another suffix of the same seed agrees: extending matches of
+neighbours alone would lose repeats.
 
 A word is removable if it lies in a window of WORDS words that occurs earlier, in the order
 of doc_id and position. Words are runs of other than ASCII white space.
@@ -167,12 +172,12 @@ def _repeated_spans(docs: DataFrame, words: int, seed: int) -> DataFrame:
     chosen = staged(suffixes(docs, words, seed), "suffixes")
     same_seed = runs(chosen, ["seed"], ["span"]).select("seed", *PLACE).distinct()
     reach = chosen.join(same_seed, ["seed", *PLACE], "left_semi")
-    known = staged(runs(staged(reach, "reaches"), ["reach_a", "reach_b"], ["span"], singles=True), "reaches")
+    known = staged(runs(staged(reach, "reaches"), ["reach_a", "reach_b"], ["span"], singles=True, earliest=True), "reaches")
     whole = known.where("again").select(
         "doc", "part", F.col("at").alias("start"), (F.col("at") + F.col("span")).cast("int").alias("end"), "first_doc"
     )
     rest = staged(windows(docs, known.where("not again").select(*PLACE, "span").distinct(), words), "windows")
-    single = runs(rest, ["a", "b"]).where("again").select(
+    single = runs(rest, ["a", "b"], earliest=True).where("again").select(
         "doc", "part", F.col("at").alias("start"), (F.col("at") + words).cast("int").alias("end"), "first_doc"
     )
     return merged(whole.unionByName(single))

@@ -168,6 +168,22 @@ def test_removable_spans_equal_brute_force(spark):
         assert r["n_chars"] == (None if text is None else len(r["text"]))
 
 
+@pytest.mark.parametrize("partitions", [1, 8, 23])
+def test_first_places_do_not_depend_on_partitions(spark, partitions):
+    """A passage that most documents share fills several partitions; its first document is found."""
+    passage = " ".join(f"w{i}" for i in range(15))
+    docs = [(i, f"u{i} {passage} v{i}" if i % 4 else f"u{i} v{i}") for i in range(3, 400)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = suffix_dedup.repeats(spark.createDataFrame(docs, DOCS).repartition(5), words=8, seed=3).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    first = min(i for i, text in docs if passage in text)
+    assert {(r["doc_id"], r["start"], r["end"], r["first_doc_id"]) for r in found} == {
+        (i, 1, 16, first) for i, text in docs if passage in text and i != first
+    }
+
+
 def test_repeats_of_odd_rows(spark):
     passage = " ".join(f"w{i}" for i in range(12))
     rows = [(1, passage, "s"), (1, passage, "s"), (None, passage, "s"), (3, "x " + passage, None)]
@@ -288,6 +304,35 @@ def test_recall_at_the_declared_identity(spark):
     assert len(got) >= 54
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_exact_repeats_are_all_found(spark, seed):
+    """Every window of 50 words that occurs earlier, in its own text or another, lies in a passage:
+    also in texts of one word, of short periods, and of frequent lines."""
+    rng = random.Random(seed)
+    lines = [[f"l{k}_{i}" for i in range(rng.randrange(20, 60))] for k in range(4)]
+    docs = []
+    for doc in range(30):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.randrange(4)
+            if kind == 0:
+                words += [f"p{rng.randrange(3)}"] * rng.randrange(40, 130)
+            elif kind == 1:
+                period = [f"q{rng.randrange(9)}" for _ in range(rng.randrange(2, 9))]
+                words += (period * 80)[: rng.randrange(60, 200)]
+            elif kind == 2:
+                words += rng.choice(lines) + rng.choice(lines)
+            words += [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(30))]
+        docs.append((doc, " ".join(words)))
+    want = repeated_words(docs, chaining.WORDS)
+    got = {}
+    for r in chaining.passages(spark.createDataFrame(docs, DOCS)).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    missed = {doc: sorted(w - got.get(doc, set())) for doc, w in want.items() if w - got.get(doc, set())}
+    assert sum(map(len, want.values())) > 1000
+    assert not missed
+
+
 def test_every_copy_within_a_text_is_found(spark):
     rng = random.Random(5)
     fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
