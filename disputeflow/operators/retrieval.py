@@ -20,6 +20,8 @@ from disputeflow.session import shared_folder, stored
 SHARD_SIZE, FIRST_SHARDS = 256, 2
 #: Different terms of all queries that are broadcast; more are not.
 BROADCAST_TERMS = 1 << 20
+#: Chunks that are hit whose ids are broadcast, likewise.
+BROADCAST_CHUNKS = 1 << 20
 #: Scores are ranked by nine digits.
 ROUNDING = 2e-9
 CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
@@ -271,8 +273,15 @@ def retrieve(
 
 
 def pack_hits(hits: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
-    """One row per query with its ranked list of {policy, score}; k is small."""
-    named = hits.join(corpus.select("chunk_id", F.col(text).alias("policy")), "chunk_id")
+    """One row per query with its ranked list of {policy, score}; k is small.
+
+    Only texts that are hit are shuffled: their ids, if few enough, go to the corpus first.
+    """
+    policies = corpus.select("chunk_id", F.col(text).alias("policy"))
+    wanted = hits.select("chunk_id").distinct()
+    if wanted.count() <= BROADCAST_CHUNKS:
+        policies = policies.join(F.broadcast(wanted), "chunk_id", "left_semi")
+    named = hits.join(policies, "chunk_id")
     listed = F.sort_array(F.collect_list(F.struct("rank", "policy", "score")))
     return named.groupBy("query_id").agg(
         F.transform(listed, lambda h: F.struct(h["policy"], h["score"])).alias("policy_evidence")
