@@ -26,8 +26,9 @@ from disputeflow.llm.frames import raw
 
 #: A vocabulary file above this size is refused, since every task holds its ranks.
 VOCABULARY_BYTES = 64 << 20
-#: Remembered pre-tokens of one task (twice as many at most), and the longest in characters.
-REMEMBERED, REMEMBERED_CHARS = 1 << 19, 64
+#: Remembered pre-tokens of one task (twice as many at most; a worker keeps half of them
+#: for its next task), and the longest in characters.
+REMEMBERED, REMEMBERED_CHARS = 1 << 18, 64
 #: Characters of a text that are split into pre-tokens at once.
 PIECE = 1 << 20
 #: Ranks in a word of the lower bitmap, as a power of two; one word of the upper one has the rest.
@@ -218,6 +219,8 @@ def _extended(
                 names = kept + [name for name, _ in fields]
                 yield pa.RecordBatch.from_arrays([*old.columns[: len(kept)], *new], names)
                 start = end
+        if isinstance(work, Encoder):  # the worker lives on, and with it what its encoder holds
+            work.earlier = {}
 
     return inner.mapInArrow(extend, schema)
 
