@@ -15,11 +15,11 @@ def trim_space(text: Column) -> Column:
 def money_text(amount: Column, whole: Column | None = None) -> Column:
     """Thousands separated by commas and all digits of the fraction, at least one: 1,249.0.
 
-    Where ``whole`` is true the number was written without a fraction and stays so: 1,249.
+    Where ``whole`` is true, by default for columns of whole numbers, there is no fraction: 1,249.
     """
     text = F.call_function("format_number", amount.cast("double"), F.lit(C.MONEY_FORMAT))
-    if whole is None:
-        return text
+    if whole is None:  # known when the plan is made, so that one branch is left
+        whole = F.typeof(amount).isin("tinyint", "smallint", "int", "bigint")
     return F.when(whole, F.format_number(amount, 0)).otherwise(text)
 
 
