@@ -9,17 +9,7 @@ from disputeflow.functions.numbers import clean_number, flag, safe_ratio
 from disputeflow.functions.times import day_of_week, hour_of_day, parse_time, weekend
 from disputeflow.operators.skew import join_dimension
 
-CUSTOMER_COLUMNS = [
-    "customer_id",
-    "account_age_days",
-    "previous_transactions",
-    "successful_transactions",
-    "previous_chargebacks",
-    "previous_refunds",
-    "known_devices",
-    "average_order_value",
-]
-ORDER_COLUMNS = ["transaction_id", "product_category", "product_value"]
+CUSTOMER_COLUMNS, ORDER_COLUMNS = C.CUSTOMER_COLUMNS, C.ORDER_COLUMNS
 
 
 def label_disputes(transactions: DataFrame, chargebacks: DataFrame) -> DataFrame:

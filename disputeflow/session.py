@@ -30,11 +30,15 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Where that is unset, below the session's warehouse, which is shared as well.
+    Where that is unset, below the session's warehouse, unless that is a folder of the driver's own
+    machine and the executors are on others: they would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+        own = root.startswith(("file:", "/"))
+        if own and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -12,6 +12,7 @@ from disputeflow.operators import audit, metrics, report, signals
 from disputeflow.sources import coercion, requests, scans, sinks
 from disputeflow.sources.coercion import Field
 
+# The published fields of a scoring request.
 REQUEST = {
     "transaction_id": "T1", "amount": 250, "payment_method": "card", "ip_country": "IN",
     "authentication_status": "success", "previous_transactions": 50,

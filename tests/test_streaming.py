@@ -108,3 +108,20 @@ def test_investigations(spark, order_files, tmp_path):
         done.select("query", F.col("policy_evidence")[0]["policy"].alias("p")).distinct())}
     assert best["delivery"] == "delivery proof" and best["refund device"] in ("refund rules", "device checks")
     assert done.where(F.size("policy_evidence") != 3).count() == 0
+
+
+def test_a_folder_of_the_driver_is_refused_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from disputeflow.session import shared_folder
+
+    def session(master, **conf):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(get=lambda k, *d: conf.get(k, *d)))
+
+    for warehouse in ("file:/home/me/warehouse", "/home/me/warehouse"):
+        known = {"spark.sql.warehouse.dir": warehouse}
+        assert "/shared/x-" in shared_folder(session("local[8]", **known), "x")
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session("spark://host:7077", **known), "x")
+        assert shared_folder(session("yarn", **known, **{"spark.checkpoint.dir": "/mnt/all"}), "x").startswith("/mnt/all/x-")
+    shared_folder(session("yarn", **{"spark.sql.warehouse.dir": "hdfs://n/warehouse"}), "x")
