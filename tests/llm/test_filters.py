@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from disputeflow.llm import decontamination, fm_index, labelled, quality, quality_rules, toxicity, url_filter
@@ -284,3 +285,95 @@ def test_quality_on_held_out_rows(spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == want
     assert quality.scored(docs, quality.fit(docs, labels.limit(0))).count() == docs.count()
     assert quality.scored(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
+
+
+# --- classifiers beside plain versions ---------------------------------------------------------
+def plain_features(text):
+    """Bucket to the number of distinct words that have one of its n-grams, by plain loops."""
+    mask = (1 << 64) - 1
+    found = Counter()
+    for word in {w for w in text.lower().split()}:
+        marked = f" {word} "
+        for n in toxicity.LENGTHS:
+            for i in range(len(marked) - n + 1):
+                value = n
+                for c in marked[i : i + n]:
+                    value = (value * 0x9E3779B97F4A7C15 + ord(c)) & mask
+                value = ((value ^ value >> 30) * 0xBF58476D1CE4E5B9) & mask
+                value = ((value ^ value >> 27) * 0x94D049BB133111EB) & mask
+                found[(value ^ value >> 31) >> (64 - toxicity.BITS)] += 1
+    return found
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", "ab", "Hello hello HELLO", "naïve ÉTÉ 日本 x", "one\ttwo\nthree four-five " * 4])
+def test_ngram_features_equal_the_plain_version(text):
+    numbers, counts = toxicity.features(text.encode())
+    assert dict(zip(numbers.tolist(), counts.tolist())) == plain_features(text)
+
+
+def test_toxicity_score_is_the_scaled_sum():
+    """Log-count ratios as published, a vector of length 1, and a loss that the fit lowers."""
+    texts = ["you awful idiot", "what a nice day", "awful awful stuff", "nice and kind words", "idiot day", "kind day"]
+    labels = np.array([1, 0, 1, 0, 1, 0])
+    found = [toxicity.vector(t.encode()) for t in texts]
+    model = toxicity.fit_rows(found, labels, np.ones(len(texts)))
+    dense = np.zeros((len(texts), toxicity.BUCKETS))
+    for row, text in zip(dense, texts):
+        for bucket, n in plain_features(text).items():
+            row[bucket] = np.log1p(n)
+        row /= np.linalg.norm(row)
+    ratio = np.log((dense[labels == 1].mean(0) + toxicity.SMOOTHING) / (dense[labels == 0].mean(0) + toxicity.SMOOTHING))
+    assert not model.weights[ratio == 0].any()  # weights are scaled by the ratios
+
+    def loss(weights, bias):
+        p = 1 / (1 + np.exp(-(dense @ weights + bias)))
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    assert loss(model.weights, model.bias) < 0.5 * loss(ratio, 0.0)
+    for row, text in zip(dense, texts):
+        want = 1 / (1 + np.exp(-np.clip(row @ model.weights + model.bias, -35, 35)))
+        assert abs(model.score(text.encode()) - want) < 1e-6
+
+
+def test_compressed_difference_equals_the_plain_version():
+    good, bad = b"the quick brown fox jumps over the lazy dog " * 40, b"#### zzzz 0000 $$$$ qqqq " * 60
+    found = quality.Dictionaries((good, bad))
+    rng = random.Random(3)
+    for size in (0, 1, 511, 512, 513, 5000):
+        text = bytes(rng.choice(good if size % 2 else bad) for _ in range(size))
+        total = 0
+        for start in range(0, size, 512):
+            sizes = []
+            for content in (good, bad):
+                made = zstandard.ZstdCompressor(
+                    level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_checksum=False,
+                    write_content_size=False, write_dict_id=False,
+                )
+                sizes.append(len(made.compress(text[start : start + 512])))
+            total += sizes[1] - sizes[0]
+        assert quality.difference(text, found.compressors()) == total / (size + quality.SLACK)
+    assert quality.difference(good[:400], found.compressors()) > 0 > quality.difference(bad[:400], found.compressors())
+
+
+def test_calibration_is_at_its_minimum():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=400)
+    y = (x + rng.normal(size=400) > 0.5).astype(int)
+    shares = np.where(y == 1, 3.0, 1.0)
+    slope, intercept = quality.calibrate(x, y, shares)
+    error = shares / shares.mean() * (1 / (1 + np.exp(-(slope * x + intercept))) - y)
+    assert abs(error @ x + 1e-3 * slope) < 1e-6 and abs(error.sum() + 1e-3 * intercept) < 1e-6
+
+
+def test_dictionary_text_is_taken_whole_within_its_budget(spark):
+    rows = [(i, i % 2, i, "x" * (100 + i)) for i in range(40)] + [(99, 0, 99, "y" * 5000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, label int, rank bigint, text string")
+    got = {r["doc_id"] for r in quality._within(frame, 600).collect()}
+    want = set()
+    for label in (0, 1):
+        total = 0
+        for doc, _, _, text in sorted(r for r in rows if r[1] == label and len(r[3]) <= 600):
+            total += len(text)
+            if total <= 600:
+                want.add(doc)
+    assert got == want and 99 not in got
