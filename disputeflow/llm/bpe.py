@@ -14,6 +14,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -26,9 +27,9 @@ from disputeflow.llm.frames import raw
 
 #: A vocabulary file above this size is refused, since every task holds its ranks.
 VOCABULARY_BYTES = 64 << 20
-#: Remembered pre-tokens of one task (twice as many at most; a worker keeps half of them
-#: for its next task), and the longest in characters.
-REMEMBERED, REMEMBERED_CHARS = 1 << 18, 64
+#: Remembered pre-tokens of one task (twice as many at most), the longest in characters, and how
+#: many of them a worker keeps for its next task.
+REMEMBERED, REMEMBERED_CHARS, KEPT = 1 << 19, 64, 1 << 17
 #: Characters of a text that are split into pre-tokens at once.
 PIECE = 1 << 20
 #: Ranks in a word of the lower bitmap, as a power of two; one word of the upper one has the rest.
@@ -158,6 +159,14 @@ class Encoder(dict):
             [b"".join(map(self.__getitem__, self.split.findall(piece))) for piece in self.pieces(text)]
         )
 
+    def rest(self) -> None:
+        """Forgets all but the first pre-tokens, among which the frequent ones are: the worker lives
+        on after a task, and with it what its encoder holds."""
+        first = dict(islice(self.items(), KEPT))
+        self.clear()
+        self.update(first)
+        self.earlier = {}
+
     def pieces(self, text: str) -> Iterator[str]:
         start = 0
         while len(text) - start > PIECE:
@@ -219,8 +228,8 @@ def _extended(
                 names = kept + [name for name, _ in fields]
                 yield pa.RecordBatch.from_arrays([*old.columns[: len(kept)], *new], names)
                 start = end
-        if isinstance(work, Encoder):  # the worker lives on, and with it what its encoder holds
-            work.earlier = {}
+        if isinstance(work, Encoder):
+            work.rest()
 
     return inner.mapInArrow(extend, schema)
 

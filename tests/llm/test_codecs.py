@@ -38,6 +38,17 @@ def test_encoder_equals_the_library(seed, monkeypatch):
         assert decoder.decode(ids) == text.encode()
 
 
+def test_encoder_keeps_some_between_tasks(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    monkeypatch.setattr(bpe, "KEPT", 5)
+    encoder, rng = bpe.Encoder(RANKS, PATTERN), random.Random(2)
+    for _ in range(30):
+        text = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(40))
+        assert encoder.encode(text) == packed(text)
+        encoder.rest()
+        assert 0 < len(encoder) <= 5 and not encoder.earlier
+
+
 def test_long_pretoken():
     rng = random.Random(1)
     text = "".join(rng.choice("abcdeth") for _ in range(20_000))
