@@ -29,7 +29,7 @@ from disputeflow.llm.frames import raw
 VOCABULARY_BYTES = 64 << 20
 #: Remembered pre-tokens of one task (twice as many at most), the longest in characters, and how
 #: many of them a worker keeps for its next task.
-REMEMBERED, REMEMBERED_CHARS, KEPT = 1 << 19, 64, 1 << 17
+REMEMBERED, REMEMBERED_CHARS, KEPT = 1 << 19, 64, 1 << 18
 #: Characters of a text that are split into pre-tokens at once.
 PIECE = 1 << 20
 #: Ranks in a word of the lower bitmap, as a power of two; one word of the upper one has the rest.
@@ -101,8 +101,10 @@ class Encoder(dict):
             first = bits & -bits
             rank = (word << WORD) + first.bit_length() - 1
             bucket = buckets[rank]
-            position = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                position = heappop(bucket)
+            else:
+                position = bucket[0]
                 del buckets[rank]
                 low[word] = bits = bits ^ first
                 if not bits:
