@@ -27,7 +27,8 @@ def is_number(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return kind_of(value).startswith("OBJECT")
+    """Whether a VARIANT is an object; its kind would tell the kinds of all that is in it."""
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def plain_text(value: Column) -> Column:

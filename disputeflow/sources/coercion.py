@@ -36,7 +36,7 @@ def _unless_text(value: Column, read: Column) -> Column:
 
 _COERCED = {
     "float": float_of,
-    "int": whole_of,
+    "int": lambda value: whole_of(value),
     "long": lambda value: whole_of(value, "bigint"),
     "text": plain_text,
     "time": lambda value: plain_text(value).try_cast("timestamp"),
@@ -54,40 +54,51 @@ def coerced(rows: DataFrame, column: str, fields: list[Field]) -> DataFrame:
     ``unreadable`` is true for what is no JSON object; ``missing_fields`` and
     ``malformed_fields`` list names. Columns of ``rows`` named like a field are replaced.
     ``inline`` keeps later filters from being pushed below the parsing, where they would parse
-    the text again for every field they test.
+    the text again for every field they test. The fields of a type are coerced as one list, so that
+    each value is coerced once and the code does not grow with the number of fields.
     """
     names = [f.name for f in fields]
     verdicts = ["unreadable", "missing_fields", "malformed_fields"]
     kept = [c for c in rows.columns if c not in (column, *names, *verdicts)]
     is_text = rows.schema[column].dataType.typeName() == "string"
     parsed = F.try_parse_json(column) if is_text else F.col(column)
-    request = F.when(is_object(parsed), parsed)
-    found = rows.select(*kept, F.inline(F.array(F.struct(request.alias("request  ")))))
-    values = {f.name: part(F.col("request  "), f.name) for f in fields}
-    given = found.select(*kept, F.inline(F.array(F.struct(
-        F.col("request  ").isNull().alias("unreadable"), *(v.alias(n) for n, v in values.items())
-    ))))
-    read = {f.name: _COERCED[f.type](F.col(f.name)) for f in fields}
+    found = rows.select(*kept, _once(parsed.alias("request  ")))
+    request = F.when(is_object(F.col("request  ")), F.col("request  "))
+    found = found.select(*kept, _once(request.alias("request  ")))
+    sent = F.array(*[part(F.col("request  "), name) for name in names])
+    given = found.select(*kept, _once(F.col("request  ").isNull().alias("unreadable"), sent.alias("sent  ")))
+    kinds = {kind: [i for i, f in enumerate(fields) if f.type == kind] for kind in dict.fromkeys(f.type for f in fields)}
+    read = [
+        F.transform(F.array(*[F.get("sent  ", F.lit(i)) for i in places]), _COERCED[kind]).alias(f"{kind}  ")
+        for kind, places in kinds.items()
+    ]
+    done = given.select(*kept, _once("unreadable", "sent  ", *read))
+    values = [F.get(f"{f.type}  ", F.lit(kinds[f.type].index(i))) for i, f in enumerate(fields)]
+    sent = [F.get("sent  ", F.lit(i)) for i in range(len(fields))]
     missing = F.array_compact(F.array(*[
-        F.when(F.col(f.name).isNull(), F.lit(f.name)) for f in fields if f.default is REQUIRED
+        F.when(sent[i].isNull(), F.lit(f.name)) for i, f in enumerate(fields) if f.default is REQUIRED
     ]).cast("array<string>"))
     # of a value that is there, only a coercion that gives nothing is malformed
     wrong = F.array_compact(F.array(*[
-        F.when(F.col(f.name).isNotNull() & read[f.name].isNull(), F.lit(f.name)) for f in fields if f.type != "any"
+        F.when(sent[i].isNotNull() & values[i].isNull(), F.lit(f.name)) for i, f in enumerate(fields) if f.type != "any"
     ]).cast("array<string>"))
     none = F.array().cast("array<string>")
     filled = [
-        (read[f.name] if f.default in (REQUIRED, None) else F.when(F.col(f.name).isNull(), F.lit(f.default)).otherwise(read[f.name]))
+        (values[i] if f.default in (REQUIRED, None) else F.when(sent[i].isNull(), F.lit(f.default)).otherwise(values[i]))
         .alias(f.name)
-        for f in fields
+        for i, f in enumerate(fields)
     ]
-    out = F.struct(
+    return done.select(*kept, _once(
         *filled,
         "unreadable",
         F.when(F.col("unreadable"), none).otherwise(missing).alias("missing_fields"),
         F.when(F.col("unreadable"), none).otherwise(wrong).alias("malformed_fields"),
-    )
-    return given.select(*kept, F.inline(F.array(out)))
+    ))
+
+
+def _once(*columns: Column | str) -> Column:
+    """Columns that are computed once, however often later steps use them."""
+    return F.inline(F.array(F.struct(*columns)))
 
 
 def problem() -> Column:

@@ -84,6 +84,21 @@ def test_one_wrong_field_costs_no_other(spark):
     ]
 
 
+def test_coercions_are_planned_once_a_type(spark, capsys):
+    def kinds(n):
+        fields = [Field(f"n{i}", "int") for i in range(n)]
+        coercion.coerced(texts(spark, {"n0": "1"}), "value", fields).explain("simple")
+        return capsys.readouterr().out.lower().count("schemaofvariant.schemaofvariant")
+
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        few, many = kinds(2), kinds(12)
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert 0 < few == many
+
+
 def test_investigation_requests(spark):
     transaction = {"transaction_id": 7, "amount": 1249, "previous_chargebacks": 2.0, "authentication_status": None, "extra": {"k": [1]}}
     asked = {"risk_probability": "0.5", "query": "q", "transaction": transaction}
