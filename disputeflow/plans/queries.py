@@ -35,6 +35,11 @@ from disputeflow.streaming import jobs
 SENTENCE_START = r"\p{Lu}"
 DAY = "yyyy-MM-dd"
 SECOND = "yyyy-MM-dd HH:mm:ss"
+#: What ``report_fields`` reads of a JSON report.
+REPORT_FIELDS = """risk_assessment struct<risk_percentage: double, ml_signal: string>, key_risk_signals array<string>,
+    recommendation string, human_review_requirement struct<human_required: boolean, action: string, defense_only: boolean>,
+    human_review struct<reason: string>, evidence_warning string,
+    transaction_summary struct<amount: double, channel: struct<code: int, tags: array<string>>>"""
 
 
 # --- shared inputs -------------------------------------------------------------------
@@ -607,21 +612,22 @@ def investigation_rejects(spark, sf_dir):
 def report_fields(spark, sf_dir):
     """Fields read back from the JSON reports, some of keys that no schema names."""
     written = report.report_documents(_reported(spark, sf_dir))
-    field = lambda path: F.get_json_object("report", f"$.{path}")
-    return written.select(
+    # read once for all fields
+    rows = written.select("transaction_id", F.inline(F.array(F.from_json("report", REPORT_FIELDS))))
+    return rows.select(
         "transaction_id",
-        field("risk_assessment.risk_percentage").cast("double").alias("risk_percentage"),
-        field("risk_assessment.ml_signal").alias("ml_signal"),
-        F.size(F.from_json(field("key_risk_signals"), "array<string>")).alias("risk_count"),
-        field("recommendation").alias("recommendation"),
-        field("human_review_requirement.human_required").cast("boolean").alias("human_required"),
-        field("human_review_requirement.action").alias("action"),
-        field("human_review_requirement.defense_only").cast("boolean").alias("defense_only"),
-        field("human_review.reason").alias("reason"),
-        field("transaction_summary.amount").cast("double").alias("amount"),
-        field("transaction_summary.channel.code").cast("int").alias("channel_code"),
-        field("transaction_summary.channel.tags[1]").alias("second_tag"),
-        field("evidence_warning").alias("evidence_warning"),
+        "risk_assessment.risk_percentage",
+        "risk_assessment.ml_signal",
+        F.size("key_risk_signals").alias("risk_count"),
+        "recommendation",
+        "human_review_requirement.human_required",
+        "human_review_requirement.action",
+        "human_review_requirement.defense_only",
+        "human_review.reason",
+        "transaction_summary.amount",
+        F.col("transaction_summary.channel.code").alias("channel_code"),
+        F.get("transaction_summary.channel.tags", F.lit(1)).alias("second_tag"),
+        "evidence_warning",
     )
 
 
