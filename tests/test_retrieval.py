@@ -210,3 +210,16 @@ def test_sums_need_no_shuffle_by_query_and_chunk(spark, capsys):
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     exchanges = [x for x in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in x]
     assert exchanges and not any("chunk_id" in x.split("hashpartitioning")[1].split(")")[0] for x in exchanges)
+
+
+def test_shuffles_have_more_partitions_for_more_shards(spark, monkeypatch):
+    names = (retrieval.INITIAL_PARTITIONS, retrieval.ADVISORY_BYTES)
+    before, seen, write = [spark.conf.get(n, None) for n in names], [], retrieval._write
+    monkeypatch.setattr(retrieval, "SHARDS_PER_PARTITION", 1)
+    monkeypatch.setattr(retrieval, "_write", lambda *given: seen.append([spark.conf.get(n) for n in names]) or write(*given))
+    corpus = corpus_of(spark, [f"parcel number{i}" for i in range(20)])
+    index = retrieval.build_index(corpus, shard_size=1)
+    assert seen and all(s == ["20", str(retrieval.TASK_BYTES)] for s in seen)
+    hits = rows(retrieval.retrieve(corpus, queries_of(spark, ["number7"]), k=1, pad=False, index=index))
+    assert [h["chunk_id"] for h in hits] == [7]
+    assert [spark.conf.get(n, None) for n in names] == before
