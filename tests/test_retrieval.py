@@ -223,3 +223,30 @@ def test_shuffles_have_more_partitions_for_more_shards(spark, monkeypatch):
     hits = rows(retrieval.retrieve(corpus, queries_of(spark, ["number7"]), k=1, pad=False, index=index))
     assert [h["chunk_id"] for h in hits] == [7]
     assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_tasks_that_score_follow_the_shards_not_the_bytes(spark, monkeypatch):
+    """All postings are a few kB, which one task would get by their bytes."""
+    corpus = corpus_of(spark, [f"common word{i % 7} other{i}" for i in range(200)])
+    index = retrieval.build_index(corpus, shard_size=2)
+    n_shards = index.norms.agg(F.max("shard")).first()[0] + 1
+    monkeypatch.setattr(retrieval, "SHARDS_PER_PARTITION", 4)
+    n_tasks = retrieval.scoring_tasks(spark, n_shards)
+    assert n_tasks >= n_shards / 4 and retrieval.scoring_tasks(spark, 0) == 1
+    asked, seen = retrieval.query_weights(index, queries_of(spark, ["common word3", "other5 common"])), []
+    pairs = retrieval.shard_bounds(index, asked).select("query_id", "shard")
+    with retrieval.even_tasks(spark, n_shards), retrieval.shared_partitioning(spark):
+        for given in (None, n_tasks):
+            scored = retrieval.shard_scores(index, index.counts, asked, pairs, given)
+            seen.append(rows(scored.withColumn("task", F.spark_partition_id())))
+    scores = [{(r["query_id"], r["chunk_id"]): round(r["score"], 9) for r in found} for found in seen]
+    assert scores[0] == scores[1] and len(scores[0]) == 400
+    # some partitions stay empty, as shards are dealt by a hash
+    tasks = [len({r["task"] for r in found}) for found in seen]
+    assert tasks[1] > n_tasks / 2 and tasks[1] > tasks[0]
+
+    made = []
+    whole = retrieval.shard_scores
+    monkeypatch.setattr(retrieval, "shard_scores", lambda *a: made.append(a[4:]) or whole(*a))
+    retrieval.best_chunks(index, queries_of(spark, ["common word3"]), 3)
+    assert made == [(n_tasks,), (n_tasks,)]
