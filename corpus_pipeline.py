@@ -12,6 +12,9 @@ from disputeflow.llm import bpe, decontamination, near_dedup, quality, suffix_de
 from disputeflow.llm.frames import kept
 from disputeflow.llm.queries import table
 
+#: Pre-tokens that a worker remembers. Executors hold what the earlier stages left as well: fewer than ``encode`` does alone.
+REMEMBERED = 1 << 16
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier predicts to be good."""
@@ -35,7 +38,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, which decode to the text."""
-    return bpe.encode(docs, bpe.public_ranks())
+    return bpe.encode(docs, bpe.public_ranks(), remembered=REMEMBERED)
 
 
 STAGES = [

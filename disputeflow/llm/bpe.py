@@ -49,13 +49,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder(dict):
     """Pre-token to its token ids, packed as little-endian unsigned 32-bit integers.
 
-    As a dict it remembers short pre-tokens. When full it forgets those not asked for since it
-    was full before, which changes no id.
+    As a dict it remembers short pre-tokens, ``remembered`` of them (twice as many at most). When full it
+    forgets those not asked for since it was full before, which changes no id.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int | None = None) -> None:
         super().__init__()
         self.ranks = ranks
+        self.remembered = remembered or REMEMBERED
         self.earlier: dict[str, bytes] = {}
         self.longest = max(map(len, ranks), default=0)
         self.buckets: dict[int, list[int]] = {}
@@ -70,7 +71,7 @@ class Encoder(dict):
     def __missing__(self, token: str) -> bytes:
         found = self.earlier.get(token) or self.merge(token.encode())
         if len(token) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.earlier = dict(self)
                 self.clear()
             self[token] = found
@@ -164,7 +165,7 @@ class Encoder(dict):
     def rest(self) -> None:
         """Forgets all but the first pre-tokens, among which the frequent ones are: the worker lives
         on after a task, and with it what its encoder holds."""
-        first = dict(islice(self.items(), KEPT))
+        first = dict(islice(self.items(), self.remembered * KEPT // REMEMBERED))
         self.clear()
         self.update(first)
         self.earlier = {}
@@ -183,11 +184,11 @@ class Encoder(dict):
 _HELD: dict[str, Encoder] = {}
 
 
-def held_encoder(key: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
+def held_encoder(key: str, ranks: dict[bytes, int], pattern: str, remembered: int | None = None) -> Encoder:
     """The worker's encoder for a vocabulary, with what it remembers from earlier tasks."""
     if key not in _HELD:
         _HELD.clear()
-        _HELD[key] = Encoder(ranks, pattern)
+        _HELD[key] = Encoder(ranks, pattern, remembered)
     return _HELD[key]
 
 
@@ -236,24 +237,27 @@ def _extended(
     return inner.mapInArrow(extend, schema)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN, text: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN, text: str = "text", remembered: int | None = None
+) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``token_ids`` (packed little-endian 32-bit integers).
 
     ``pattern`` splits a text into pre-tokens, each of which is merged by itself; special
     tokens are ordinary text. Null and empty texts have no tokens. Very long texts are split
     in pieces at white space. Rows stay as they are, with repeated ones; columns named like
-    the new ones are replaced; an empty table stays empty.
+    the new ones are replaced; an empty table stays empty. ``remembered`` pre-tokens (twice as many at
+    most) take a worker's memory, a part of them between tasks too; fewer take more time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     listed = b"".join(len(t).to_bytes(4, "little") + t + r.to_bytes(4, "little") for t, r in sorted(ranks.items()))
-    key = hashlib.sha256(listed + pattern.encode()).hexdigest()
+    key = f"{hashlib.sha256(listed + pattern.encode()).hexdigest()}-{remembered}"
 
     def make(encoder: Encoder, value) -> tuple[int, bytes]:
         ids = encoder.encode(value.to_pybytes().decode())
         return len(ids) // 4, ids
 
     fields = [("n_tokens", pa.int64()), ("token_ids", pa.binary())]
-    return _extended(docs, raw(text), fields, make, lambda: held_encoder(key, shared.value, pattern))
+    return _extended(docs, raw(text), fields, make, lambda: held_encoder(key, shared.value, pattern, remembered))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> DataFrame:

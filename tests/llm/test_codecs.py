@@ -9,6 +9,7 @@ import random
 import struct
 import zlib
 
+import corpus_pipeline
 import pytest
 import tiktoken
 from public_tokenizers import PATTERN
@@ -49,6 +50,20 @@ def test_encoder_keeps_some_between_tasks(monkeypatch):
         assert 0 < len(encoder) <= 5 and not encoder.earlier
 
 
+def test_pipeline_remembers_less_with_the_same_ids(spark):
+    texts = [" ".join(f"w{i}x{n}" for n in range(40)) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: bytes(r["token_ids"]) for r in bpe.encode(docs, RANKS, remembered=16).collect()}
+    assert found == {i: packed(text) for i, text in enumerate(texts)}
+    encoder = bpe.Encoder(RANKS, PATTERN, 16)
+    for text in texts:
+        assert encoder.encode(text) == packed(text)
+        assert len(encoder) <= 16 and len(encoder.earlier) <= 16
+    encoder.rest()
+    assert len(encoder) <= 8 and not encoder.earlier
+    assert corpus_pipeline.REMEMBERED < bpe.REMEMBERED
+
+
 def test_long_pretoken():
     rng = random.Random(1)
     text = "".join(rng.choice("abcdeth") for _ in range(20_000))
