@@ -108,6 +108,25 @@ def test_logistic_regression_equals_newton(spark, table):
     assert np.allclose([r["score"] for r in data], expected, atol=1e-3)
 
 
+def test_gradient_is_summed_in_vectors(spark, table, capsys):
+    model = modelling.fit_models(table, [C.LOGISTIC_REGRESSION], max_iter=2)[C.LOGISTIC_REGRESSION]
+    ready = rows(model.stages[0].transform(table).select(C.TARGET, vector_to_array("features").alias("v")))
+    x, y = np.array([[*r["v"], 1.0] for r in ready]), np.array([r[C.TARGET] for r in ready])
+    fitted = model.stages[-1].stages[-1]
+    b = np.append(fitted.coefficients.toArray(), fitted.intercept)
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    p = 1 / (1 + np.exp(-x @ b))
+    expected = x.T @ (weight * (p - y)) / weight.sum() + fitted.getRegParam() * np.append(b[:-1], 0)
+    left = modelling.gradient(model, table)
+    capsys.readouterr()
+    left.explain()
+    plan = capsys.readouterr().out
+    # the only row that is taken apart is that of the sums
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Aggregate")
+    got = [r["gradient"] for r in sorted(rows(left), key=lambda r: r["place"])]
+    assert np.allclose(got, expected, atol=1e-12) and np.abs(expected).max() > 1e-4
+
+
 def test_all_models_and_saving(spark, table, tmp_path):
     models = modelling.fit_models(
         table, n_trees=5, forest_depth=4, boost_rounds=3, boost_depth=2

@@ -130,3 +130,12 @@ def test_label_statistics(spark):
 def test_missing_cells(spark):
     frame = spark.createDataFrame([(None, 1.0), ("a", float("nan"))], "t string, v double")
     assert one(statistics.missing_cells(frame)) == {"missing_cells": 2, "row_count": 2}
+
+
+def test_median_map_makes_no_table(spark, monkeypatch):
+    data = spark.createDataFrame([(1.0, None), (2.0, None), (4.0, None)], "a double, b double").localCheckpoint()
+    made = []
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: made.append(a))
+    assert statistics.median_map(data, ["a", "b"]) == {"a": 2.0, "b": None}
+    assert statistics.median_map(data, []) == {}
+    assert not made
