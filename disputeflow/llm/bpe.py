@@ -5,13 +5,15 @@ positions whose pair merges to that rank. Bits tell which buckets are filled, an
 them which words have a bit, so the next rank is found by two find-first-set steps however
 many ranks there are. A position is not taken out of its bucket when its pair changes: it is
 stale and skipped when it comes up. Positions of one rank come leftmost first. The work is
-O(n log n) in the length of a pre-token, so a text without a break costs little more.
+O(n log n) in the length of a pre-token, so a text without a break costs little more. The bucket
+of a short pre-token is a set of positions in the bits of a number, taken out at once.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import islice
@@ -34,6 +36,10 @@ REMEMBERED, REMEMBERED_CHARS, KEPT = 1 << 19, 64, 1 << 18
 PIECE = 1 << 20
 #: Ranks in a word of the lower bitmap, as a power of two; one word of the upper one has the rest.
 WORD = 8
+#: Bytes of a pre-token whose positions fit a number.
+SHORT = 62
+#: PATTERN as the standard library knows it, for texts of ASCII alone.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 BATCH_BYTES = 8 << 20
 
 
@@ -60,11 +66,18 @@ class Encoder(dict):
         self.earlier: dict[str, bytes] = {}
         self.longest = max(map(len, ranks), default=0)
         self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * ((max(ranks.values(), default=0) >> WORD) + 1)
+        words = (max(ranks.values(), default=0) >> WORD) + 1
+        self.low = [0] * words
+        #: The positions of each rank in a short pre-token, the word of its bit, and the bits themselves.
+        self.spots = [0] * (words << WORD)
+        self.word = [w for w in range(words) for _ in range(1 << WORD)]
+        self.bit = [1 << r for r in range(1 << WORD)] * words
+        self.top = [1 << i for i in range(max(words, SHORT))]
         #: The rank of each pair of bytes, -1 where they do not merge.
         self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.packed = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self.split = regex.compile(pattern)
+        self.ascii = re.compile(ASCII_PATTERN, re.ASCII) if pattern == PATTERN else self.split
         # a cut before white space that follows something else parts no pre-token
         self.cut = regex.compile(r"\S(?=\s)")
 
@@ -81,6 +94,8 @@ class Encoder(dict):
         whole = self.packed.get(token)
         if whole is not None:
             return whole
+        if len(token) <= SHORT:
+            return self.merge_short(token)
         rank_of, longest, buckets, low, pairs = self.ranks.get, self.longest, self.buckets, self.low, self.pairs
         n, high, live = len(token), 0, 0
         after, before = list(range(1, n + 1)), list(range(-1, n))
@@ -151,16 +166,89 @@ class Encoder(dict):
         for rank in buckets:  # what is left is stale
             low[rank >> WORD] = 0
         buckets.clear()
-        out, position = [], 0
-        while position < n:
-            out.append(self.packed[token[position : after[position]]])
-            position = after[position]
+        return self.parts(token, after)
+
+    def merge_short(self, token: bytes) -> bytes:
+        """As ``merge``; a changed pair leaves its bucket at once, so that bits are left for live pairs alone."""
+        rank_of, low, pairs, spots, word, bit, top = self.ranks.get, self.low, self.pairs, self.spots, self.word, self.bit, self.top
+        n, high = len(token), 0
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        pair = [pairs[a << 8 | b] for a, b in zip(token, token[1:])]
+        for at, rank in zip(top, pair):
+            if rank >= 0:
+                held = spots[rank]
+                if not held:
+                    low[word[rank]] |= bit[rank]
+                    high |= top[word[rank]]
+                spots[rank] = held | at
+        pair.append(-1)
+        while high:
+            w = (high & -high).bit_length() - 1
+            bits = low[w]
+            first = bits & -bits
+            rank = (w << WORD) + first.bit_length() - 1
+            held = spots[rank]
+            at = held & -held
+            spots[rank] = held = held ^ at
+            if not held:
+                low[w] = bits = bits ^ first
+                if not bits:
+                    high ^= top[w]
+            position = at.bit_length() - 1
+            gone = after[position]
+            after[position] = end = after[gone]
+            before[end] = position
+            pair[position] = -1
+            old = pair[gone]
+            if old >= 0:
+                spots[old] = held = spots[old] ^ top[gone]
+                if not held:
+                    w = word[old]
+                    low[w] = bits = low[w] ^ bit[old]
+                    if not bits:
+                        high ^= top[w]
+            if end < n:
+                new = rank_of(token[position : after[end]])
+                if new is not None:
+                    pair[position] = new
+                    held = spots[new]
+                    if not held:
+                        low[word[new]] |= bit[new]
+                        high |= top[word[new]]
+                    spots[new] = held | at
+            if position:
+                place = before[position]
+                new = rank_of(token[place:end], -1)
+                old = pair[place]
+                if new != old:
+                    pair[place] = new
+                    at = top[place]
+                    if old >= 0:
+                        spots[old] = held = spots[old] ^ at
+                        if not held:
+                            w = word[old]
+                            low[w] = bits = low[w] ^ bit[old]
+                            if not bits:
+                                high ^= top[w]
+                    if new >= 0:
+                        held = spots[new]
+                        if not held:
+                            low[word[new]] |= bit[new]
+                            high |= top[word[new]]
+                        spots[new] = held | at
+        return self.parts(token, after)
+
+    def parts(self, token: bytes, after: list[int]) -> bytes:
+        out, position, packed = [], 0, self.packed
+        while position < len(token):
+            end = after[position]
+            out.append(packed[token[position:end]])
+            position = end
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(
-            [b"".join(map(self.__getitem__, self.split.findall(piece))) for piece in self.pieces(text)]
-        )
+        split = self.ascii if text.isascii() else self.split
+        return b"".join([b"".join(map(self.__getitem__, split.findall(piece))) for piece in self.pieces(text)])
 
     def rest(self) -> None:
         """Forgets all but the first pre-tokens, among which the frequent ones are: the worker lives

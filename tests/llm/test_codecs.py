@@ -172,3 +172,26 @@ def test_revisits_of_a_hot_page_and_of_pages_without_id(spark):
 def test_folders_have_a_scheme(spark, tmp_path):
     assert warc.qualified(spark, str(tmp_path)) == f"file://{tmp_path}"
     assert warc.qualified(spark, f"file:{tmp_path}") == f"file://{tmp_path}"
+
+
+def test_short_pretokens_merge_as_long_ones(monkeypatch):
+    rng = random.Random(6)
+    tokens = ["".join(rng.choices("aeiounrst hcdé日'19", k=rng.randrange(2, 40))).encode()[: bpe.SHORT] for _ in range(3000)]
+    tokens += [b"a" * n for n in range(2, bpe.SHORT + 3)]
+    encoder, long = bpe.Encoder(RANKS, PATTERN), []
+    short = [encoder.merge(t) for t in tokens]
+    assert not any(encoder.low) and not any(encoder.spots)
+    monkeypatch.setattr(bpe.Encoder, "merge_short", lambda self, token: long.append(token))
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert short == [encoder.merge(t) for t in tokens] and not long
+
+
+def test_ascii_texts_are_split_alike():
+    encoder, rng = bpe.Encoder(RANKS, PATTERN), random.Random(7)
+    assert encoder.ascii is not encoder.split
+    letters = "".join(map(chr, range(128))) + " '\n\tstredvml019" * 4
+    for _ in range(20_000):
+        text = "".join(rng.choices(letters, k=rng.randrange(40)))
+        assert encoder.ascii.findall(text) == encoder.split.findall(text)
+    other = bpe.Encoder(RANKS, r"\p{L}+|[^\p{L}]+")
+    assert other.ascii is other.split
