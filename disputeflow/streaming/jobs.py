@@ -102,7 +102,7 @@ def held(batch: DataFrame):
 
 
 def write_batch(rows: DataFrame, folder: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/batch_id={batch_id}")
 
 
 class ModelFile:

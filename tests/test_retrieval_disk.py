@@ -92,3 +92,15 @@ def test_counts_are_not_shuffled(spark, monkeypatch, capsys):
     retrieval.build_index(corpus_of(spark, texts_of(3, 40)), folder=retrieval.shared_folder(spark, "index"))
     assert seen["counts"].count("Exchange hashpartitioning") == 1 and "Generate" in seen["counts"]
     assert "BroadcastHashJoin" in seen["norms"] and "BroadcastHashJoin" in seen["bounds"]
+
+
+def test_batches_and_index_are_compressed(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from disputeflow.streaming import jobs
+
+    jobs.write_batch(spark.range(9), str(tmp_path / "batches"), 3)
+    retrieval.build_index(corpus_of(spark, ["one two"]), folder=str(tmp_path / "index"))
+    for folder in (tmp_path / "batches" / "batch_id=3", tmp_path / "index" / "counts"):
+        file = next(folder.glob("*.parquet"))
+        assert pq.ParquetFile(file).metadata.row_group(0).column(0).compression == "ZSTD"
