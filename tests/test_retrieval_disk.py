@@ -100,7 +100,7 @@ def test_batches_and_index_are_compressed(spark, tmp_path):
     from disputeflow.streaming import jobs
 
     jobs.write_batch(spark.range(9), str(tmp_path / "batches"), 3)
-    retrieval.build_index(corpus_of(spark, ["one two"]), folder=str(tmp_path / "index"))
+    retrieval.build_index(corpus_of(spark, ["alpha beta"]), folder=str(tmp_path / "index"))
     for folder in (tmp_path / "batches" / "batch_id=3", tmp_path / "index" / "counts"):
         file = max(folder.glob("*.parquet"), key=lambda f: f.stat().st_size)
         assert pq.ParquetFile(file).metadata.row_group(0).column(0).compression == "ZSTD"
